@@ -98,7 +98,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, window:
     """PIECES, written: place is a piece's rank among those of its length in its part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, last = PreTokens(vocabulary), end.to_bytes(4, "little")
+        splitter, last = PreTokens.shared(vocabulary), end.to_bytes(4, "little")
         part, seen = uuid.uuid4().hex, [0] * (window + 1)
         for b in batches:
             rows = []
@@ -150,5 +150,5 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
             arrays = [b.column(0), b.column(1), pa.array(length.astype(np.int64)), b.column(3), b.column(4), pa.array(sequence), pa.array(offset)]
             yield pa.RecordBatch.from_arrays(arrays, [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    ranked = cut.join(starts, ["part", "length"]).select("id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("place")).alias("rank"))
+    ranked = cut.join(starts.hint("merge"), ["part", "length"]).select("id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("place")).alias("rank"))
     return ranked.mapInArrow(placed, f"`{id_col}` long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import sys
+from array import array
+from types import ModuleType
+
 import regex
+import tiktoken
 from tokenizers import Tokenizer
 
 # Fixed value: the split pattern of byte-level BPE.
@@ -11,21 +16,40 @@ SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 UNUSUAL = regex.compile("[^\x00-ɏͰ-ϿЀ-џ‐-‧€]")
 
 
+def _bytes_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: itself if printable, the rest from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
 class PreTokens:
-    """Splits texts as the tokenizer of a file does, and gives each pre-token's ids as little-endian 32-bit words.
+    """Splits texts as the tokenizer of a byte-level BPE file does, and gives each pre-token's ids as little-endian
+    32-bit words.
 
-    Ids are looked up once per distinct pre-token and kept; beyond KEPT characters of them the table starts afresh.
+    Ids are looked up once per distinct pre-token and kept; beyond KEPT of these the table starts afresh. Merges go by
+    rank, which is the id in such files, so tiktoken's merge loop gives the same ids as the file's own library.
     """
 
-    KEPT = 30_000_000
+    KEPT, LONGEST = 300_000, 64
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.own = self.tokenizer.pre_tokenizer
-        self.special = {t.content: i.to_bytes(4, "little") for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        tokenizer = Tokenizer.from_file(path)
+        self.own = tokenizer.pre_tokenizer
+        self.special = {t.content: i.to_bytes(4, "little") for i, t in tokenizer.get_added_tokens_decoder().items()}
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        of = _bytes_of()
+        ranks = {bytes(of[c] for c in t): i for t, i in tokenizer.get_vocab(with_added_tokens=False).items() if t not in self.special}
+        self.merge = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.ids: dict[str, bytes] = {}
-        self.held = 0
+
+    @classmethod
+    def shared(cls, path: str) -> PreTokens:
+        """One for each process: tasks of a worker use it one after another."""
+        held = sys.modules.setdefault("_pretokens_of_this_worker", ModuleType("_pretokens_of_this_worker")).__dict__
+        if path not in held:
+            held[path] = cls(path)
+        return held[path]
 
     def split(self, text: str) -> list[str]:
         if self.special and any(s in text for s in self.special):
@@ -37,17 +61,19 @@ class PreTokens:
             return [text[a:b] for _, (a, b) in self.own.pre_tokenize_str(text)]
         return SPLIT.findall(text)
 
-    def learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.ids]
-        if self.held > self.KEPT:
-            self.ids, self.held = {}, 0
-            new = list(pieces)
-        for i in range(0, len(new), 10_000):
-            for p, e in zip(new[i : i + 10_000], self.tokenizer.encode_batch_fast(new[i : i + 10_000], add_special_tokens=False), strict=True):
-                self.ids[p] = b"".join([x.to_bytes(4, "little") for x in e.ids])
-                self.held += len(p) + 60
+    def ids_of(self, piece: str) -> bytes:
+        found = self.ids.get(piece)
+        if found is None:
+            found = self.special.get(piece) or array("I", self.merge(piece)).tobytes()
+            if len(piece) <= self.LONGEST:
+                if len(self.ids) >= self.KEPT:
+                    self.ids.clear()
+                self.ids[piece] = found
+        return found
 
     def encoded(self, text: str) -> bytes:
-        pieces = self.split(text)
-        self.learn(set(pieces))
-        return b"".join(map(self.ids.__getitem__, pieces))
+        return b"".join(map(self.ids_of, self.split(text)))
+
+    def count(self, piece: str) -> int:
+        """How many ids a pre-token has."""
+        return 1 if piece in self.special else len(self.merge(piece))

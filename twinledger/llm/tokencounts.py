@@ -29,7 +29,7 @@ BLOCKS = "block string, ids binary, no_id binary, n_bytes binary, starts binary,
 
 def _blocks(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
     """A row for each block of documents of about BLOCK_BYTES: frequencies of its distinct pre-tokens, by document."""
-    splitter = PreTokens(vocabulary)
+    splitter = PreTokens.shared(vocabulary)
 
     def row(docs: list, asked: dict[str, int]) -> pa.RecordBatch:
         ids, sizes, pieces, times = zip(*docs, strict=True)
@@ -67,10 +67,10 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     asked = blocks.select("block", F.posexplode("asked").alias("place", "piece"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = PreTokens(vocabulary)
+        splitter = PreTokens.shared(vocabulary)
         for b in batches:
             pieces = b.column(0).to_pylist()
-            n = [len(e) for i in range(0, len(pieces), 4096) for e in splitter.tokenizer.encode_batch_fast(pieces[i : i + 4096], add_special_tokens=False)]
+            n = [splitter.count(p) for p in pieces]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32())], ["piece", "n"])
 
     once = written(asked.select("piece").distinct().mapInArrow(counted, "piece string, n int"), "pieces")
