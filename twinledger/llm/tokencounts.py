@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from .pretokens import PreTokens
 from .storage import written
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 12 << 20
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-BLOCKS = "block string, ids binary, no_id binary, n_bytes binary, starts binary, pieces binary, times binary, asked array<string>"
+BLOCKS = "block long, ids binary, no_id binary, n_bytes binary, starts binary, pieces binary, times binary, asked array<string>"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
@@ -41,7 +41,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.R
             np.concatenate(pieces),
             np.concatenate(times),
         ]
-        arrays = [pa.array([uuid.uuid4().hex])] + [pa.array([x.tobytes()]) for x in packed] + [pa.array([list(asked)], pa.list_(pa.string()))]
+        arrays = [pa.array([uuid.uuid4().int >> 65], pa.int64())] + [pa.array([x.tobytes()]) for x in packed] + [pa.array([list(asked)], pa.list_(pa.string()))]
         return pa.RecordBatch.from_arrays(arrays, ["block", "ids", "no_id", "n_bytes", "starts", "pieces", "times", "asked"])
 
     docs, asked, held = [], {}, 0
