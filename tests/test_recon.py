@@ -80,7 +80,7 @@ def test_tolerance(spark):
 
 
 def test_dedup(spark):
-    rows = [(1, t * MS, 2) for t in (50, 100, 2000)] + [(2, 0, 2), (2, 1, 1), (2, 2, 2)]
+    rows = [(1, t * MS, 2) for t in (50, 100, 2000)] + [(2, 0, 2), (2, MS, 1), (2, 2 * MS, 2)]
     out = orders.deduplicated(spark.createDataFrame(rows, "order_key long, detect_ns long, mask int"), 1000 * MS).collect()
     assert sorted((r.order_key, r.detect_ns // MS, r.emitted) for r in out) == [(1, 50, True), (1, 100, False), (1, 2000, True), (2, 0, True), (2, 1, True), (2, 2, True)]
 
