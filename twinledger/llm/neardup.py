@@ -7,7 +7,9 @@ links' connected components are the groups.
 
 Whole at every group size without pairing off groups: equal sets collapse first; in each bucket all members are paired
 with its smallest one; only members whose components still differ after that are compared with the rest of their
-bucket. With 32 bands of 4, a pair at the threshold shares no bucket with probability 5e-6, more similar pairs less.
+bucket. There, pairs must also come within five standard errors by a second, longer signature of one bit a minimum
+before they are confirmed, as groups of edited copies have many pairs a little below the threshold. With 32 bands of 4,
+a pair at the threshold shares no bucket with probability 5e-6, more similar pairs less.
 
 Defined cases: null and wordless texts have no shingles and are alone. Repeated rows and equal texts are one group;
 rows that share an id are one node, linked as any of their texts is, and each gets a result row. A row without an id is
@@ -30,6 +32,8 @@ from .storage import written
 
 BANDS, ROWS, BITS = 32, 4, 2
 THRESHOLD, MARGIN = (75, 100), 0.25
+#: Minima of the second signature, of one bit each.
+LONG = 2048
 SIGNATURE = "n_shingles long, set_key binary, packed array<long>, bands array<long>"
 
 
@@ -77,10 +81,38 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHING
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id long, {SIGNATURE}")
 
 
+def long_signatures(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, k: int = LONG) -> DataFrame:
+    """(id, long): one bit of each of k minima, for the documents among ids that have shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, several = WordHasher(), 256
+        for b in batches:
+            for words in hasher.blocks(b.column(1)):
+                sets = list(shingle_sets(words, shingle))
+                full = [i for i, s in enumerate(sets) if len(s)]
+                of = b.column(0).slice(words.first, len(sets))
+                for at in range(0, len(full), several):
+                    some = full[at : at + several]
+                    bits = pack(mix(minima([sets[i] for i in some], k)), 1).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([of.take(pa.array(some)), pa.array(list(bits), pa.list_(pa.int64()))], ["id", "long"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return texts.join(ids, "id", "left_semi").mapInArrow(run, "id long, long array<long>")
+
+
+def long_estimate(a: str, b: str, k: int = LONG) -> Column:
+    """As estimate, of two signatures of one bit a minimum. Summed over the words by a function, not word by word:
+    code for so many terms in a join's condition would be too long to be compiled."""
+    unequal = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return 1 - 2 * unequal / k
+
+
 def estimate(a: str, b: str, k: int = BANDS * ROWS) -> Column:
     """Similarity from two packed signatures of two bits a minimum: agreement less what chance gives."""
     odd = 0x5555555555555555
 
+    odd = 0x5555555555555555
+
     def unequal(i: int) -> Column:
         x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
         return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(odd)))
@@ -122,7 +154,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     exploded = reps.select("rep", F.explode("bands").alias("band"))
     shared = exploded.groupBy("band").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter("leader < last")
     members = written(exploded.join(written(shared.select("band", "leader"), "buckets"), "band"), "members")
-    packed = reps.select("rep", "packed")
+    packed = reps.select("rep", "packed", "bands")
 
     def with_estimates(pairs: DataFrame) -> DataFrame:
         p = packed.select(F.col("rep").alias("a"), F.col("packed").alias("p"))
@@ -141,12 +173,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = written(labelled, "labelled")
     mixed = written(labelled.groupBy("band").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("n")).filter("c1 < c2 and n > 2").select("band"), "mixed")
     rest = labelled.filter("rep > leader").join(mixed, "band").join(packed, "rep")
-    rest = written(rest.join(groups, F.col("leader") == F.col("node"), "left").select("band", "rep", "c", "packed", F.coalesce("component", "leader").alias("main")), "rest")
-    strays = rest.filter("c != main").select("band", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("packed").alias("p"))
-    others = rest.select("band", F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("packed").alias("q"), F.col("main"))
+    rest = written(rest.join(groups, F.col("leader") == F.col("node"), "left").select("band", "rep", "c", "packed", "bands", F.coalesce("component", "leader").alias("main")), "rest")
+    longer = written(long_signatures(docs, rest.select(F.col("rep").alias("id")).distinct(), id_col, text_col, shingle), "longer")
+    rest = rest.join(longer.withColumnRenamed("id", "rep"), "rep")
+    strays = rest.filter("c != main").select("band", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("packed").alias("p"), F.col("long").alias("lp"), F.col("bands").alias("bp"))
+    others = rest.select("band", F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("packed").alias("q"), F.col("long").alias("lq"), F.col("bands").alias("bq"), F.col("main"))
+    t = threshold[0] / threshold[1]
+    likely, likely_least = long_estimate("lp", "lq"), t - 5 * ((1 - t * t) / LONG) ** 0.5
     apart = F.expr("ca != cb and (cb = main or a < b)")
-    crossing = strays.join(others, "band").filter(apart & (estimate("p", "q") >= least))
-    crossing = written(crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"), estimate("p", "q").alias("likely")).distinct(), "crossing")
+    # once for each pair: where its first bucket is none of these, the pair is settled or has met as leader and member
+    once = F.expr("band = array_min(array_intersect(bp, bq))")
+    crossing = strays.join(others, "band").filter(apart & (estimate("p", "q") >= least) & (likely >= likely_least) & once)
+    crossing = written(crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"), likely.alias("likely")).distinct(), "crossing")
     if not crossing.isEmpty():
         # the likeliest pair of two components often settles the others
         best = crossing.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("likely", "a", "b")).alias("x")).select("x.a", "x.b")
