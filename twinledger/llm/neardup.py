@@ -183,16 +183,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = F.expr("ca != cb and (cb = main or a < b)")
     # once for each pair: where its first bucket is none of these, the pair is settled or has met as leader and member
     once = F.expr("band = array_min(array_intersect(bp, bq))")
-    crossing = strays.join(others, "band").filter(apart & (estimate("p", "q") >= least) & (likely >= likely_least) & once)
-    crossing = written(crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"), likely.alias("likely")).distinct(), "crossing")
+    crossing = strays.join(others, "band").filter(apart & (estimate("p", "q") >= least) & once & (likely >= likely_least))
+    crossing = written(crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "crossing")
     if not crossing.isEmpty():
-        # the likeliest pair of two components often settles the others
-        best = crossing.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("likely", "a", "b")).alias("x")).select("x.a", "x.b")
-        links = links.unionAll(written(confirmed(best, docs, id_col, text_col, shingle, threshold), "links"))
-        groups = grouped()
-        open_ = crossing.join(groups.select(F.col("node").alias("a"), F.col("component").alias("ga")), "a", "left").join(groups.select(F.col("node").alias("b"), F.col("component").alias("gb")), "b", "left")
-        open_ = written(open_.filter("coalesce(ga, a) != coalesce(gb, b)").select("a", "b"), "open")
-        found = written(confirmed(open_, docs, id_col, text_col, shingle, threshold), "links")
+        found = written(confirmed(crossing, docs, id_col, text_col, shingle, threshold), "links")
         if not found.isEmpty():
             links = links.unionAll(found)
             groups = grouped()
