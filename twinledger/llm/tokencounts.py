@@ -64,27 +64,30 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, n_bytes, n_tokens, over_limit) per document."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     blocks = written(rows.mapInArrow(lambda batches: _blocks(batches, vocabulary), BLOCKS), "blocks")
-    asked = blocks.select("block", F.posexplode("asked").alias("place", "piece"))
+    asked = blocks.select(F.posexplode("asked").alias("place", "piece"), "block")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = PreTokens.shared(vocabulary)
+        splitter, last, n = PreTokens.shared(vocabulary), None, 0
         for b in batches:
-            pieces = b.column(0).to_pylist()
-            n = [splitter.count(p) for p in pieces]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32())], ["piece", "n"])
+            ns = np.empty(b.num_rows, np.int64)
+            for i, piece in enumerate(b.column(0).to_pylist()):
+                if piece != last:
+                    last, n = piece, splitter.count(piece)
+                ns[i] = n
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array((b.column(2).to_numpy().astype(np.int64) << 32) + ns)], ["block", "answer"])
 
-    once = written(asked.select("piece").distinct().mapInArrow(counted, "piece string, n int"), "pieces")
-    answers = asked.join(once, "piece").groupBy("block").agg(F.collect_list(F.struct("place", "n")).alias("answers"))
-    answers = answers.select("block", F.col("answers.place").alias("places"), F.col("answers.n").alias("ns"))
+    # equal pre-tokens meet, sorted: each is counted once, and each block that asked is told (place in the high half)
+    together = asked.select("piece", "block", "place").repartition("piece").sortWithinPartitions("piece")
+    answers = together.mapInArrow(counted, "block long, answer long").groupBy("block").agg(F.collect_list("answer").alias("answers"))
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
                 ids, no_id, sizes, starts, pieces, times = (np.frombuffer(b.column(i)[r].as_py(), t) for i, t in enumerate(("<i8", "?", "<i8", "<i8", "<i4", "<i4")))
-                places, ns = (b.column(i)[r].values for i in (6, 7))
-                per = np.zeros((places and len(places)) or 0, np.int64)
-                if len(per):
-                    per[places.to_numpy()] = ns.to_numpy()
+                told = b.column(6)[r].values
+                told = np.zeros(0, np.int64) if told is None else told.to_numpy()
+                per = np.zeros(len(told), np.int64)
+                per[told >> 32] = told & 0xFFFFFFFF
                 total = np.concatenate([[0], np.cumsum(per[pieces] * times)])
                 n = total[starts[1:]] - total[starts[:-1]]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=no_id), pa.array(sizes), pa.array(n), pa.array(n > limit)], [id_col, "n_bytes", "n_tokens", "over_limit"])
