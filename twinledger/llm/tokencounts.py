@@ -1,49 +1,79 @@
 """Token counts without materialised ids.
 
 Texts fall into pre-tokens. Blocks of documents keep each document's pre-token frequencies and ask for the counts of
-their distinct pre-tokens; each distinct pre-token of the corpus is counted once; the answers are joined to the blocks,
-and frequencies times counts are summed.
+their distinct pre-tokens, dealt into buckets by hash; in its bucket each distinct pre-token of the corpus is counted
+once; the answers are joined to the blocks, and frequencies times counts are summed. All of this travels compressed.
 
 Defined cases: a null text is an empty one with no tokens; repeated rows each get a result; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pretokens import PreTokens
 from .storage import written
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 24 << 20
+#: A task holds the distinct pre-tokens of one bucket at a time.
+BUCKETS = 2048
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-BLOCKS = "block long, ids binary, no_id binary, n_bytes binary, starts binary, pieces binary, times binary, asked array<string>"
+BLOCKS = "block long, ids binary, no_id binary, n_bytes binary, lengths binary, steps binary, times binary, asked array<struct<bucket:int,pieces:binary>>"
+
+
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 to 2^32, byte by byte of their significance, compressed."""
+    return zstandard.compress(numbers.astype("<u4").view("u1").reshape(-1, 4).T.tobytes())
+
+
+def _numbers(squeezed: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(squeezed), "u1").reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+
+
+def _row(docs: list, asked: dict[str, int]) -> pa.RecordBatch:
+    """One block. Its pre-tokens are numbered by bucket; a document's are sorted and kept as steps from each to the next."""
+    ids, sizes, pieces, times = zip(*docs, strict=True)
+    names = list(asked)
+    bucket = np.fromiter((zlib.crc32(p.encode()) % BUCKETS for p in names), np.int64, len(names))
+    order = np.argsort(bucket, kind="stable")
+    number = np.empty(len(names), np.int64)
+    number[order] = np.arange(len(names))
+    lengths = np.array([len(p) for p in pieces])
+    doc = np.repeat(np.arange(len(docs)), lengths)
+    pieces = number[np.concatenate(pieces)]
+    within = np.lexsort((pieces, doc))
+    steps = np.diff(pieces[within], prepend=0)
+    first = np.diff(doc, prepend=-1) > 0
+    steps[first] = pieces[within][first]
+    packed = [
+        np.array([i or 0 for i in ids], "<i8").tobytes(),
+        np.array([i is None for i in ids], "?").tobytes(),
+        np.array(sizes, "<i8").tobytes(),
+        *map(_squeezed, (lengths, steps, np.concatenate(times)[within])),
+    ]
+    kinds, starts = np.unique(bucket[order], return_index=True)
+    parts = [[names[i] for i in part] for part in np.split(order, starts[1:])] if names else []
+    pack = zstandard.ZstdCompressor().compress
+    questions = [{"bucket": k, "pieces": pack(json.dumps(p, ensure_ascii=False, separators=(",", ":")).encode())} for k, p in zip(kinds.tolist(), parts, strict=True)]
+    kind = pa.list_(pa.struct([("bucket", pa.int32()), ("pieces", pa.binary())]))
+    arrays = [pa.array([uuid.uuid4().int >> 65], pa.int64())] + [pa.array([x]) for x in packed] + [pa.array([questions], kind)]
+    return pa.RecordBatch.from_arrays(arrays, ["block", "ids", "no_id", "n_bytes", "lengths", "steps", "times", "asked"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
     """A row for each block of documents of about BLOCK_BYTES: frequencies of its distinct pre-tokens, by document."""
     splitter = PreTokens.shared(vocabulary)
-
-    def row(docs: list, asked: dict[str, int]) -> pa.RecordBatch:
-        ids, sizes, pieces, times = zip(*docs, strict=True)
-        packed = [
-            np.array([i or 0 for i in ids], "<i8"),
-            np.array([i is None for i in ids], "?"),
-            np.array(sizes, "<i8"),
-            np.cumsum([0] + [len(p) for p in pieces]).astype("<i8"),
-            np.concatenate(pieces),
-            np.concatenate(times),
-        ]
-        arrays = [pa.array([uuid.uuid4().int >> 65], pa.int64())] + [pa.array([x.tobytes()]) for x in packed] + [pa.array([list(asked)], pa.list_(pa.string()))]
-        return pa.RecordBatch.from_arrays(arrays, ["block", "ids", "no_id", "n_bytes", "starts", "pieces", "times", "asked"])
-
     docs, asked, held = [], {}, 0
     for b in batches:
         for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -54,42 +84,48 @@ def _blocks(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.R
             docs.append((i, n, pieces, np.fromiter(found.values(), "<i4", len(found))))
             held += n + 100
             if held > BLOCK_BYTES:
-                yield row(docs, asked)
+                yield _row(docs, asked)
                 docs, asked, held = [], {}, 0
     if docs:
-        yield row(docs, asked)
+        yield _row(docs, asked)
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, limit: int = 1024) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) per document."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     blocks = written(rows.mapInArrow(lambda batches: _blocks(batches, vocabulary), BLOCKS), "blocks")
-    asked = blocks.select(F.posexplode("asked").alias("place", "piece"), "block")
+    asked = blocks.select("block", F.inline("asked"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, last, n = PreTokens.shared(vocabulary), None, 0
+        splitter, bucket, known = PreTokens.shared(vocabulary), None, {}
         for b in batches:
-            ns = np.empty(b.num_rows, np.int64)
-            for i, piece in enumerate(b.column(0).to_pylist()):
-                if piece != last:
-                    last, n = piece, splitter.count(piece)
-                ns[i] = n
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array((b.column(2).to_numpy().astype(np.int64) << 32) + ns)], ["block", "answer"])
-
-    # equal pre-tokens meet, sorted: each is counted once, and each block that asked is told (place in the high half)
-    together = asked.select("piece", "block", "place").repartition("piece").sortWithinPartitions("piece")
-    answers = together.mapInArrow(counted, "block long, answer long").groupBy("block").agg(F.collect_list("answer").alias("answers"))
+            told = []
+            for k, packed in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+                if k != bucket:
+                    bucket, known = k, {}
+                pieces = json.loads(zstandard.decompress(packed.as_py()))
+                for p in pieces:
+                    if p not in known:
+                        known[p] = splitter.count(p)
+                told.append(_squeezed(np.array([known[p] for p in pieces])))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(told, pa.binary())], ["block", "bucket", "told"])
+
+    # the questions of a bucket meet, so each pre-token is counted once; each block is told in the order in which it asked
+    together = asked.repartition("bucket").sortWithinPartitions("bucket")
+    told = together.mapInArrow(counted, "block long, bucket int, told binary")
+    answers = told.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "told")))["told"].alias("answers"))
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
-                ids, no_id, sizes, starts, pieces, times = (np.frombuffer(b.column(i)[r].as_py(), t) for i, t in enumerate(("<i8", "?", "<i8", "<i8", "<i4", "<i4")))
-                told = b.column(6)[r].values
-                told = np.zeros(0, np.int64) if told is None else told.to_numpy()
-                per = np.zeros(len(told), np.int64)
-                per[told >> 32] = told & 0xFFFFFFFF
+                ids, no_id, sizes = (np.frombuffer(b.column(i)[r].as_py(), t) for i, t in enumerate(("<i8", "?", "<i8")))
+                lengths, steps, times = (_numbers(b.column(i)[r].as_py()) for i in (3, 4, 5))
+                per = np.concatenate([np.zeros(0, np.int64), *map(_numbers, b.column(6)[r].as_py() or [])])
+                ends = np.cumsum(lengths)
+                run = np.concatenate([[0], np.cumsum(steps)])
+                pieces = run[1:] - np.repeat(run[ends - lengths], lengths)
                 total = np.concatenate([[0], np.cumsum(per[pieces] * times)])
-                n = total[starts[1:]] - total[starts[:-1]]
+                n = total[ends] - total[ends - lengths]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=no_id), pa.array(sizes), pa.array(n), pa.array(n > limit)], [id_col, "n_bytes", "n_tokens", "over_limit"])
 
     whole = blocks.drop("asked").join(answers, "block", "left").drop("block")
