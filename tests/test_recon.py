@@ -141,6 +141,27 @@ def test_fix_fields(spark):
     assert (row.exec_type, row.ord_status, row.exec_id, row.clord_id, row.cum_qty, row.at) == (6, 9, "a=b", "X" * 32, 9, 5)
 
 
+@pytest.mark.parametrize(
+    "times, wanted",
+    [
+        ((0, 10, 900), [(2, 5, 900 * MS, 3)]),  # filled in time
+        ((0, 10, 1010), [(2, 5, 1010 * MS, 3)]),  # at the very limit: the arrival comes first
+        ((0, 10, 1011), [(2, 5, 1010 * MS, None)]),  # too late
+    ],
+)
+def test_gap_timeouts(spark, times, wanted):
+    feed = spark.createDataFrame([(0, 0, s, i, t) for i, (s, t) in enumerate(zip((1, 5, 3), times), 1)], "source int, session_id int, seq long, arrival long, ms long")
+    got = sequence.timed_gap_intervals(sequence.classify(feed), F.col("ms") * MS).collect()
+    assert [(r.start_seq, r.end_seq, r.closed_ns, r.filled_by) for r in got] == wanted
+
+
+def test_gap_that_keeps_growing(spark):
+    """Extended every 900 ms, so that only the long timeout ends it; the next gap is a new one."""
+    feed = spark.createDataFrame([(0, 0, 1, 0, 0)] + [(0, 0, 3 * i, i, 900 * i) for i in range(1, 40)], "source int, session_id int, seq long, arrival long, ms long")
+    got = sequence.timed_gap_intervals(sequence.classify(feed), F.col("ms") * MS).orderBy("epoch").collect()
+    assert [(r.start_seq, r.end_seq, r.closed_ns // MS) for r in got] == [(2, 102, 30_900), (103, 117, 36_100)]
+
+
 def test_empty(spark):
     none = spark.read.parquet(f"{DATA}/lineitem.parquet").limit(0)
     view = orders.views(orders.lifecycle(queries.feeds.order_events(none)))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import ReconConfig
 from ..schema import DUPLICATE, GAP, GAP_FILL, OUT_OF_ORDER
 
 TRACKER = ("source", "session_id")
@@ -31,41 +32,58 @@ def classify(feed: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 INTERVALS = "source int, session_id int, epoch long, start_seq long, end_seq long, opened long, detected long, closed long, filled_by long"
+TIMED = INTERVALS + ", closed_ns long"
 
 
-def gap_intervals(classified: DataFrame) -> DataFrame:
-    """INTERVALS: each gap's numbers [start_seq, end_seq), when it opened, was last extended, and was closed by which
-    number (null: still open). Folds over anomalies only, in order of arrival, in memory for one gap per tracker."""
+def _folded(classified: DataFrame, at: Column, config: ReconConfig | None) -> DataFrame:
+    """TIMED over anomalies only, in order of arrival, in memory for one gap per tracker. Config None: no timeouts."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tracker, gap, epoch = None, None, 0
+        tracker, gap, epoch, limit, since = None, None, 0, None, 0
         for frame in frames:
             out = []
-            for source, session, seq, arrival, expected, kind in frame.itertuples(index=False):
+            for source, session, seq, arrival, expected, kind, ns in frame.itertuples(index=False):
+                if gap and ((source, session) != tracker or limit is not None and ns > limit):
+                    out.append([*gap, limit])
+                    gap = None
                 if (source, session) != tracker:
-                    if gap:
-                        out.append(gap)
-                    tracker, gap, epoch = (source, session), None, 0
+                    tracker, epoch = (source, session), 0
                 if kind == GAP:
                     if gap:
                         gap[4], gap[6] = seq, arrival
                     else:
-                        epoch += 1
+                        epoch, since = epoch + 1, ns
                         gap = [source, session, epoch, expected, seq, arrival, arrival, None, None]
+                    limit = config and min(ns + config.gap_close_ns, since + config.gap_timeout_ns)
                 elif kind == OUT_OF_ORDER and gap and gap[3] <= seq < gap[4]:
                     gap[7:] = arrival, seq
-                    out.append(gap)
+                    out.append([*gap, ns])
                     gap = None
             yield _frame(out)
         if gap:
-            yield _frame([gap])
+            yield _frame([[*gap, limit]])
+
+    odd = classified.filter(F.col("kind").isin(GAP, OUT_OF_ORDER)).select(*TRACKER, "seq", "arrival", "expected_seq", "kind", at.cast("long").alias("ns"))
+    return odd.repartition(*TRACKER).sortWithinPartitions(*TRACKER, "arrival").mapInPandas(run, TIMED)
+
 
-    odd = classified.filter(F.col("kind").isin(GAP, OUT_OF_ORDER)).select(*TRACKER, "seq", "arrival", "expected_seq", "kind")
-    return odd.repartition(*TRACKER).sortWithinPartitions(*TRACKER, "arrival").mapInPandas(run, INTERVALS)
+def gap_intervals(classified: DataFrame) -> DataFrame:
+    """INTERVALS: each gap's numbers [start_seq, end_seq), when it opened, was last extended, and was closed by which
+    number (null: still open)."""
+    return _folded(classified, F.lit(0), None).drop("closed_ns")
+
+
+def timed_gap_intervals(classified: DataFrame, at: Column, config: ReconConfig = ReconConfig()) -> DataFrame:
+    """TIMED: gaps that also close, unfilled (filled_by null), gap_close_ns after they were last extended or
+    gap_timeout_ns after they opened, whichever comes first. An arrival at that very time is taken before.
+
+    at: the time of an arrival in nanoseconds, which never falls within a tracker.
+    """
+    return _folded(classified, at, config)
 
 
 def _frame(rows: list) -> pd.DataFrame:
-    names = [x.split()[0] for x in INTERVALS.split(", ")]
+    names = [x.split()[0] for x in TIMED.split(", ")]
     return pd.DataFrame(rows, columns=names).astype({n: "Int64" for n in names})
 
 

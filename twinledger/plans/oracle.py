@@ -93,6 +93,20 @@ s2 AS (SELECT source, session_id, seq, row_number() OVER (PARTITION BY source, s
 s3 AS (SELECT *, max(seq) OVER (PARTITION BY source, session_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM s2),
 s AS (SELECT source, session_id, seq, arrival, last + 1 AS expected_seq, CASE WHEN seq > last + 1 THEN 0 WHEN seq = last THEN 1 WHEN seq < last THEN 2 END AS kind FROM s3)"""
 
+# Gaps also close 1 s after the last extension or 30 s after they opened; arrivals are 300 ms apart.
+_TIMED = f"""{_SESSIONS},
+a AS (SELECT *, row_number() OVER (PARTITION BY source, session_id ORDER BY arrival) AS i FROM s WHERE kind IN (0, 2)),
+h AS (
+    SELECT source, session_id, i, kind = 0 AS is_open, CASE WHEN kind = 0 THEN 1 ELSE 0 END AS epoch, CASE WHEN kind = 0 THEN expected_seq END AS start_seq, CASE WHEN kind = 0 THEN seq END AS end_seq,
+        CASE WHEN kind = 0 THEN arrival END AS opened, CASE WHEN kind = 0 THEN arrival END AS detected, CAST(NULL AS BIGINT) AS closed, CAST(NULL AS BIGINT) AS filled_by FROM a WHERE i = 1
+    UNION ALL SELECT source, session_id, i, kind = 0 OR (alive AND NOT fills), epoch + CASE WHEN kind = 0 AND NOT alive THEN 1 ELSE 0 END,
+        CASE WHEN kind = 0 AND NOT alive THEN expected_seq ELSE start_seq END, CASE WHEN kind = 0 THEN seq ELSE end_seq END,
+        CASE WHEN kind = 0 AND NOT alive THEN arrival ELSE opened END, CASE WHEN kind = 0 THEN arrival ELSE detected END,
+        CASE WHEN alive AND fills THEN arrival END, CASE WHEN alive AND fills THEN seq END
+    FROM (SELECT a.*, h.epoch, h.start_seq, h.end_seq, h.opened, h.detected, h.is_open AND a.arrival * 300 <= least(h.detected * 300 + 1000, h.opened * 300 + 30000) AS alive,
+            a.kind = 2 AND a.seq >= h.start_seq AND a.seq < h.end_seq AS fills
+        FROM h JOIN a ON a.source = h.source AND a.session_id = h.session_id AND a.i = h.i + 1))"""
+
 _GAPS = f"""{_SESSIONS},
 a AS (SELECT *, row_number() OVER (PARTITION BY source, session_id ORDER BY arrival) AS i FROM s WHERE kind IN (0, 2)),
 h AS (
@@ -126,6 +140,9 @@ def oracle_sql() -> dict[str, str]:
         "seq_counters": f"""WITH {_GAPS} SELECT source, count(*) AS events, count(*) FILTER (kind = 0) AS gaps, count(*) FILTER (kind = 1) AS duplicates, count(*) FILTER (kind = 2) AS out_of_order,
             (SELECT count(*) FROM gaps WHERE gaps.source = s.source AND closed IS NOT NULL) AS fills FROM s GROUP BY source""",
         "gap_intervals": f"WITH {_GAPS} SELECT * FROM gaps",
+        "gap_timeouts": f"""WITH {_TIMED} SELECT source, session_id, CAST(epoch AS BIGINT) AS epoch, max(start_seq) AS start_seq, max(end_seq) AS end_seq, max(opened) AS opened, max(detected) AS detected,
+            max(closed) AS closed, max(filled_by) AS filled_by, coalesce(max(closed) * 300, least(max(detected) * 300 + 1000, max(opened) * 300 + 30000)) * 1000000 AS closed_ns
+            FROM h WHERE epoch > 0 GROUP BY source, session_id, epoch""",
         "gap_suppressed_orders": f"""WITH {_GAPS} SELECT s.source, s.session_id, s.seq, s.arrival, gaps.epoch AS gap_epoch FROM s JOIN gaps
             ON s.source = gaps.source AND s.session_id = gaps.session_id AND s.arrival >= opened AND (closed IS NULL OR s.arrival < closed)""",
         "order_events": f"WITH {_FEED} SELECT *, ingest_ns AS transact_time FROM e",

@@ -46,6 +46,11 @@ def gap_intervals(spark, sf_dir):
     return sequence.gap_intervals(classified(spark, sf_dir))
 
 
+def gap_timeouts(spark, sf_dir):
+    """Gaps that close by being filled or by time, of arrivals 300 ms apart."""
+    return sequence.timed_gap_intervals(classified(spark, sf_dir), F.col("arrival") * (300 * MS))
+
+
 def gap_suppressed_orders(spark, sf_dir):
     rows = classified(spark, sf_dir)
     return sequence.suppressed(rows.select("source", "session_id", "seq", "arrival"), sequence.gap_intervals(rows))
@@ -162,7 +167,7 @@ def divergence_range(spark, sf_dir):
 
 
 NAMES = (
-    "seq_classify seq_counters gap_intervals gap_suppressed_orders order_events order_keys fix_parse fix_rejects wire_decode wire_rejects lifecycle_state lifecycle_rejects "
+    "seq_classify seq_counters gap_intervals gap_timeouts gap_suppressed_orders order_events order_keys fix_parse fix_rejects wire_decode wire_rejects lifecycle_state lifecycle_rejects "
     "order_views mismatch_mask mismatch_tolerance immediate_divergences immediate_counters two_stage_divergences two_stage_counters two_stage_short_grace phantom_orders "
     "missing_dropcopy eod_summary order_lookup divergence_range"
 ).split()
