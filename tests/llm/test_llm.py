@@ -191,6 +191,19 @@ def test_leaks(spark, docs):
     assert decontamination.leaks(table, bench.limit(0)).count() == decontamination.leaks(table.limit(0), bench).count() == 0
 
 
+def test_leaks_of_edited_copies(spark, monkeypatch):
+    own = lambda name: [f"{name}{i}" for i in range(40)]
+    edited = lambda words, k: " ".join("other" + str(k) if i % 6 == 5 else w for i, w in enumerate(words))
+    bench = spark.createDataFrame([(0, " ".join(own("a"))), (1, " ".join(own("b")))], "item_id long, text string")
+    # item 0: edited copies alone; item 1: edited alike, beside an exact one
+    rows = [(0, edited(own("a"), 0)), (1, " ".join(own("b"))), *((i, edited(own("b"), 1)) for i in range(2, 60)), (60, " ".join(own("b")[:4] + own("c")))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = {(0, 0): 62 / 80, (1, 1): 1.0} | {(i, 1): 62 / 80 for i in range(2, 60)}
+    assert {(r.doc_id, r.item_id): r.score for r in decontamination.leaks(table, bench).collect()} == wanted
+    monkeypatch.setattr(decontamination, "HOT", 7)  # seeds under several keys
+    assert {(r.doc_id, r.item_id): r.score for r in decontamination.leaks(table, bench).collect()} == wanted
+
+
 def test_pii(docs, none):
     got = {r.doc_id: r for r in pii.spans(docs).collect()}
     r = got[len(TEXTS) - 1]

@@ -1,10 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are lower-cased runs of letters and digits. Each document is split into passages around its n-grams that may
 occur in the benchmark (a bitmap of fixed size, which can only err by letting more through). The n-grams found are
-joined to the benchmark's: each item keeps as seeds the rarer half of its n-grams by corpus frequency, so an item whose
-every n-gram is frequent, because it leaked often, still has its seeds. Passage and item that share a seed are aligned
-(match +2, mismatch -1, gap -1); the score over that of the item with itself is at least THRESHOLD for a leak.
+joined to the benchmark's; every n-gram of an item is a seed, however rare or frequent. Frequency only deals the work:
+a seed of more than HOT passages is joined under several keys. Passage and item that share a seed are aligned (match +2,
+mismatch -1, gap -1), unless the passage has too few of the item's words for any alignment to do; the score over that of
+the item with itself is at least THRESHOLD for a leak. Copies without SEED unchanged words in a row are not found.
 
 Defined cases: null and empty texts, and items of fewer than SEED words, match nothing; rows that share an id count as
 one document, whose best alignment with an item is reported; items without an id are left out; equal items are each
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import ALPHANUMERIC, WordHasher, ngrams
@@ -27,6 +28,8 @@ from .storage import written
 SEED, THRESHOLD = 4, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 BITMAP_BITS = 24
+#: Passages of a seed for each key that it is joined under.
+HOT = 100_000
 ITEMS = "item long, n int, words binary, seeds array<long>"
 PASSAGES = "passage string, doc long, start int, words binary, seeds array<long>"
 
@@ -134,21 +137,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     longest = items.agg(F.max("n")).first()[0] or 0
     passages = passages_of(docs, id_col, text_col, bitmap(items), longest, seed)
     found = passages.select("passage", "doc", F.explode("seeds").alias("seed"))
-    # frequencies over the corpus, in documents; what only the bitmap let through falls away here
     grams = items.select("item", F.explode("seeds").alias("seed"))
-    common = written(found.groupBy("seed").agg(F.count("*").alias("frequency")).join(grams.select("seed").distinct(), "seed", "left_semi"), "frequencies")
-    order = Window.partitionBy("item").orderBy("frequency", "seed")
-    ranked = grams.join(common, "seed", "left").select("item", "seed", F.coalesce("frequency", F.lit(0)).alias("frequency"))
-    ranked = ranked.select("item", "seed", F.row_number().over(order).alias("place"), F.count("*").over(Window.partitionBy("item")).alias("of"))
-    seeds = written(ranked.filter("2 * (place - 1) < of").select("item", "seed"), "seeds")
-    pairs = written(found.join(seeds, "seed").select("passage", "item").distinct(), "pairs")
+    often = found.groupBy("seed").agg(F.count("*").alias("n")).filter(F.col("n") > HOT)
+    hot = F.broadcast(written(often.join(grams.select("seed").distinct(), "seed", "left_semi").select("seed", F.ceil(F.col("n") / HOT).alias("keys")), "hot"))
+    keys = F.coalesce("keys", F.lit(1))
+    asked = found.join(hot, "seed", "left").select("passage", "seed", F.pmod(F.xxhash64("passage"), keys).alias("key"))
+    seeds = grams.join(hot, "seed", "left").select("item", "seed", F.explode(F.sequence(F.lit(0).cast("long"), keys - 1)).alias("key"))
+    pairs = written(asked.join(seeds, ["seed", "key"]).select("passage", "item").distinct(), "pairs")
     sides = pairs.join(passages.select("passage", "doc", "start", F.col("words").alias("q")), "passage").join(items.select("item", F.col("words").alias("p")), "item")
     schema = f"`{id_col}` long, `{item_col}` long, score double, start_word long, end_word long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p, q = ([np.frombuffer(x, np.uint64) for x in b.column(c).to_pylist()] for c in (4, 3))
-            order = sorted(range(b.num_rows), key=lambda i: len(q[i]))
+            most = [MATCH * np.isin(x, y).sum() / (MATCH * len(x)) for x, y in zip(p, q, strict=True)]
+            order = sorted((i for i in range(b.num_rows) if most[i] >= threshold), key=lambda i: len(q[i]))
             at = 0
             while at < len(order):  # groups of like length, of bounded cells
                 end = at + 1
