@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -244,6 +245,41 @@ def test_licenses(docs, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_licenses_wrapped_and_long(spark):
+    own = random.Random(1)
+    long = [f"t{i}" for i in range(300)] + ["of"] * 50
+    known = (*licenses.TEMPLATES, (" ".join(long), "long"))
+    wrap = lambda words, n: "\n".join(" * " + " ".join(words[i : i + n]) for i in range(0, len(words), n))
+    part = [w for w in long if own.random() < 0.9]
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    mit = "Permission is hereby granted,\nfree of charge, to any person\nobtaining a copy\nof this software"
+    half = mit.replace("\n", " ").split()
+    rows = [bsd, mit, "x\n" * 100 + wrap(part, 9) + "\ny" * 100, " ".join(long[:200]), " ".join(half[:8]) + " x" * 70 + " " + " ".join(half[8:]), *([" ".join(half[:8]), " ".join(half[8:])])]
+    got = [r for r in licenses.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").coalesce(1), known=known).orderBy("doc_id").collect()]
+    assert [r.labels for r in got] == ["bsd", "mit", "long", "", "", "", ""]
+    assert (got[0].score, got[1].score, got[2].score) == (1.0, 1.0, len(set(part)) / 301)
+
+
+def test_license_blocks_by_brute_force():
+    own = random.Random(2)
+    names = [f"t{i}" for i in range(12)]
+    known = [(own.sample(names, 6) + own.sample(names, 2), f"k{i}") for i in range(4)]
+    texts = [[own.choice(names[: own.randint(1, 12)] + ["x"] * 120) for _ in range(own.choice([0, 3, 40, 900, 3000]))] for _ in range(60)]
+    hashes = [licenses.hashed([" ".join(t)])[0] for t, _ in known]
+    tokens = np.unique(np.concatenate(hashes))
+    made = licenses.Templates(tokens, [np.searchsorted(tokens, np.unique(h)) for h in hashes], [len(h) for h in hashes], [label for _, label in known], np.arange(len(tokens)), 0.5)
+    got = {}
+    for words in licenses.WordHasher(licenses.ALPHANUMERIC).blocks(pa.array([" ".join(t) for t in texts])):
+        got |= {(words.first + d, i): s for d, i, s in zip(*(x.tolist() for x in made.matches(words)), strict=True)}
+    wanted = {}
+    for d, text in enumerate(texts):
+        for i, (t, _) in enumerate(known):
+            most = max((len(set(text[j : j + 64]) & set(t)) for j in range(len(text))), default=0)
+            if most >= made.least[i]:
+                wanted[d, i] = most / len(set(t))
+    assert got == wanted and 10 < len(wanted) < 230
+
+
 def test_quality_held_out(spark):
     rows = [(i, prose(60) if i % 3 else " ".join(w.upper() + "!!" for w in prose(60).split())) for i in range(300)] + [(300, None), (None, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

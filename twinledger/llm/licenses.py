@@ -1,11 +1,12 @@
 """License scans: fixed phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text; lines of more than WIDE words give windows of WIDE words that overlap by half, so any WIDE
-/ 2 neighbouring words share a block. A template's label applies where a block holds at least THRESHOLD of its distinct
-tokens. Tokens are ordered by their document frequency over the whole corpus, rarest first. Of a template with n
-tokens, of which a must be met, a block that matches holds one of the n - a + 1 first (prefix filter), has a words or
-more (length filter), and from the first token met on, as many tokens must remain (positional filter); what is left is
-counted exactly. Blocks are joined where they are read; templates come in parts of at most PART tokens, each a pass.
+A template's blocks are all runs of neighbouring words of a text, line ends ignored, as wide as twice the template's
+words or WIDE, whichever is more: one starts at each word. A template's label applies where a block holds at least
+THRESHOLD of its distinct tokens. Tokens are ordered by their document frequency over the whole corpus, rarest first. Of
+a template with n tokens, of which a must be met, a block that matches holds one of the n - a + 1 first (prefix filter);
+only words as near to one of these as a block is wide are looked at, and their distinct tokens are counted exactly, for
+all blocks in one pass over the words' comings and goings. Texts are joined where they are read; templates come in parts
+of at most PART tokens, or of one template that has more, each a pass.
 
 Defined cases: a null or wordless text has no words, places or labels, and score 0; repeated rows get a result each;
 without templates only phrases count; further columns are ignored.
@@ -77,69 +78,58 @@ def members(hashes: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndar
 class Templates:
     """Templates as token sets over one sorted vocabulary, with prefixes by the corpus order."""
 
-    def __init__(self, tokens: np.ndarray, sets: list[np.ndarray], labels: list[str], frequency: np.ndarray, threshold: float):
+    def __init__(self, tokens: np.ndarray, sets: list[np.ndarray], lengths: list[int], labels: list[str], frequency: np.ndarray, threshold: float):
         self.tokens, self.labels = tokens, labels
         self.rank = np.empty(len(tokens), np.int64)
         self.rank[np.lexsort((tokens, frequency))] = np.arange(len(tokens))
         self.sizes = np.array([len(s) for s in sets])
         self.least = np.array([max(1, math.ceil(threshold * n - 1e-9)) for n in self.sizes])
-        self.has = np.zeros((len(tokens), len(sets)), np.int32)
-        self.prefix = np.zeros((len(tokens), len(sets)), bool)
-        self.place = np.zeros((len(tokens), len(sets)), np.int64)
+        self.width = np.maximum(WIDE, 2 * np.array(lengths))
+        self.has = np.zeros((len(sets), len(tokens)), bool)
+        self.prefix = np.zeros((len(sets), len(tokens)), bool)
         for i, s in enumerate(sets):
             order = s[np.argsort(self.rank[s])]
-            self.has[order, i] = 1
-            self.place[order, i] = np.arange(len(order))
-            self.prefix[order[: len(order) - self.least[i] + 1], i] = True
-        self.any_prefix = self.prefix.any(1)
+            self.has[i, order] = True
+            self.prefix[i, order[: len(order) - self.least[i] + 1]] = True
+        self.any_prefix = self.prefix.any(0)
 
     def matches(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, template, share of its tokens) of each block and template that match."""
+        """(document, template, largest share of its tokens in a block) of each document and template that match."""
         at, token = members(words.hashes, self.tokens)
-        none = np.zeros(0, np.int64)
-        if not len(at) or not self.any_prefix[token].any():
-            return none, none, none.astype(float)
-        breaks = np.searchsorted(words.starts, np.flatnonzero(words.data == 10))
-        lines = np.unique(np.concatenate([words.bounds, breaks]))
-        line = np.searchsorted(lines, at, "right") - 1
-        end = np.append(lines, len(words.hashes))[line + 1]
-        length, offset, half = end - lines[line], at - lines[line], WIDE // 2
-        # the windows that a word lies in: its half and the one before it; short lines are one window
-        window = np.where(length <= WIDE, 0, offset // half)
-        span = len(words.hashes) // half + 3
-        key = line * span + window
-        twice = (length > WIDE) & (window > 0)
-        key, token, at = np.concatenate([key, key[twice] - 1]), np.concatenate([token, token[twice]]), np.concatenate([at, at[twice]])
-        hot = np.unique(key[self.any_prefix[token]])
-        keep = np.isin(key, hot)
-        key, token, at = key[keep], token[keep], at[keep]
-        pair, first = np.unique(key * len(self.tokens) + token, return_index=True)
-        block, index = np.unique(pair // len(self.tokens), return_inverse=True)
-        token = pair % len(self.tokens)
-        document = np.zeros(len(block), np.int64)
-        document[index] = np.searchsorted(words.bounds, at[first], "right") - 1
-        # words of the block, at most
-        room = np.zeros(len(block), np.int64)
-        np.maximum.at(room, index, np.minimum(WIDE, np.append(lines, len(words.hashes))[np.searchsorted(lines, at[first], "right")] - lines[np.searchsorted(lines, at[first], "right") - 1]))
-        out = []
-        for i in range(len(self.labels)):
-            pre = self.prefix[token, i]
-            cand = np.unique(index[pre])
-            cand = cand[room[cand] >= self.least[i]]
-            if not len(cand):
+        none, out = np.zeros(0, np.int64), []
+        keep = near(at, at[self.any_prefix[token]], self.width.max())
+        at, token = at[keep], token[keep]
+        for i in range(len(self.labels) if len(at) else 0):
+            own, width = self.has[i, token], self.width[i]
+            place, kind = at[own], token[own]
+            keep = near(place, at[self.prefix[i, token]], width)
+            place, kind = place[keep], kind[keep]
+            if len(place) < self.least[i]:
                 continue
-            # the first prefix token met leaves at most so many
-            earliest = np.full(len(block), self.sizes[i])
-            np.minimum.at(earliest, index[pre], self.place[token[pre], i])
-            cand = cand[self.sizes[i] - earliest[cand] >= self.least[i]]
-            common = np.bincount(index[self.has[token, i] == 1], minlength=len(block))
-            good = cand[common[cand] >= self.least[i]]
-            out.append((document[good], np.full(len(good), i), common[good] / self.sizes[i]))
+            # a token counts in the blocks that end from its place on, until it comes again, leaves them or the text ends
+            until = np.minimum(place + width, words.bounds[np.searchsorted(words.bounds, place, "right")])
+            order = np.lexsort((place, kind))
+            again = order[:-1][kind[order[1:]] == kind[order[:-1]]]
+            until[again] = np.minimum(until[again], place[order[1:]][kind[order[1:]] == kind[order[:-1]]])
+            met = np.arange(1, len(place) + 1) - np.searchsorted(np.sort(until), place, "right")
+            good = np.flatnonzero(met >= self.least[i])
+            document = np.searchsorted(words.bounds, place[good], "right") - 1
+            first = np.flatnonzero(np.diff(document, prepend=-1))
+            if len(first):
+                out.append((document[first], np.full(len(first), i), np.maximum.reduceat(met[good], first) / self.sizes[i]))
         if not out:
             return none, none, none.astype(float)
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def near(places: np.ndarray, marks: np.ndarray, width: int) -> np.ndarray:
+    """Which of the places are less than width away from one of the sorted marks."""
+    if not len(marks):
+        return np.zeros(len(places), bool)
+    after = np.searchsorted(marks, places)
+    return (marks[np.minimum(after, len(marks) - 1)] - places < width) & (after < len(marks)) | (places - marks[np.maximum(after - 1, 0)] < width) & (after > 0)
+
+
 def places(words: Words, phrase: np.ndarray) -> np.ndarray:
     """Word indexes at which the phrase's words stand consecutively in one document."""
     k = len(phrase)
@@ -164,7 +154,7 @@ def templates(docs: DataFrame, text_col: str, given: tuple[tuple[str, str], ...]
     for part in parts:
         if part:
             own = np.unique(np.concatenate([h for h, _ in part]))
-            out.append(Templates(own, [np.searchsorted(own, np.unique(h)) for h, _ in part], [label for _, label in part], frequency[np.searchsorted(tokens, own)], threshold))
+            out.append(Templates(own, [np.searchsorted(own, np.unique(h)) for h, _ in part], [len(h) for h, _ in part], [label for _, label in part], frequency[np.searchsorted(tokens, own)], threshold))
     return out
 
 
