@@ -13,6 +13,8 @@ from twinledger.llm import decontamination, neardup, packing, pii, quality
 from twinledger.llm.queries import table
 from twinledger.llm.storage import written
 
+KEY = "_row_key"
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
@@ -20,16 +22,23 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.scored(docs, model).filter("predicted = 1").drop("score", "predicted")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of each row, KEY, that stays as it is: ids may be null or repeated."""
+    return written(docs.withColumn(KEY, F.monotonically_increasing_id()), "rows")
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays; of rows that share an id, all or none."""
-    groups = neardup.near_duplicates(docs)
-    gone = written(groups.filter("not kept").select(F.col("id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """One row of each near-duplicate group stays: that of the smallest id, without an id only if all are."""
+    docs = keyed(docs)
+    groups = neardup.near_duplicates(docs, KEY).select(F.col("id").alias(KEY), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), KEY)
+    stay = docs.select(KEY, order.alias("place")).join(groups, KEY).groupBy("component_id").agg(F.min("place").alias("least"))
+    return docs.join(written(stay.select(f"least.{KEY}"), "stay"), KEY, "left_semi").drop(KEY)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
-    return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Rows that hold a benchmark passage go."""
+    return decontamination.decontaminated(keyed(docs), table(spark, sf_dir, "benchmark"), KEY).drop(KEY)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -303,6 +303,25 @@ def test_pipeline(spark):
     assert ids and ids <= {r.doc_id for r in kept.select("doc_id").collect()}
 
 
+def test_pipeline_rows_without_or_with_one_id(spark, tmp_path):
+    import corpus_pipeline
+
+    own = lambda name: " ".join(f"{name}{i}" for i in range(40))
+    spark.createDataFrame([(0, own("leak"))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, own("a")), (None, own("a")), (5, own("a")), (7, own("b")), (7, own("b")), (7, own("c")), (None, own("d")), (None, own("d")), (None, None), (None, "x " + own("leak")), (9, own("leak") + " y"), (9, own("e"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")}).repartition(3)
+    got = corpus_pipeline.near_dedup_stage(spark, docs, str(tmp_path))
+    key = lambda r: (r[0] or -1, r[1] or "")
+    leaking = {"x " + own("leak"), own("leak") + " y"}
+    wanted = [(5, own("a")), (7, own("b")), (7, own("c")), (None, own("d")), (None, None), (9, own("e"))]
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect() if r.text not in leaking), key=key) == sorted(wanted, key=key)
+    assert got.filter(F.col("text").contains("leak")).count() == 1
+    clean = corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=key) == sorted((r for r in rows if r[1] not in leaking), key=key)
+
+
 def test_warc_against_sql(spark):
     from twinledger.llm import queries
 

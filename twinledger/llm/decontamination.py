@@ -172,6 +172,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without those that leak an item."""
+    """docs without those that leak an item. Rows without an id stay; those that share one stay or go together."""
     found = written(leaks(docs, benchmark, id_col, **options).select(F.col(id_col).alias("_leaking")).distinct(), "leaking")
     return docs.join(found, docs[id_col] == found["_leaking"], "left_anti")
