@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), one below the warehouse."""
+    """The folder of spark.checkpoint.dir. Where that is unset, one below the warehouse, but only on a local master."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: driver and executors need a shared folder")
         at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     return at.rstrip("/")
 
@@ -28,6 +30,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables made by `written` whose readers are written themselves, so that nothing can need them again."""
+    for df in tables:
+        spark = df.sparkSession
+        for at in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if not at.split(":", 1)[-1].lstrip("/").startswith(shared_dir(spark).split(":", 1)[-1].lstrip("/") + "/"):
+                raise ValueError(f"{at} is not in the shared folder")
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def file_system(uri: str):
     """(a pyarrow file system, the path in it) of a local or remote uri."""
     from pyarrow import fs

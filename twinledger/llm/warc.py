@@ -1,14 +1,18 @@
 """Deterministic sharded WARC archives.
 
-Records are range-sorted by page id; each range is one shard, whose files roll over when their compressed size reaches
-a bound. Headers and digests are made anew from the payload, so equal tables give equal bytes. Tasks write under
-temporary names; the manifest, a table that Spark commits with exactly one attempt of each task, names what counts;
-its files then get their final names. A run that dies before leaves temporary files only, and publishing may be repeated.
+Records are range-sorted by page id, then by the SHA-1 of the payload, so that rows of one id can fall into several
+ranges; each range is one shard, whose files roll over when their compressed size reaches a bound. The cuts between
+shards follow from the rows alone: they are quantiles of the keys with the smallest hashes, and as many as the payloads'
+bytes ask for. Headers and digests are made anew from the payload. So equal tables give equal bytes, however they are
+partitioned. Tasks write under temporary names; the manifest, a table that Spark commits with exactly one attempt of each
+task, names what counts; its files then get their final names, and other attempts' files are deleted. A run that dies
+before leaves temporary files only, and publishing may be repeated.
 
 Of records with equal payloads of at least REVISIT_BYTES, that with the largest page id is the response and others
 revisit it. Defined cases: a null html is an empty payload; a null url an empty target; pages without an id sort first
 and never are responses that others refer to unless all equal ones lack ids; rows that repeat the response's id are
-responses too; an empty table gives an empty manifest; further columns are ignored.
+responses too; rows of one id are ordered by payload digest, then url; rows equal in id and payload are one shard's; an
+empty table gives an empty manifest; a very long payload takes memory for itself alone; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,14 +24,19 @@ import zlib
 from base64 import b32encode
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import file_system, new_folder, written
+from .storage import file_system, forget, new_folder, written
 
 REVISIT_BYTES = 1000
 FILE_BYTES = 64 << 20
+#: Payload bytes of a shard: as many as give MANY shards, but within these bounds.
+SHARD_BYTES, MANY = (4 << 20, 1 << 30), 1024
+#: Keys sampled for each cut, those of the smallest hashes.
+SAMPLED = 50
 # Fixed values of the format.
 VERSION = b"WARC/1.1\r\n"
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -77,26 +86,58 @@ def members(f: io.RawIOBase, size: int = 1 << 20) -> Iterator[bytes]:
         raise ValueError("truncated archive")
 
 
+def cuts_of(keys: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most n - 1 keys (id, key2) that divide the distinct ones of the table into like parts. The driver sees SAMPLED * n."""
+    at = F.xxhash64("id", "key2")
+    rows = keys.distinct().orderBy(at, "id", "key2").limit(SAMPLED * n).collect() if n > 1 else []
+    rows = sorted((r["id"], r["key2"]) for r in rows)
+    chosen = sorted({rows[len(rows) * i // n] for i in range(1, n)}) if rows else []
+    return tuple(np.array(x, np.int64) for x in zip(*chosen, strict=True)) if chosen else (np.zeros(0, np.int64),) * 2
+
+
+def places(cuts: tuple[np.ndarray, np.ndarray], ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The number of cuts at or before each (id, key)."""
+    first, last = (np.searchsorted(cuts[0], ids, side) for side in ("left", "right"))
+    out = first.copy()
+    tied = np.flatnonzero(first < last)  # their id is that of cuts
+    for a, b in {(int(a), int(b)) for a, b in zip(first[tied], last[tied], strict=True)}:
+        own = tied[first[tied] == a]
+        out[own] = a + np.searchsorted(cuts[1][a:b], keys[own], "right")
+    return out
+
+
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = REVISIT_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Archives in the folder; returns their manifest, MANIFEST, which is also written beside them."""
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"))
-    digests = written(rows.select("id", F.unhex(F.sha1("payload")).alias("sha1"), F.octet_length("payload").alias("n")).filter(F.col("n") >= revisit_bytes).select("id", "sha1"), "digests")
+    every = written(rows.select("id", F.unhex(F.sha1("payload")).alias("sha1"), F.octet_length("payload").alias("n")), "digests")
+    key2 = lambda sha1: F.conv(F.hex(F.substring(sha1, 1, 7)), 16, 10).cast("long")
+    total = every.agg(F.sum("n")).first()[0] or 0
+    small, large = SHARD_BYTES
+    shards = max(1, min(-(-total // small), max(MANY, -(-total // large))))
+    none = -(1 << 63)  # the place of rows without an id
+    cuts = cuts_of(every.select(F.coalesce("id", F.lit(none)).alias("id"), key2("sha1").alias("key2")), shards)
+    digests = every.filter(F.col("n") >= revisit_bytes).select("id", "sha1")
+
+    @F.pandas_udf("int")
+    def shard(id_, key):
+        import pandas as pd
+
+        return pd.Series(places(cuts, id_.to_numpy(np.int64), key.to_numpy(np.int64)), dtype="int32")
+
     shared = digests.groupBy("sha1").agg(F.max("id").alias("to"), F.count("*").alias("n")).filter("n > 1 and to is not null").select("sha1", "to")
     # instructions travel with the pages to their place in the order: the pages themselves are shuffled once
     turned = digests.join(shared, "sha1").filter("id is null or id != to").select("id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.col("sha1").alias("payload"), "to").distinct()
     both = turned.unionByName(rows.select("id", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("to")))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = both.repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "kind", "url", "payload")
-    dealt = dealt.select("id", "kind", "url", "payload", "to")
+    both = both.withColumn("key2", key2(F.when(F.col("kind") == 0, F.col("payload")).otherwise(F.unhex(F.sha1("payload")))))
+    dealt = both.withColumn("shard", shard(F.coalesce("id", F.lit(none)), "key2")).repartition("shard")
+    dealt = dealt.sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "key2", "kind", F.col("url").asc_nulls_first(), "payload").select("id", "kind", "url", "payload", "to", "shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         files, base = file_system(folder)
         files.create_dir(base, recursive=True)
-        shard, number, attempt = TaskContext.get().partitionId(), 0, uuid.uuid4().hex
-        out, state, current, to = None, None, (), {}
+        shard, number, attempt = -1, 0, uuid.uuid4().hex
+        out, state, current, to, fed = None, None, (), {}, False
 
         def closed() -> pa.RecordBatch:
             out.close()
@@ -104,9 +145,14 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
             return pa.RecordBatch.from_pylist([row], MANIFEST_ARROW)
 
         for b in batches:
-            for page, kind, url, payload, target in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (page,) != current:
+            for page, kind, url, payload, target, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if own != shard:
+                    if out is not None:
+                        yield closed()
+                    out, shard, number = None, own, 0
+                if (page,) != current or fed and not kind:  # what the next payload's rows are told
                     current, to = (page,), {}
+                fed = bool(kind)
                 if not kind:
                     to[payload] = target
                     continue
@@ -127,6 +173,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
 
     manifest = written(dealt.mapInArrow(run, MANIFEST), "manifest")
     publish(manifest, folder)
+    forget(every)
     manifest.coalesce(1).write.mode("overwrite").parquet(f"{folder}/_manifest")
     return manifest
 
@@ -151,6 +198,12 @@ def publish(manifest: DataFrame, folder: str) -> None:
             yield b
 
     manifest.select("name", "temporary").mapInArrow(run, "name string, temporary string").agg(F.count("*")).first()
+    from pyarrow.fs import FileSelector
+
+    files, base = file_system(folder)
+    for f in files.get_file_info(FileSelector(base, allow_not_found=True)):  # of attempts that the manifest doesn't name
+        if f.base_name.startswith("_") and f.base_name.endswith(".tmp"):
+            files.delete_file(f.path)
 
 
 def read(manifest: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
