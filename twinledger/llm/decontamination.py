@@ -1,37 +1,46 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are lower-cased runs of letters and digits. Each document is split into passages around its n-grams that may
-occur in the benchmark (a bitmap of fixed size, which can only err by letting more through). The n-grams found are
-joined to the benchmark's; every n-gram of an item is a seed, however rare or frequent. Frequency only deals the work:
-a seed of more than HOT passages is joined under several keys. Passage and item that share a seed are aligned (match +2,
-mismatch -1, gap -1), unless the passage has too few of the item's words for any alignment to do; the score over that of
-the item with itself is at least THRESHOLD for a leak. Copies without SEED unchanged words in a row are not found.
+Words are lower-cased runs of letters and digits. Items fall into classes of like length, by powers of two, so that a long
+item doesn't widen the search for short ones. For each class, a document is split into passages: as many words as the
+class's longest item has, before and after the n-grams that may occur in the class (a bitmap, which can only err by
+letting more through). The n-grams found are joined to the items'; every n-gram of an item is a seed, however rare or
+frequent. Frequency only deals the work: a seed of more than HOT passages is joined under several keys. Passage and item
+that share a seed are aligned (match +2, mismatch -1, gap -1), unless the passage has too few of the item's words for any
+alignment to do; the score over that of the item with itself is at least THRESHOLD for a leak. Copies without SEED
+unchanged words in a row are not found.
 
 Defined cases: null and empty texts, and items of fewer than SEED words, match nothing; rows that share an id count as
-one document, whose best alignment with an item is reported; items without an id are left out; equal items are each
-reported; an empty table gives no rows; further columns are ignored (by `leaks`) or kept (by `decontaminated`).
+one document, whose best alignment with an item is reported, of equal ones the first and then the longest; rows without
+an id count as one document whose id is null, and are kept by `decontaminated` even if they leak; items without an id are
+left out; equal items are each reported; an empty table gives no rows; a very long text is cut into passages like any
+other; further columns are ignored (by `leaks`) or kept (by `decontaminated`).
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bitmaps
 from .hashing import ALPHANUMERIC, WordHasher, ngrams
 from .storage import written
 
 SEED, THRESHOLD = 4, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
-BITMAP_BITS = 24
+#: Items of up to so many words are one class; each further one goes up to twice as many.
+SHORT = 64
 #: Passages of a seed for each key that it is joined under.
 HOT = 100_000
-ITEMS = "item long, n int, words binary, seeds array<long>"
-PASSAGES = "passage string, doc long, start int, words binary, seeds array<long>"
+#: Hot seeds up to which their table is broadcast (about 20 bytes each).
+HOT_ROWS = 200_000
+ITEMS = "item long, n int, kind int, words binary, seeds array<long>"
+PASSAGES = "passage string, doc long, kind int, start int, words binary, seeds array<long>"
 
 
 def items_of(benchmark: DataFrame, id_col: str, text_col: str, seed: int) -> DataFrame:
@@ -43,55 +52,54 @@ def items_of(benchmark: DataFrame, id_col: str, text_col: str, seed: int) -> Dat
             for words in hasher.blocks(b.column(1)):
                 own = [words.hashes[i:j] for i, j in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
                 seeds = [np.unique(ngrams(w, seed)).view(np.int64) for w in own]
+                kinds = [max(0, (len(w) - 1) // SHORT).bit_length() for w in own]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(words.first, len(own)), pa.array([len(w) for w in own], pa.int32()), pa.array([w.tobytes() for w in own], pa.binary()), pa.array(seeds, pa.list_(pa.int64()))],
-                    ["item", "n", "words", "seeds"],
+                    [b.column(0).slice(words.first, len(own)), pa.array([len(w) for w in own], pa.int32()), pa.array(kinds, pa.int32()), pa.array([w.tobytes() for w in own], pa.binary()), pa.array(seeds, pa.list_(pa.int64()))],
+                    ["item", "n", "kind", "words", "seeds"],
                 )
 
     rows = benchmark.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text")).filter("item is not null")
     return written(rows.mapInArrow(run, ITEMS).filter("size(seeds) > 0"), "items")
 
 
-def bitmap(items: DataFrame) -> np.ndarray:
-    """Which low BITMAP_BITS bits occur among the n-grams. 2 MB, however many items there are."""
+class Kind(NamedTuple):
+    """A class of items: its longest one's words, and the bitmap of its n-grams."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(1 << BITMAP_BITS, bool)
-        for b in batches:
-            own[b.column(0).values.to_numpy().view(np.uint64) & np.uint64((1 << BITMAP_BITS) - 1)] = True
-        words = np.packbits(own, bitorder="little").view(np.int64)
-        at = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(words[at])], ["at", "bits"])
+    longest: int
+    bits: np.ndarray
 
-    out = np.zeros((1 << BITMAP_BITS) // 64, np.int64)
-    for at, bits in items.select("seeds").mapInArrow(run, "at int, bits long").groupBy("at").agg(F.bit_or("bits")).toLocalIterator():
-        out[at] = bits
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
+def kinds_of(items: DataFrame) -> dict[int, Kind]:
+    """The classes: no more than doublings of a length, each with a bitmap of bounded size."""
+    rows = items.groupBy("kind").agg(F.max("n"), F.sum(F.size("seeds"))).collect()
+    return {k: Kind(longest, bitmaps.gathered(items.filter(F.col("kind") == k).select("seeds"), n)) for k, longest, n in rows}
 
-def passages_of(docs: DataFrame, id_col: str, text_col: str, bits: np.ndarray, margin: int, seed: int) -> DataFrame:
-    """PASSAGES: `margin` words before and after n-grams that the bitmap lets through; passages that meet are one."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+def passages_of(docs: DataFrame, id_col: str, text_col: str, kinds: dict[int, Kind], seed: int) -> DataFrame:
+    """PASSAGES: for each class, as many words as its longest item has, before and after n-grams that it may have;
+    passages that meet are one."""
+    shared = docs.sparkSession.sparkContext.broadcast(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, may = WordHasher(ALPHANUMERIC), np.unpackbits(shared.value).astype(bool)
+        hasher = WordHasher(ALPHANUMERIC)
+        types = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
         for b in batches:
             ids = b.column(0).to_pylist()
             for words in hasher.blocks(b.column(1)):
                 grams = ngrams(words.hashes, seed)
-                at = np.flatnonzero(may[grams & np.uint64((1 << BITMAP_BITS) - 1)])
-                doc = np.searchsorted(words.bounds, at, "right") - 1
-                whole = at + seed <= words.bounds[doc + 1]
-                at, doc = at[whole], doc[whole]
-                if not len(at):
-                    continue
-                low = np.maximum(words.bounds[doc], at - margin)
-                high = np.minimum(words.bounds[doc + 1], at + seed + margin)
-                new = np.flatnonzero(np.concatenate([[True], (low[1:] > high[:-1]) | (doc[1:] != doc[:-1])]))
-                ends = np.append(new[1:], len(at))
-                rows = [(uuid.uuid4().hex, ids[words.first + doc[i]], int(low[i] - words.bounds[doc[i]]), words.hashes[low[i] : high[j - 1]].tobytes(), np.unique(grams[at[i:j]]).view(np.int64)) for i, j in zip(new.tolist(), ends.tolist(), strict=True)]
-                kinds = (pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["passage", "doc", "start", "words", "seeds"])
+                for k, kind in shared.value.items():
+                    at = np.flatnonzero(bitmaps.may_have(kind.bits, grams))
+                    doc = np.searchsorted(words.bounds, at, "right") - 1
+                    whole = at + seed <= words.bounds[doc + 1]
+                    at, doc = at[whole], doc[whole]
+                    if not len(at):
+                        continue
+                    low = np.maximum(words.bounds[doc], at - kind.longest)
+                    high = np.minimum(words.bounds[doc + 1], at + seed + kind.longest)
+                    new = np.flatnonzero(np.concatenate([[True], (low[1:] > high[:-1]) | (doc[1:] != doc[:-1])]))
+                    ends = np.append(new[1:], len(at))
+                    rows = [(uuid.uuid4().hex, ids[words.first + doc[i]], k, int(low[i] - words.bounds[doc[i]]), words.hashes[low[i] : high[j - 1]].tobytes(), np.unique(grams[at[i:j]]).view(np.int64)) for i, j in zip(new.tolist(), ends.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["passage", "doc", "kind", "start", "words", "seeds"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     return written(rows.mapInArrow(run, PASSAGES), "passages")
@@ -134,16 +142,17 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", seed: int = SEED, threshold: float = THRESHOLD) -> DataFrame:
     """(id, item, score, start_word, end_word): each document's best alignment with each item it leaks."""
     items = items_of(benchmark, item_col, item_text, seed)
-    longest = items.agg(F.max("n")).first()[0] or 0
-    passages = passages_of(docs, id_col, text_col, bitmap(items), longest, seed)
-    found = passages.select("passage", "doc", F.explode("seeds").alias("seed"))
-    grams = items.select("item", F.explode("seeds").alias("seed"))
-    often = found.groupBy("seed").agg(F.count("*").alias("n")).filter(F.col("n") > HOT)
-    hot = F.broadcast(written(often.join(grams.select("seed").distinct(), "seed", "left_semi").select("seed", F.ceil(F.col("n") / HOT).alias("keys")), "hot"))
+    passages = passages_of(docs, id_col, text_col, kinds_of(items), seed)
+    found = passages.select("passage", "kind", F.explode("seeds").alias("seed"))
+    grams = items.select("item", "kind", F.explode("seeds").alias("seed"))
+    often = found.groupBy("kind", "seed").agg(F.count("*").alias("n")).filter(F.col("n") > HOT)
+    hot = written(often.join(grams.select("kind", "seed").distinct(), ["kind", "seed"], "left_semi").select("kind", "seed", F.ceil(F.col("n") / HOT).alias("keys")), "hot")
+    if hot.count() <= HOT_ROWS:
+        hot = F.broadcast(hot)
     keys = F.coalesce("keys", F.lit(1))
-    asked = found.join(hot, "seed", "left").select("passage", "seed", F.pmod(F.xxhash64("passage"), keys).alias("key"))
-    seeds = grams.join(hot, "seed", "left").select("item", "seed", F.explode(F.sequence(F.lit(0).cast("long"), keys - 1)).alias("key"))
-    pairs = written(asked.join(seeds, ["seed", "key"]).select("passage", "item").distinct(), "pairs")
+    asked = found.join(hot, ["kind", "seed"], "left").select("passage", "kind", "seed", F.pmod(F.xxhash64("passage"), keys).alias("key"))
+    seeds = grams.join(hot, ["kind", "seed"], "left").select("item", "kind", "seed", F.explode(F.sequence(F.lit(0).cast("long"), keys - 1)).alias("key"))
+    pairs = written(asked.join(seeds, ["kind", "seed", "key"]).select("passage", "item").distinct(), "pairs")
     sides = pairs.join(passages.select("passage", "doc", "start", F.col("words").alias("q")), "passage").join(items.select("item", F.col("words").alias("p")), "item")
     schema = f"`{id_col}` long, `{item_col}` long, score double, start_word long, end_word long"
 
