@@ -3,13 +3,18 @@
 A template's blocks are all runs of neighbouring words of a text, line ends ignored, as wide as twice the template's
 words or WIDE, whichever is more: one starts at each word. A template's label applies where a block holds at least
 THRESHOLD of its distinct tokens. Tokens are ordered by their document frequency over the whole corpus, rarest first. Of
-a template with n tokens, of which a must be met, a block that matches holds one of the n - a + 1 first (prefix filter);
-only words as near to one of these as a block is wide are looked at, and their distinct tokens are counted exactly, for
-all blocks in one pass over the words' comings and goings. Texts are joined where they are read; templates come in parts
-of at most PART tokens, or of one template that has more, each a pass.
-
-Defined cases: a null or wordless text has no words, places or labels, and score 0; repeated rows get a result each;
-without templates only phrases count; further columns are ignored.
+a template with n tokens, of which a must be met, a block that matches holds one of the n - a + 1 first (prefix filter;
+as a block whose rarest token stands at place p of the template's order holds n - p + 1 of them at most, this is the
+positional filter too, templates being contained in blocks and not the other way round). Only words as near to one of
+these as a block is wide are looked at, and of them only those in blocks with a of the template's tokens, counted with
+repeats (length filter). Their distinct tokens are counted exactly, for all blocks in one pass over the words' comings
+and goings. Texts are joined where they are read; templates come in parts of at most PART tokens, or of one template that
+has more, each a pass. The templates are whole short licenses, the notices of longer ones, and single sentences that stand
+for a license by themselves.
+
+Defined cases: a null or wordless text has no words, places or labels, and score 0; repeated rows and rows without an id
+get a result each; an empty table gives none; without templates only phrases count; a very long text takes memory for its
+own words; of several blocks that match a template the best counts; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import license_texts
 from .hashing import ALPHANUMERIC, WordHasher, Words
 
 # Phrases and their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 TEMPLATES = (
+    *license_texts.WHOLE,
     ("released under the mit license", "mit"),
     ("licensed under the apache license version 2 0", "apache-2"),
     ("licensed under cc by nc 4 0", "cc-by-nc"),
@@ -104,8 +111,12 @@ class Templates:
             place, kind = at[own], token[own]
             keep = near(place, at[self.prefix[i, token]], width)
             place, kind = place[keep], kind[keep]
-            if len(place) < self.least[i]:
+            starts = place[np.searchsorted(place, place + width) - np.arange(len(place)) >= self.least[i]]
+            if not len(starts):
                 continue
+            keep = place - starts[np.maximum(np.searchsorted(starts, place, "right") - 1, 0)] < width
+            keep &= place >= starts[0]
+            place, kind = place[keep], kind[keep]
             # a token counts in the blocks that end from its place on, until it comes again, leaves them or the text ends
             until = np.minimum(place + width, words.bounds[np.searchsorted(words.bounds, place, "right")])
             order = np.lexsort((place, kind))
