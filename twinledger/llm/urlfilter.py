@@ -6,9 +6,10 @@ the one below it, so that a context never seen counts for nothing and the order
 score is the mean of the log ratio over its characters; the threshold lies midway between the score that 95 % of the
 accepted examples exceed and that which 95 % of the rejected ones do not.
 
-Defined cases: a url that is null or without `://` has empty host and path and is judged as an empty text; without
-examples of both kinds all ratios are 0 and the verdict is allow; repeated rows are judged each; further columns are
-ignored.
+Defined cases: a url without `://` has empty host and path and is judged by its text like any other; a null one is
+judged as an empty text; without examples of both kinds all ratios are 0 and the verdict is allow; a score at the
+threshold is allowed; repeated rows are judged each; an empty table gives no rows; a very long url has as many n-gram
+rows as characters, counted before they are shuffled; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -84,11 +85,11 @@ def log_ratios(counts: DataFrame) -> DataFrame:
 def filtered(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(id, host, path, rule, verdict, score) per page."""
     host, path = parts(url_col)
-    rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
+    rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "said": verdict, "row": F.monotonically_increasing_id()})
     rows = written(rows, "urls")  # row numbers stay as they are from here on
-    each = rows.withColumn("gram", F.explode(grams(F.concat("host", "path"))))
+    each = rows.withColumn("gram", F.explode(grams(F.col("url"))))
     counts = each.groupBy("gram").agg(F.count_if(F.col("said") == "allow").alias("a"), F.count_if(F.col("said") == "block").alias("r"))
     model = written(log_ratios(written(counts, "grams")), "ratios")
     if model.count() <= BROADCAST_ROWS:
