@@ -7,7 +7,8 @@ smallest hash of the id) of the labelled rows; applied to all rows. The driver h
 
 Defined cases: a null text is an empty one, scored by the model's bias; rows without id are scored and count as not
 held out; labels without id or label are left out, and of several for one document the lowest counts; without examples
-of both classes the score is the share of label 1, or 0.5 without labels; repeated rows get a result each.
+of both classes the score is the share of label 1, or 0.5 without labels; repeated rows get a result each; a very long
+text takes memory for its own words only; `scored` keeps further columns, but for those named as its results.
 """
 
 from __future__ import annotations
@@ -180,10 +181,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fitted([rows[i] for i in order], y, np.array([share[c] for c in y.tolist()], float))
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text", accept: float = ACCEPT) -> DataFrame:
-    """docs with columns score and predicted."""
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    schema = docs.select(*kept).schema.add("score", "double").add("predicted", "integer")
+def scored(docs: DataFrame, model: Model, text_col: str = "text", accept: float = ACCEPT, into: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs with a score and whether it reaches accept (1 or 0), in columns of the names `into`, in place of such ones."""
+    kept = [c for c in docs.columns if c not in into]
+    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add(into[0], "double").add(into[1], "integer")
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.squares, model.bias, model.slope, model.shift))  # 2 MB, whatever the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,9 +193,9 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", accept: float
             for words in hasher.blocks(b.column(text_col)):
                 s = own.scores(features(words))
                 part = b.slice(words.first, len(s))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= accept).astype(np.int32))], [*kept, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= accept).astype(np.int32))], [*kept, *into])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
 
 
 def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
