@@ -7,7 +7,8 @@ least squares and rounded down; what remains is packed greedily, largest first,
 Pieces then take their slots by their rank among pieces of equal length. No text is shuffled.
 
 Defined cases: a null or empty text is a piece of the end mark alone; repeated rows and rows without an id are packed
-each; an empty table gives no pieces; further columns are ignored.
+each; an empty table gives no pieces; a very long text is encoded whole and cut; of equal lengths pieces come in any order;
+further columns are ignored.
 """
 
 from __future__ import annotations

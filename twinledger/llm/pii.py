@@ -6,8 +6,10 @@ tokens and their neighbours. It is trained on a small labelled table (`labelled_
 Viterbi in numpy batches. Its spans lose outer punctuation, must not overlap those of the patterns, and must pass the
 kind's check of digits.
 
-Defined cases: a null text is an empty one without spans; repeated rows get a result each; further columns are ignored
-(by `spans`) or kept (by `redacted`).
+Defined cases: a null text is an empty one without spans (`redacted` keeps it null); repeated rows and rows without an id
+get a result each; an empty table gives none; a very long text takes memory for its own spans and tokens; of overlapping
+spans the first is redacted, of those at one place that of the first kind; further columns are ignored (by `spans`) or
+kept (by `redacted`, which sets a column n_chars anew).
 """
 
 from __future__ import annotations
@@ -200,12 +202,22 @@ def labelled_table(n: int = 700, seed: int = 7) -> list[tuple[str, list[Span]]]:
     return out
 
 
+@lru_cache(1)
+def _default() -> Crf:
+    return _fitted(labelled_table())
+
+
 def trained(table: list[tuple[str, list[Span]]] | None = None) -> Crf:
+    """The field fitted to a table of texts and their spans; without one, to labelled_table, once in a process."""
+    return _default() if table is None else _fitted(table)
+
+
+def _fitted(table: list[tuple[str, list[Span]]]) -> Crf:
     k = len(LABELS)
     banned = np.array([[b[0] == "I" and a[1:] != b[1:] for b in LABELS] for a in LABELS])
     model = Crf(k, banned, np.array([x[0] == "I" for x in LABELS]))
     rows, labels = [], []
-    for text, spans in labelled_table() if table is None else table:
+    for text, spans in table:
         for run in runs(text):
             rows.append(features(text, run))
             row = []
