@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import sys
 from array import array
 from types import ModuleType
@@ -23,17 +24,39 @@ def _bytes_of() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def fitting(path: str) -> None:
+    """Raises where a file is not of the kind that PreTokens reads: byte-level BPE without a normaliser, whose plain split
+    and added tokens are as assumed, and whose merges are in the order of the ids that they make."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    model, split = file["model"], file.get("pre_tokenizer") or {}
+    vocab = model.get("vocab")
+    if model.get("type") != "BPE" or not isinstance(vocab, dict) or file.get("normalizer") or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        raise ValueError(f"{path}: not a plain BPE vocabulary")
+    if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        raise ValueError(f"{path}: texts are not split as byte-level BPE splits them")
+    if any(t.get(k) for t in file.get("added_tokens", ()) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{path}: added tokens that are not matched plainly")
+    made = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    ids = [vocab.get(m, -1) for m in made]
+    added = {t["content"] for t in file.get("added_tokens", ())}
+    if any(a >= b for a, b in zip([-1, *ids], ids)) or set(vocab) - added != set(made) | set(_bytes_of()) - added:
+        raise ValueError(f"{path}: merges are not in the order of their ids, or don't reach every id")
+
+
 class PreTokens:
     """Splits texts as the tokenizer of a byte-level BPE file does, and gives each pre-token's ids as little-endian
     32-bit words.
 
     Ids are looked up once per distinct pre-token and kept; beyond KEPT of these the table starts afresh. Merges go by
-    rank, which is the id in such files, so tiktoken's merge loop gives the same ids as the file's own library.
+    rank, which is the id in such files (`fitting` checks it), so tiktoken's merge loop gives the same ids as the file's
+    own library.
     """
 
     KEPT, LONGEST = 300_000, 64
 
     def __init__(self, path: str):
+        fitting(path)
         tokenizer = Tokenizer.from_file(path)
         self.own = tokenizer.pre_tokenizer
         self.special = {t.content: i.to_bytes(4, "little") for i, t in tokenizer.get_added_tokens_decoder().items()}
