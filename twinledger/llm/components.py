@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import forget, written
 
 
 def _star(edges: DataFrame) -> DataFrame:
@@ -21,17 +21,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of the edges; the component is its smallest node.
 
     Edges with a null end and loops count for nothing; repeated edges count once. Each of the O(log^2) rounds is
-    written to the shared folder. No node's neighbours are gathered: only minima per node, and joins that Spark can split.
+    written to the shared folder, and deleted after the next. No node's neighbours are gathered: only minima per node, and
+    joins that Spark can split.
     """
     edges = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u != v")
     edges, before = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"), None
     while (now := _digest(edges)) != before:
         before = now
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_star(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "large")
+        star = _star(both)
+        large = written(both.join(star, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         least = _star(large)
         small = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        done, edges = edges, written(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        forget(done, star, large, least)
     roots = edges.select("v").distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots.select("v", "v"))

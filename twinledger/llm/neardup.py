@@ -13,7 +13,8 @@ a pair at the threshold shares no bucket with probability 5e-6, more similar pai
 
 Defined cases: null and wordless texts have no shingles and are alone. Repeated rows and equal texts are one group;
 rows that share an id are one node, linked as any of their texts is, and each gets a result row. A row without an id is
-alone, with a null component, and is kept. Further columns are ignored.
+alone, with a null component, and is kept. An empty table gives no rows. A very long text takes memory for its own set.
+Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bitmaps
 from .components import components
 from .hashing import SHINGLE, WordHasher, mix, seeded, shingle_sets
-from .storage import written
+from .storage import forget, written
 
 BANDS, ROWS, BITS = 32, 4, 2
 THRESHOLD, MARGIN = (75, 100), 0.25
@@ -97,7 +99,7 @@ def long_signatures(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str,
                     yield pa.RecordBatch.from_arrays([of.take(pa.array(some)), pa.array(list(bits), pa.list_(pa.int64()))], ["id", "long"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return texts.join(ids, "id", "left_semi").mapInArrow(run, "id long, long array<long>")
+    return bitmaps.among(texts, ids).mapInArrow(run, "id long, long array<long>")
 
 
 def long_estimate(a: str, b: str, k: int = LONG) -> Column:
@@ -111,8 +113,6 @@ def estimate(a: str, b: str, k: int = BANDS * ROWS) -> Column:
     """Similarity from two packed signatures of two bits a minimum: agreement less what chance gives."""
     odd = 0x5555555555555555
 
-    odd = 0x5555555555555555
-
     def unequal(i: int) -> Column:
         x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
         return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(odd)))
@@ -124,6 +124,7 @@ def estimate(a: str, b: str, k: int = BANDS * ROWS) -> Column:
 def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """Those of the (a, b) whose full shingle sets meet the threshold."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = bitmaps.among(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("s"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("t"))
     part, whole = threshold
@@ -153,7 +154,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = threshold[0] / threshold[1] - MARGIN
     exploded = reps.select("rep", F.explode("bands").alias("band"))
     shared = exploded.groupBy("band").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter("leader < last")
-    members = written(exploded.join(written(shared.select("band", "leader"), "buckets"), "band"), "members")
+    buckets = written(shared.select("band", "leader"), "buckets")
+    members = written(exploded.join(buckets, "band"), "members")
+    forget(buckets)
     packed = reps.select("rep", "packed", "bands")
 
     def with_estimates(pairs: DataFrame) -> DataFrame:
@@ -163,6 +166,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     stars = written(with_estimates(members.filter("rep > leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()), "stars")
     links = written(confirmed(stars, docs, id_col, text_col, shingle, threshold), "links")
+    forget(stars)
 
     def grouped() -> DataFrame:
         return written(components(links), "components")
@@ -174,10 +178,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = written(labelled.groupBy("band").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("n")).filter("c1 < c2 and n > 2").select("band"), "mixed")
     rest = labelled.filter("rep > leader").join(mixed, "band").join(packed, "rep")
     rest = written(rest.join(groups, F.col("leader") == F.col("node"), "left").select("band", "rep", "c", "packed", "bands", F.coalesce("component", "leader").alias("main")), "rest")
+    forget(members, labelled, mixed)
     longer = written(long_signatures(docs, rest.select(F.col("rep").alias("id")).distinct(), id_col, text_col, shingle), "longer")
-    rest = rest.join(longer.withColumnRenamed("id", "rep"), "rep")
-    strays = rest.filter("c != main").select("band", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("packed").alias("p"), F.col("long").alias("lp"), F.col("bands").alias("bp"))
-    others = rest.select("band", F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("packed").alias("q"), F.col("long").alias("lq"), F.col("bands").alias("bq"), F.col("main"))
+    signed_rest = rest.join(longer.withColumnRenamed("id", "rep"), "rep")
+    strays = signed_rest.filter("c != main").select("band", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("packed").alias("p"), F.col("long").alias("lp"), F.col("bands").alias("bp"))
+    others = signed_rest.select("band", F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("packed").alias("q"), F.col("long").alias("lq"), F.col("bands").alias("bq"), F.col("main"))
     t = threshold[0] / threshold[1]
     likely, likely_least = long_estimate("lp", "lq"), t - 5 * ((1 - t * t) / LONG) ** 0.5
     apart = F.expr("ca != cb and (cb = main or a < b)")
@@ -185,6 +190,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     once = F.expr("band = array_min(array_intersect(bp, bq))")
     crossing = strays.join(others, "band").filter(apart & (estimate("p", "q") >= least) & once & (likely >= likely_least))
     crossing = written(crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "crossing")
+    forget(rest, longer)
     if not crossing.isEmpty():
         found = written(confirmed(crossing, docs, id_col, text_col, shingle, threshold), "links")
         if not found.isEmpty():
