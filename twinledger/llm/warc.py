@@ -2,8 +2,8 @@
 
 Records are range-sorted by page id, then by the SHA-1 of the payload, so that rows of one id can fall into several
 ranges; each range is one shard, whose files roll over when their compressed size reaches a bound. The cuts between
-shards follow from the rows alone: they are quantiles of the keys with the smallest hashes, and as many as the payloads'
-bytes ask for. Headers and digests are made anew from the payload. So equal tables give equal bytes, however they are
+shards follow from the rows alone: they are quantiles of the keys whose hashes lie below a bound, and as many as the
+payloads' bytes ask for. Headers and digests are made anew from the payload. So equal tables give equal bytes, however they are
 partitioned. Tasks write under temporary names; the manifest, a table that Spark commits with exactly one attempt of each
 task, names what counts; its files then get their final names, and other attempts' files are deleted. A run that dies
 before leaves temporary files only, and publishing may be repeated.
@@ -35,8 +35,8 @@ REVISIT_BYTES = 1000
 FILE_BYTES = 64 << 20
 #: Payload bytes of a shard: as many as give MANY shards, but within these bounds.
 SHARD_BYTES, MANY = (4 << 20, 1 << 30), 1024
-#: Keys sampled for each cut, those of the smallest hashes.
-SAMPLED = 50
+#: Keys sampled for each cut, about: those whose hashes lie below a bound.
+SAMPLED = 20
 # Fixed values of the format.
 VERSION = b"WARC/1.1\r\n"
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -87,10 +87,15 @@ def members(f: io.RawIOBase, size: int = 1 << 20) -> Iterator[bytes]:
 
 
 def cuts_of(keys: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most n - 1 keys (id, key2) that divide the distinct ones of the table into like parts. The driver sees SAMPLED * n."""
+    """At most n - 1 keys (id, key2) that divide the distinct ones of the table into like parts. The driver gets about
+    SAMPLED * n keys: their number is counted, or estimated alike whatever the partitions, and that share of hashes is kept."""
+    if n == 1:
+        return (np.zeros(0, np.int64),) * 2
     at = F.xxhash64("id", "key2")
-    rows = keys.distinct().orderBy(at, "id", "key2").limit(SAMPLED * n).collect() if n > 1 else []
-    rows = sorted((r["id"], r["key2"]) for r in rows)
+    total = keys.agg(F.approx_count_distinct(at, 0.02)).first()[0]
+    if (share := SAMPLED * n / max(1, total)) < 1:
+        keys = keys.filter(at < int(share * (1 << 64)) - (1 << 63))
+    rows = sorted((r["id"], r["key2"]) for r in keys.distinct().collect())
     chosen = sorted({rows[len(rows) * i // n] for i in range(1, n)}) if rows else []
     return tuple(np.array(x, np.int64) for x in zip(*chosen, strict=True)) if chosen else (np.zeros(0, np.int64),) * 2
 
