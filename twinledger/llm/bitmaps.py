@@ -1,4 +1,5 @@
-"""Bitmaps of bounded size over sets of 64-bit numbers: what they don't hold is surely not in the set."""
+"""Bitmaps of bounded size over sets of 64-bit numbers (Bloom filters of two bits a number): what they don't hold is surely
+not in the set."""
 
 from __future__ import annotations
 
@@ -11,12 +12,18 @@ from pyspark.sql import functions as F
 
 from .hashing import mix
 
-#: A bitmap has 2^b bits, about 64 for each number, but with b within these bounds (32 MB at most). Beyond, more is let through.
-BITS = (16, 28)
+#: A bitmap has 2^b bits, 256 or more for each number, but with b within these bounds (32 MB at most). So at most one number
+#: in 16,000 that is not in the set is let through; beyond a million numbers more are.
+BITS = (22, 28)
 
 
 def bits_for(n: int) -> int:
-    return int(np.clip(int(64 * n).bit_length(), *BITS))
+    return int(np.clip(int(256 * n).bit_length(), *BITS))
+
+
+def _places(numbers: np.ndarray, b: int) -> tuple[np.ndarray, np.ndarray]:
+    h, mask = mix(numbers), np.uint64((1 << b) - 1)
+    return h & mask, (h >> np.uint64(32)) & mask
 
 
 def gathered(numbers: DataFrame, n: int) -> np.ndarray:
@@ -28,7 +35,8 @@ def gathered(numbers: DataFrame, n: int) -> np.ndarray:
         for batch in batches:
             column = batch.column(0)
             flat = column.flatten() if pa.types.is_list(column.type) or pa.types.is_large_list(column.type) else column
-            own[mix(flat.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) & np.uint64((1 << b) - 1)] = True
+            for at in _places(flat.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), b):
+                own[at] = True
         words = np.packbits(own, bitorder="little").view(np.int64)
         at = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(words[at])], ["at", "bits"])
@@ -41,8 +49,8 @@ def gathered(numbers: DataFrame, n: int) -> np.ndarray:
 
 def may_have(bits: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     """False for numbers (uint64) that are not in the set."""
-    low = mix(numbers) & np.uint64(len(bits) * 8 - 1)
-    return bits[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8) & np.uint8(1) > 0
+    first, second = (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) for at in _places(numbers, len(bits).bit_length() + 2))
+    return first & second & np.uint8(1) > 0
 
 
 def among(rows: DataFrame, ids: DataFrame, col: str = "id") -> DataFrame:
