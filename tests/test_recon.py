@@ -1,5 +1,8 @@
 """Every query against its SQL, and small cases by hand."""
 
+import builtins
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +12,8 @@ from twinledger.config import MS, ReconConfig
 from twinledger.operators import orders, sequence
 from twinledger.plans import oracle, queries
 from twinledger.schema import may_follow
-from twinledger.sources import fix
+from twinledger.sources import fix, wire
+from twinledger.storage import shared_dir
 
 DATA = "/root/testdata/sf0.001"
 
@@ -34,18 +38,36 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).limit(1).count() == 1
 
 
+#: What may follow each status, by name, written out.
+ALLOWED = """
+New: New Working PartiallyFilled Filled CancelPending Rejected
+PartiallyFilled: PartiallyFilled Filled CancelPending
+Filled: Filled
+Canceled: Canceled
+Replaced: Replaced Working PartiallyFilled Filled CancelPending Rejected
+Rejected: Rejected
+Unknown: New PartiallyFilled Filled Canceled Replaced Rejected Unknown PendingNew Working CancelPending
+PendingNew: PendingNew Working PartiallyFilled Filled CancelPending Rejected
+Working: Working PartiallyFilled Filled CancelPending Rejected
+CancelPending: CancelPending Canceled Rejected PartiallyFilled Filled
+"""
+
+
 def test_transitions(spark):
-    rows = spark.range(100).select((F.col("id") / 10).cast("int").alias("a"), (F.col("id") % 10).cast("int").alias("b"))
-    got = rows.select("a", "b", orders.may_follow(F.col("a"), F.col("b")).alias("ok")).collect()
-    assert all(r.ok == may_follow(r.a, r.b) for r in got)
-    assert not may_follow(0, 3) and not may_follow(8, 3) and may_follow(9, 3) and may_follow(6, 4) and not may_follow(2, 8)
+    table = {k: v.split() for k, v in (line.split(":") for line in ALLOWED.split("\n") if line)}
+    names = list(table)
+    assert all(may_follow(a, b) == (names[b] in table[names[a]]) for a in range(10) for b in range(10))
+    # codes beyond the known ones follow the unknown status and themselves
+    assert may_follow(6, 77) and may_follow(77, 77) and not may_follow(77, 2) and not may_follow(0, 77)
+
+
+EVENTS = "order_key long, source int, r int, ord_status int, cum_qty long, price_micro long, ingest_ns long, transact_time long, exec_id string"
 
 
 def feed(spark, *rows):
     """(source, status, cum, price, ms, exec id)"""
-    cols = "order_key long, source int, r int, ord_status int, cum_qty long, price_micro long, ingest_ns long, transact_time long, exec_id string"
     data = [(1, s, i, st, cum, px, t * MS, t * MS, x) for i, (s, st, cum, px, t, x) in enumerate(rows)]
-    return orders.views(orders.lifecycle(spark.createDataFrame(data, cols)))
+    return orders.views(orders.lifecycle(spark.createDataFrame(data, EVENTS)))
 
 
 def test_matched_within_grace(spark):
@@ -86,23 +108,250 @@ def test_dedup(spark):
 
 
 @pytest.mark.parametrize(("view", "kind"), [
-    ([(0, 8, 10, 100, 0, "E"), (1, 8, 10, 100, 1, "F")], None),
-    ([(0, 8, 10, 100, 0, "E"), (1, 2, 20, 105, 1, "E")], 0),
-    ([(1, 0, 1, 1, 0, "E")], 1),
-    ([(0, 1, 50, 1, 0, "E"), (1, 2, 50, 1, 1, "E")], 2),
-    ([(0, 2, 10, 1, 0, "E"), (1, 2, 20, 1, 1, "E")], 3),
-    ([(1, 2, 10, 1, 0, "E"), (0, 2, 10, 1, 1, "E")], 4),
+    ([(0, 8, 37, 412, 0, "a"), (1, 8, 37, 412, 3, "b")], None),
+    ([(0, 7, 37, 412, 0, "a"), (1, 1, 61, 399, 3, "a")], 0),
+    ([(1, 7, 3, 8, 0, "a")], 1),
+    ([(0, 1, 73, 8, 0, "a"), (1, 9, 73, 8, 3, "a")], 2),
+    ([(0, 1, 19, 8, 0, "a"), (1, 1, 23, 8, 3, "a")], 3),
+    ([(1, 1, 19, 8, 0, "a"), (0, 1, 19, 8, 3, "a")], 4),
 ])
 def test_immediate(spark, view, kind):
     found = orders.immediate(feed(spark, *view)).orderBy("detect_ns").collect()
     assert (found[-1].type if found else None) == kind
 
 
+def test_immediate_tolerances(spark):
+    last = lambda view, **c: [r.type for r in orders.immediate(view, ReconConfig(**c)).orderBy("detect_ns").collect()][-1:]
+    view = feed(spark, (0, 1, 19, 8, 0, "a"), (1, 1, 23, 11, 3, "a"))
+    assert last(view, qty_tolerance=4, px_tolerance=3) == [] and last(view, qty_tolerance=3, px_tolerance=3) == last(view, qty_tolerance=4, px_tolerance=2) == [3]
+    view = feed(spark, (1, 1, 19, 8, 0, "a"), (0, 1, 19, 8, 3, "a"))
+    assert last(view, timing_slack_ns=3 * MS) == [1] and last(view, timing_slack_ns=3 * MS - 1) == [4]
+
+
 def test_full_range_difference(spark):
     row = spark.createDataFrame([(2**63 - 1, -(2**63))], "a long, b long")
     assert row.select(orders.apart("a", "b", 0).alias("x")).first().x
 
 
+def suppression(spark, rows, until, **config):
+    """Counters and (ms, type) of one order's events; until: the last ms of a gap that each event is in."""
+    data = [(1, s, i, st, cum, px, t * MS, t * MS, x, None if u is None else u * MS) for i, ((s, st, cum, px, t, x), u) in enumerate(zip(rows, until, strict=True))]
+    view = orders.views(orders.lifecycle(spark.createDataFrame(data, EVENTS + ", until_ns long")))
+    made = ReconConfig(grace_ns=10 * MS, gap_recheck_ns=7 * MS, **config)
+    return orders.two_stage_counters(view, made).first().asDict(), [(r.detect_ns / MS, r.type) for r in orders.two_stage(view, made).filter("emitted").collect()]
+
+
+def test_gap_suppression(spark):
+    lone = [(0, 1, 5, 5, 0, "a")]
+    counted, found = suppression(spark, lone, [30])  # checked at 10, 17, 24; the gap is closed at 31
+    assert (counted["gap_suppressions"], counted["mismatch_confirmed"], found) == (3, 1, [(31.0, 5)])
+    assert suppression(spark, lone, [9])[1] == suppression(spark, lone, [None])[1] == [(10.0, 5)]
+    both = [(0, 1, 5, 5, 0, "a"), (1, 1, 5, 5, 20, "a")]
+    counted, found = suppression(spark, both, [30, 30])  # agrees at 20 but the gap is open: decided by the check at 24
+    assert (counted["gap_suppressions"], counted["orders_matched"], counted["false_positive_avoided"], found) == (2, 1, 1, [])
+    soon = [(0, 1, 5, 5, 0, "a"), (1, 1, 5, 5, 16, "a")]
+    counted, found = suppression(spark, soon, [15, None])  # the event after the gap decides
+    assert (counted["gap_suppressions"], counted["orders_matched"], counted["false_positive_avoided"], found) == (1, 1, 0, [])
+    again = [(0, 1, 5, 5, 0, "a"), (1, 1, 6, 5, 16, "a")]
+    counted, found = suppression(spark, again, [15, None])  # a new grace period after the gap
+    assert (counted["mismatch_observed"], found) == (2, [(26.0, 3)])
+    assert suppression(spark, again, [15, None], horizon_ns=26 * MS)[1] == []
+
+
+def test_uncertain(spark):
+    """The event that opens a gap is in it, the one that fills it not, and others of its session, of either feed, are."""
+    rows = [(0, 0, 1, 10), (0, 0, 4, 20), (1, 0, 1, 25), (0, 0, 2, 30), (1, 0, 2, 35), (0, 1, 1, 26), (1, 0, 9, 40), (1, 0, 10, 1040), (1, 0, 11, 1041)]
+    events = spark.createDataFrame([(i, s, n, q, t * MS) for i, (s, n, q, t) in enumerate(rows)], "i int, source int, session_id int, seq long, arrival long")
+    for block in (15 * MS, orders.BLOCK_NS):
+        gaps = sequence.timed_gap_intervals(sequence.classify(events.drop("i"), block), F.col("arrival"), block=block)
+        got = {r.i: (r.gap_flags, r.p_epoch, r.d_epoch, r.until_ns) for r in sequence.uncertain(events, gaps, block).collect()}
+        p, d, none = (1, 1, None, 30 * MS - 1), (2, None, 1, 1040 * MS), (None,) * 4
+        assert got == {0: none, 1: p, 2: p, 3: none, 4: none, 5: none, 6: d, 7: d, 8: none}
+
+
+def random_events(n, seed, orders_=1):
+    r = random.Random(seed)
+    status = lambda: r.choice([0, 8, 8, 1, 1, 1, 2, 3, 9, 6, 77])
+    return [(r.randrange(orders_), r.randrange(2), i, status(), r.choice([1, 2]), 5, t * MS, t * MS, r.choice("ab"), r.choice([None, None, None, (t + 40) * MS])) for i, t in enumerate(sorted(r.sample(range(20 * n), n)))]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_hot_order(spark, seed):
+    """An order with nine tenths of all events is taken in parts by several tasks; results are the same."""
+    rows = [(0, *x[1:]) if i % 10 else (1 + x[0], *x[1:]) for i, x in enumerate(random_events(600, seed, 3))]
+    events = spark.createDataFrame(rows, EVENTS + ", until_ns long").repartition(4)
+    split = orders.parted(events, hot=100, block_ns=500 * MS)
+    assert split.filter(F.col("order_key") == 0).select("part").distinct().count() > 10 and split.filter(F.col("part") == orders.ORDINARY).count() == 60
+    config = ReconConfig(grace_ns=30 * MS, dedup_ns=200 * MS, gap_recheck_ns=7 * MS)
+    results = []
+    for given in (events, split):
+        accepted = orders.lifecycle(given)
+        view = orders.views(accepted)
+        results.append([
+            sorted(map(str, accepted.select(*events.columns, "accepted").collect())),
+            sorted(map(str, view.select("order_key", *orders.ORDER, *orders.SIX).collect())),
+            sorted(map(str, orders.two_stage(view, config).collect())),
+            orders.two_stage_counters(view, config).first().asDict(),
+            sorted(map(str, orders.immediate(view, config).collect())),
+            sorted(map(str, orders.recon_states(view, config).collect())),
+        ])
+    assert results[0] == results[1]
+    now = {}
+    for key, source, r, status, *_ in rows:  # the life of each order and feed, one event after another
+        good = may_follow(now.get((key, source), 6), status)
+        assert f"accepted={good}" in next(x for x in results[0][0] if f"r={r}," in x and f"order_key={key}," in x)
+        if good:
+            now[key, source] = status
+    segments = orders.reconciled(orders.views(orders.lifecycle(split)), config).filter("order_key = 0 and state is not null")
+    assert segments.count() > 5
+
+
+def test_machine_against_a_plain_one():
+    """One event or timer at a time, by the table of states."""
+    for seed in range(200):
+        r = random.Random(seed)
+        config = ReconConfig(grace_ns=r.choice([5, 20]), gap_recheck_ns=r.choice([1, 7]))
+        machine, got, wanted = orders.Machine(config), [], []
+        state, mask, due, until, n = 0, 0, None, -1, [0] * 6
+        times = sorted(r.sample(range(300), 25))
+        for i, t in enumerate([*times, 1000]):
+            while due is not None and due < t:
+                if not mask:
+                    state, due = 4, None
+                    n[2], n[3] = n[2] + 1, n[3] + 1
+                elif until >= due:
+                    state, due = 6, due + config.gap_recheck_ns
+                    n[5] += 1
+                else:
+                    wanted.append((due, mask))
+                    state, due = 5, None
+                    n[1] += 1
+            if found := machine.timer(t - 1):
+                got.append(found)
+            if t == 1000:
+                break
+            good, m, u = i == 0 or r.random() < 0.9, 16 if i == 0 else r.choice([0, 0, 1, 2]), r.choice([None, None, t + 30])
+            if (found := machine.event(t, good, m, u)) is not None:
+                got.append((t, found))
+            until = max(until, -1 if u is None else u)
+            if not good:
+                state, due = 5, None
+                n[1] += 1
+                wanted.append((t, 1))
+                continue
+            mask = m
+            if state in (0, 4) and m or state == 6 and until < t and m:
+                state, due = 3, t + config.grace_ns
+                n[0] += 1
+            elif state == 3 and not m:
+                state, due = 4, None
+                n[2], n[3] = n[2] + 1, n[3] + 1
+            elif state == 5 and not m:
+                state = 4
+                n[4] += 1
+            elif state == 6 and until < t:
+                state, due = 4, None
+                n[3] += 1
+        assert (got, machine.n, machine.state) == (wanted, n, state)
+
+
+def test_hot_tracker(spark):
+    """A tracker with nine tenths of all arrivals, in blocks of 16."""
+    r = random.Random(3)
+    rows = []
+    for session, n in ((0, 900), (1, 100)):
+        seq = 0
+        for i in range(n):
+            step = r.choice([1, 1, 1, 1, 2, 4, -1, -3, 0])
+            rows.append((0, session, max(1, seq + step), i, i * r.choice([300])))
+            seq = max(seq, seq + step)
+    arrivals = spark.createDataFrame(rows, "source int, session_id int, seq long, arrival long, ms long").repartition(5)
+    by_hand = arrivals.filter("arrival % 41 = 7").select("source", "session_id", "arrival", "ms")
+    for config in (None, ReconConfig(gap_close_ns=900 * MS, gap_timeout_ns=2000 * MS)):
+        for hands in (None, by_hand):
+            wanted = plain_gaps(rows, config, set(map(tuple, hands.select("session_id", "arrival").collect())) if hands else set())
+            for block in (16, 65_536):
+                seen = sequence.classify(arrivals, block)
+                if config:
+                    got = sequence.timed_gap_intervals(seen, F.col("ms") * MS, config, hands, block).select("session_id", "epoch", "start_seq", "end_seq", "opened", "closed", "filled_by", "reason", "closed_ns")
+                else:
+                    got = sequence.gap_intervals(seen, hands, block).select("session_id", "epoch", "start_seq", "end_seq", "opened", "closed", "filled_by", "reason", F.lit(None))
+                assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, wanted))
+
+
+def plain_gaps(rows, config, hands):
+    out = []
+    for session in {x[1] for x in rows}:
+        last, gap, epoch = None, None, 0
+        limit = lambda g: min((g[5] + config.gap_close_ns, 1), (g[4] + config.gap_timeout_ns, 2)) if config else (None, None)
+        for _, s, seq, i, ms in rows:
+            if s != session:
+                continue
+            t = ms * MS
+            if gap and config and t > limit(gap)[0]:
+                out.append((s, epoch, *gap[:3], None, None, limit(gap)[1], limit(gap)[0]))
+                gap = None
+            if last is not None and seq > last + 1:
+                if not gap:
+                    epoch += 1
+                gap = [gap[0] if gap else last + 1, seq, gap[2] if gap else i, None, gap[4] if gap else t, t]
+            elif last is not None and seq < last and gap and gap[0] <= seq < gap[1]:
+                out.append((s, epoch, *gap[:3], i, seq, 0, t if config else None))
+                gap = None
+            last = seq if last is None else max(last, seq)
+            if gap and (s, i) in hands:
+                out.append((s, epoch, *gap[:3], i, None, 3, t if config else None))
+                gap = None
+        if gap:
+            out.append((session, epoch, *gap[:3], None, None, limit(gap)[1], limit(gap)[0]))
+    return out
+
+
+def test_wire_ids(spark):
+    """Ids of any bytes: absent, of more than 32 bytes, cut within a character."""
+    ids = [None, "", "plain", "é" * 16, "x" + "é" * 16, "y" * 40]
+    rows = spark.createDataFrame([(i, 1, 2, 3 + i, 4, -5, 6, 7, 8, 9, x, x, "z") for i, x in enumerate(ids)], "i int, exec_type int, ord_status int, seq_num long, session_id int, price_micro long, qty long, cum_qty long, sending_time long, transact_time long, exec_id string, order_id string, clord_id string")
+    got = {r.i: r for r in wire.decoded(wire.encoded(rows)).collect()}
+    for i, x in enumerate(ids):
+        cut = (x or "").encode()[:32].decode(errors="replace")
+        assert (got[i].exec_id, got[i].order_id, got[i].clord_id, got[i].price_micro, got[i].seq_num) == (cut, cut, "z", -5, 3 + i)
+    assert wire.decoded(wire.encoded(rows.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("lacking", ["twinledger.llm", "tiktoken", "corpus_pipeline"])
+def test_entry_without_what_the_corpus_part_needs(monkeypatch, lacking):
+    import sys
+
+    real = builtins.__import__
+
+    def without(name, globals=None, locals=None, fromlist=(), level=0):
+        if name.split(".")[0] == lacking or name.startswith(lacking):
+            raise ImportError(name)
+        return real(name, globals, locals, fromlist, level)
+
+    for name in [m for m in sys.modules if m.startswith("twinledger.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setattr(builtins, "__import__", without)
+    assert set(queries.NAMES) <= set(__spark_entry__.queries()) and set(queries.NAMES) <= set(__spark_entry__.oracle_sql())
+    assert "pipeline" not in __spark_entry__.queries()
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    class Conf(dict):
+        def get(self, k, default=None):
+            return dict.get(self, k, default)
+
+    class Session:
+        conf = Conf({"spark.master": "yarn", "spark.sql.warehouse.dir": "/w"})
+
+    with pytest.raises(ValueError):
+        shared_dir(Session)
+    Session.conf["spark.checkpoint.dir"] = "hdfs://x/y/"
+    assert shared_dir(Session) == "hdfs://x/y"
+    Session.conf = Conf({"spark.master": "local[2]", "spark.sql.warehouse.dir": "/w"})
+    assert shared_dir(Session) == "/w/_shared"
+
+
 @pytest.mark.parametrize("block", [2, 65_536])
 def test_gaps(spark, block):
     seqs = {0: [1, 4, 8, 3], 1: [1, 5, 3], 2: [1, 2, 5, 5], 3: [10, 11, 15, 10], 4: [1, 2, 2]}
@@ -110,13 +359,13 @@ def test_gaps(spark, block):
     found = sequence.classify(rows, block)
     kinds = {s: [r.kind for r in found.filter(F.col("session_id") == s).orderBy("arrival").collect()] for s in seqs}
     assert kinds == {0: [None, 0, 0, 2], 1: [None, 0, 2], 2: [None, None, 0, 1], 3: [None, None, 0, 2], 4: [None, None, 1]}
-    gaps = {r.session_id: (r.epoch, r.start_seq, r.end_seq, r.opened, r.closed, r.filled_by) for r in sequence.gap_intervals(found).collect()}
+    gaps = {r.session_id: (r.epoch, r.start_seq, r.end_seq, r.opened, r.closed, r.filled_by) for r in sequence.gap_intervals(found, block=block).collect()}
     assert gaps == {0: (1, 2, 8, 1, 3, 3), 1: (1, 2, 5, 1, 2, 3), 2: (1, 3, 5, 2, None, None), 3: (1, 12, 15, 2, None, None)}
 
 
 @pytest.mark.parametrize(("text", "result"), [
-    ("35=8|150=2|39=2|17=E1|11=C|37=O|31=1000000|32=200|14=200|52=1|60=2|", 0),
-    ("35=8|150=2|39=2|17=E1|31=1000000|32=200|14=200|52=1|", 1),
+    ("8=FIX.4.4|35=8|39=1|150=1|11=own-7|17=x9|32=35|31=1204500|14=61|60=77|52=76|37=venue-3|", 0),
+    ("8=FIX.4.4|35=8|39=1|150=1|17=x9|32=35|31=1204500|14=61|60=77|", 1),
     ("35=D|150=2|39=2|17=E1|11=C|31=1|32=2|52=1|", 2),
     ("150=2|39=2|17=E1|11=C|31=1|32=2|52=1|", 0),
     ("035=8|150=2|39=2|17=E1|11=C|31=1|32=2|52=1", 0),

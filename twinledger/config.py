@@ -16,6 +16,8 @@ class ReconConfig:
     gap_recheck_ns: int = 100 * MS
     qty_tolerance: int = 0
     px_tolerance: int = 0
+    #: Immediate mode: by how much the drop copy's time may precede the primary's.
+    timing_slack_ns: int = 0
     compare_exec_id: bool = True
     #: The time of the last poll: open mismatches whose deadline lies before it are confirmed. None: all are.
     horizon_ns: int | None = None

@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import ReconConfig
+from ..config import MS, ReconConfig
 from ..schema import (
-    DROPCOPY, FILLED, FOLLOW_BITS, M_AVG_PX, M_CUM_QTY, M_EXEC_ID, M_EXISTENCE, M_STATUS, MISSING_DROPCOPY, MISSING_FILL, NEW, PARTIALLY_FILLED,
-    PENDING_NEW, PHANTOM_ORDER, PRIMARY, QUANTITY_MISMATCH, STATE_MISMATCH, TIMING_ANOMALY, UNKNOWN, WORKING,
+    DIVERGED_CONFIRMED, DROPCOPY, FILLED, FOLLOW_BITS, IN_GRACE, M_AVG_PX, M_CUM_QTY, M_EXEC_ID, M_EXISTENCE, M_STATUS, MATCHED, MISSING_DROPCOPY, MISSING_FILL, NEW, PARTIALLY_FILLED,
+    PENDING_NEW, PHANTOM_ORDER, PRIMARY, QUANTITY_MISMATCH, R_UNKNOWN, RECON_NAMES, STATE_MISMATCH, SUPPRESSED_BY_GAP, TERMINAL_STATES, TERMINAL_STATUSES, TIMING_ANOMALY, UNKNOWN, WORKING,
 )
+from ..schema import may_follow as may_follow_code
+from .running import folded, running
+from .sequence import FOREVER
 
 SIDE = ("status", "cum_qty", "avg_px", "ts", "exec_id")
 #: An event's place in its order's life.
 ORDER = ("ingest_ns", "source", "r")
+#: Events of an order that one task takes; orders with more are taken by blocks of time.
+HOT, BLOCK_NS, ORDINARY = 10_000_000, 3_600_000 * MS, -(1 << 62)
 
 
 def may_follow(current: Column, new: Column) -> Column:
@@ -23,33 +30,121 @@ def may_follow(current: Column, new: Column) -> Column:
     return F.when(new.between(0, 9), F.getbit(bits, new.cast("int")) == 1).otherwise((current == UNKNOWN) | (current == new))
 
 
-def lifecycle(events: DataFrame) -> DataFrame:
-    """events with `accepted`: whether the status may follow that of the feed's last accepted event of the order.
+def is_terminal(status: Column) -> Column:
+    return status.isin(*TERMINAL_STATUSES)
+
 
-    A fold over each order's events of one feed, in order: the one step here that must see them one after another.
+def parted(events: DataFrame, hot: int = HOT, block_ns: int = BLOCK_NS) -> DataFrame:
+    """events with a column `part` where some order has more than `hot` of them: the number of the block of time for such
+    orders, ORDINARY for others. All that runs along an order then takes it part by part, so that many tasks share a hot one.
+
+    The driver gets the hot keys: no more than one for each `hot` events.
     """
-    row = F.struct(*ORDER, *[c for c in events.columns if c not in (*ORDER, "order_key")])
-    grouped = events.groupBy("order_key").agg(F.array_sort(F.collect_list(row)).alias("events"))
+    keys = [r[0] for r in events.groupBy("order_key").count().filter(F.col("count") > hot).select("order_key").collect()]
+    if not keys:
+        return events
+    block = F.expr(f"ingest_ns div {block_ns}")
+    marked = events.sparkSession.createDataFrame([(k,) for k in keys], "order_key long").withColumn("hot", F.lit(True))
+    return events.join(F.broadcast(marked), "order_key", "left").withColumn("part", F.when(F.col("hot"), block).otherwise(F.lit(ORDINARY))).drop("hot")
+
+
+def _part(rows: DataFrame) -> Column | None:
+    return F.col("part") if "part" in rows.columns else None
+
+
+#: An order's status after some events, as a character for each status that it may have had before them.
+SAME = "".join(map(chr, range(10)))
+
+
+def _after(steps: str, status: int) -> str:
+    """steps, then an event. A status of a code beyond the known ones allows none but itself to follow."""
+    return "".join(chr(status) if may_follow_code(ord(c), status) else c for c in steps)
+
+
+def _statuses(batches: Iterator[pa.RecordBatch], known: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of (order_key, part, source, ord_status, start, ...) in order. With starts known: the rows, with `accepted`;
+    else one for each part and source: what its events make of each status before them."""
+    at, now, memo = None, {}, {}
+    for b in batches:
+        out, accepted = [], []
+        for key, part, source, status, start in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            if (key, part) != at:
+                out += [(*at, s, x) for s, x in now.items()] if at and not known else []
+                at, now = (key, part), {}
+            if known:
+                before = now.get(source, UNKNOWN if start is None else start)
+                good = may_follow_code(before, status)
+                accepted.append(good)
+                now[source] = status if good else before
+            else:
+                before = now.get(source, SAME)
+                if (before, status) not in memo:
+                    memo[before, status] = _after(before, status)
+                now[source] = memo[before, status]
+        if known:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(accepted, pa.bool_())], [*b.schema.names, "accepted"])
+        elif out:
+            yield _steps(out)
+    if at and now and not known:
+        yield _steps([(*at, s, x) for s, x in now.items()])
+
+
+def _steps(rows: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)], ["order_key", "part", "source", "steps"])
+
+
+def _starts(parts: DataFrame) -> DataFrame:
+    """(order_key, part, source, start): the status before each part but an order's first, of the parts' steps."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, now = None, UNKNOWN
+        for b in batches:
+            out = []
+            for key, part, source, steps in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (key, source) != at:
+                    at, now = (key, source), UNKNOWN
+                else:
+                    out.append((key, part, source, now))
+                now = ord(steps[now]) if now < 10 else now
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["order_key", "part", "source", "start"])
+
+    return folded(parts.select("order_key", "part", "source", "steps"), ["order_key", "source"], ["part"], fold, "order_key long, part long, source int, start int")
 
-    def step(acc: Column, e: Column) -> Column:
-        now = F.element_at(acc["now"], e["source"] + 1)
-        good = may_follow(now, e["ord_status"])
-        after = [F.when((e["source"] == s) & good, e["ord_status"]).otherwise(F.element_at(acc["now"], s + 1)) for s in (PRIMARY, DROPCOPY)]
-        return F.struct(F.array(*after).alias("now"), F.array_append(acc["accepted"], good).alias("accepted"))
 
-    start = F.struct(F.array(F.lit(UNKNOWN), F.lit(UNKNOWN)).alias("now"), F.array().cast("array<boolean>").alias("accepted"))
-    folded = F.aggregate("events", start, step)["accepted"]
-    out = grouped.select("order_key", F.inline(F.arrays_zip(F.col("events").alias("e"), folded.alias("accepted"))))
-    return out.select("order_key", "e.*", "accepted")
+def lifecycle(events: DataFrame) -> DataFrame:
+    """events with `accepted`: whether the status may follow that of the feed's last accepted event of the order.
+
+    A fold over each order's events of one feed, in order, in memory for one event. Of orders that have parts (see
+    `parted`), each part is first reduced to what it makes of any status before it; these follow one another into the
+    status with which each part starts.
+    """
+    rest = [c for c in events.columns if c not in ("order_key", "part", "source", "ord_status")]
+    own = events.select("order_key", F.col("part") if "part" in events.columns else F.lit(0).cast("long").alias("part"), "source", "ord_status", *rest)
+    keys, order = ["order_key", "part"], list(ORDER)
+    none = F.lit(None).cast("int").alias("start")
+    if "part" in events.columns:
+        hot = own.filter(F.col("part") != ORDINARY).select("order_key", "part", "source", "ord_status", none, *[c for c in order if c != "source"])
+        steps = folded(hot, keys, order, lambda batches: _statuses(batches, False), "order_key long, part long, source int, steps string")
+        own = own.join(_starts(steps), [*keys, "source"], "left")
+    else:
+        own = own.withColumn("start", none)
+    own = own.select("order_key", "part", "source", "ord_status", "start", *rest)
+    out = folded(own, keys, order, lambda batches: _statuses(batches, True), own.schema.add("accepted", "boolean"))
+    return out.select(*events.columns, "accepted")
 
 
 def views(accepted: DataFrame) -> DataFrame:
-    """After each event, the last accepted state of either feed: columns p_* and d_*, null while a feed was not seen."""
-    upto = Window.partitionBy("order_key").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    """After each event, the last accepted state of either feed: columns p_* and d_*, null while a feed was not seen.
+    Further columns that reconciliation reads (part, until_ns) are kept."""
     side = F.struct(F.col("ord_status").alias("status"), "cum_qty", F.col("price_micro").alias("avg_px"), F.col("transact_time").alias("ts"), "exec_id")
-    last = lambda s: F.last(F.when((F.col("source") == s) & F.col("accepted"), side), ignorenulls=True).over(upto)
-    both = accepted.select("order_key", *ORDER, "accepted", last(PRIMARY).alias("p"), last(DROPCOPY).alias("d"))
-    return both.select("order_key", *ORDER, "accepted", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "pd" for c in SIDE])
+    last = lambda s: ("last", F.when((F.col("source") == s) & F.col("accepted"), side))
+    kept = ["order_key", *ORDER, "accepted", *[c for c in ("part", "until_ns") if c in accepted.columns]]
+    values = {"p": last(PRIMARY), "d": last(DROPCOPY)}
+    if "until_ns" in kept:
+        values["open_ns"] = ("max", F.col("until_ns"))
+    both = running(accepted, ["order_key"], list(ORDER), values, _part(accepted))
+    return both.select(*kept, *list(values)[2:], *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "pd" for c in SIDE])
 
 
 def last_states(accepted: DataFrame) -> DataFrame:
@@ -95,96 +190,203 @@ def mask_type(mask: str, primary_only: Column) -> Column:
     )
 
 
-def immediate_type() -> Column:
+def immediate_type(config: ReconConfig = ReconConfig()) -> Column:
     """The kind of divergence that a view shows at once, or null."""
+    wide = "decimal(20,0)"
     return (
         F.when(F.col("d_status").isNull(), None)
         .when(F.col("p_status").isNull(), PHANTOM_ORDER)
         .when(F.col("d_status").isin(FILLED, PARTIALLY_FILLED) & F.col("p_status").isin(NEW, PENDING_NEW, WORKING), MISSING_FILL)
         .when(F.col("p_status") != F.col("d_status"), STATE_MISMATCH)
-        .when(apart("p_cum_qty", "d_cum_qty", 0) | apart("p_avg_px", "d_avg_px", 0), QUANTITY_MISMATCH)
-        .when(F.col("d_ts") < F.col("p_ts"), TIMING_ANOMALY)
+        .when(apart("p_cum_qty", "d_cum_qty", config.qty_tolerance) | apart("p_avg_px", "d_avg_px", config.px_tolerance), QUANTITY_MISMATCH)
+        .when(F.col("d_ts").cast(wide) + config.timing_slack_ns < F.col("p_ts").cast(wide), TIMING_ANOMALY)
     )
 
 
 def deduplicated(candidates: DataFrame, window_ns: int) -> DataFrame:
     """candidates (order_key, detect_ns, mask, ...) with `emitted`: false where the same mask was emitted for the order
-    less than the window before. A fold over each order's candidates."""
-    names = [c for c in candidates.columns if c not in ("order_key", "detect_ns", "mask")]
-    rows = candidates.groupBy("order_key").agg(F.array_sort(F.collect_list(F.struct("detect_ns", "mask", *names))).alias("all"))
+    less than the window before.
 
-    def step(acc: Column, e: Column) -> Column:
-        last, since = acc["mask"], e["detect_ns"] - acc["at"]
-        emit = acc["at"].isNull() | (last != e["mask"]) | (since < 0) | (since >= window_ns)
-        return F.struct(F.when(emit, e["detect_ns"]).otherwise(acc["at"]).alias("at"), F.when(emit, e["mask"]).otherwise(last).alias("mask"), F.array_append(acc["emitted"], emit).alias("emitted"))
-
-    start = F.struct(F.lit(None).cast("long").alias("at"), F.lit(None).cast("int").alias("mask"), F.array().cast("array<boolean>").alias("emitted"))
-    folded = F.aggregate("all", start, step)["emitted"]
-    out = rows.select("order_key", F.inline(F.arrays_zip(F.col("all").alias("c"), folded.alias("emitted"))))
-    return out.select("order_key", "c.*", "emitted")
+    A mask unlike that before it is always emitted, and so is one that comes at least the window after the one before;
+    these begin runs that don't depend on one another, so that the tasks share an order's candidates. Candidates without a
+    mask are no divergences and pass (emitted null).
+    """
+    real, order = F.col("mask").isNotNull(), ["detect_ns", "mask"]
+    part = F.coalesce(F.expr(f"detect_ns div {BLOCK_NS}"), F.lit(0)) if "part" in candidates.columns else None
+    last = {"before": ("last", F.when(real, F.struct(F.col("detect_ns").alias("at"), F.col("mask").alias("mask"))))}
+    rows = running(candidates, ["order_key"], order, last, part, inclusive=False)
+    begins = real & F.coalesce((F.col("before.mask") != F.col("mask")) | (F.col("detect_ns") - F.col("before.at") >= window_ns), F.lit(True))
+    rows = running(rows.withColumn("begins", begins.cast("int")).drop("before"), ["order_key"], order, {"run": ("sum", F.col("begins"))}, part).drop("begins")
+    rows = rows.select("order_key", "run", "detect_ns", "mask", *[c for c in candidates.columns if c not in ("order_key", "detect_ns", "mask")])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = None, None
+        for b in batches:
+            out = []
+            for key, run, ns, mask in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if mask is None:
+                    out.append(None)
+                    continue
+                emit = (key, run) != at or ns - last >= window_ns
+                if emit:
+                    at, last = (key, run), ns
+                out.append(emit)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.bool_())], [*b.schema.names, "emitted"])
+
+    return folded(rows, ["order_key", "run"], order, fold, rows.schema.add("emitted", "boolean")).select(*candidates.columns, "emitted")
 
 
 def immediate(viewed: DataFrame, config: ReconConfig = ReconConfig()) -> DataFrame:
     """(order_key, detect_ns, type, mask, ...): what each event shows at once; invalid transitions, deduplicated, too."""
     sides = [f"{s}_{c}" for s in "pd" for c in SIDE[:3]]
-    at_once = viewed.filter("accepted").withColumns({"type": immediate_type(), "mask": F.lit(0)}).filter("type is not null")
+    at_once = viewed.filter("accepted").withColumns({"type": immediate_type(config), "mask": F.lit(0)}).filter("type is not null")
     at_once = at_once.select("order_key", F.col("ingest_ns").alias("detect_ns"), "source", "r", "type", "mask", *sides)
-    invalid = viewed.filter("not accepted").select("order_key", F.col("ingest_ns").alias("detect_ns"), F.lit(M_STATUS).alias("mask"), "source", "r", F.lit(STATE_MISMATCH).alias("type"), *sides)
-    return at_once.unionByName(deduplicated(invalid, config.dedup_ns).filter("emitted").drop("emitted"))
+    part = ["part"] if "part" in viewed.columns else []
+    invalid = viewed.filter("not accepted").select("order_key", F.col("ingest_ns").alias("detect_ns"), F.lit(M_STATUS).alias("mask"), "source", "r", F.lit(STATE_MISMATCH).alias("type"), *sides, *part)
+    return at_once.unionByName(deduplicated(invalid, config.dedup_ns).filter("emitted").drop("emitted", *part))
 
 
-def islands(viewed: DataFrame, config: ReconConfig = ReconConfig()) -> DataFrame:
-    """Runs of events after which an order's views differ (or that were invalid), with how each run ended.
+COUNTERS = ("mismatch_observed", "mismatch_confirmed", "false_positive_avoided", "orders_matched", "divergence_resolved", "gap_suppressions")
 
-    (order_key, island, began, deadline, first_invalid, ended, outcome): deadline is null for runs that began with an
-    invalid event; outcome is matched, confirmed, invalid or open.
+
+class Machine:
+    """The state of one order's reconciliation, and what its events and timers do to it.
+
+    An event or timer gives the mask of the divergence that is to be emitted, or None. until: the last time at which a gap
+    that was open at one of its events is open; a mismatch is not confirmed before.
+    """
+
+    __slots__ = ("config", "state", "mask", "deadline", "until", "n")
+
+    def __init__(self, config: ReconConfig, state: int = R_UNKNOWN):
+        self.config, self.state, self.mask, self.deadline, self.until, self.n = config, state, 0, None, None, [0] * len(COUNTERS)
+
+    def _to(self, state: int, *counted: int, deadline: int | None = None) -> None:
+        self.state, self.deadline = state, deadline
+        for i in counted:
+            self.n[i] += 1
+
+    def event(self, at: int, accepted: bool, mask: int, until: int | None = None) -> int | None:
+        if until is not None and (self.until is None or until > self.until):
+            self.until = until
+        if not accepted:
+            self._to(DIVERGED_CONFIRMED, 1)
+            return M_STATUS
+        self.mask, state = mask, self.state
+        if state == IN_GRACE:
+            if not mask:
+                self._to(MATCHED, 2, 3)
+        elif state == DIVERGED_CONFIRMED:
+            if not mask:
+                self._to(MATCHED, 4)
+        elif state == SUPPRESSED_BY_GAP and self.until >= at:
+            pass
+        elif mask:
+            self._to(IN_GRACE, 0, deadline=at + self.config.grace_ns)
+        elif state != MATCHED:
+            self._to(MATCHED, 3)
+        return None
+
+    def timer(self, through: int) -> tuple[int, int] | None:
+        """What the timer does at or before `through`: (time, mask) if a mismatch is confirmed."""
+        while self.deadline is not None and self.deadline <= through:
+            at = self.deadline
+            if not self.mask:
+                self._to(MATCHED, 2, 3)
+            elif self.until is not None and self.until >= at:
+                period = self.config.gap_recheck_ns
+                checks = (min(self.until, through) - at) // period + 1
+                self._to(SUPPRESSED_BY_GAP, deadline=at + checks * period)
+                self.n[5] += checks
+            else:
+                self._to(DIVERGED_CONFIRMED, 1)
+                return at, self.mask
+        return None
+
+
+SIX = [f"{s}_{c}" for s in "pd" for c in SIDE[:3]]
+STEPS = "order_key long, segment long, detect_ns long, mask int, p_status int, p_cum_qty long, p_avg_px long, d_status int, d_cum_qty long, d_avg_px long, state int, " + ", ".join(f"{c} long" for c in COUNTERS)
+
+
+def reconciled(viewed: DataFrame, config: ReconConfig = ReconConfig()) -> DataFrame:
+    """STEPS, and part if orders have parts: in rows with a mask, divergences to emit as the order was then; in rows with a
+    state, an order's state after all events of a segment; in those with neither, counters of some events.
+
+    One sorted pass over the events, in memory for one order. Orders that have parts fall into segments that don't depend
+    on one another: one ends with an event that is rejected, or after which the views agree, unless a gap that made an
+    event uncertain is still open.
     """
-    w = Window.partitionBy("order_key").orderBy(*ORDER)
     mask = mismatch(config.qty_tolerance, config.px_tolerance, config.compare_exec_id)
-    rows = viewed.withColumn("mask", mask).withColumn("bad", (F.col("mask") != 0) | ~F.col("accepted"))
-    rows = rows.withColumn("good_before", F.count_if(~F.col("bad")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    # after the run's last event comes a good one, or none
-    ended = F.min(F.when(~F.col("bad"), F.col("ingest_ns"))).over(w.rowsBetween(1, Window.unboundedFollowing))
-    rows = rows.withColumn("next_good", ended).filter("bad").withColumnRenamed("good_before", "island")
-    run = Window.partitionBy("order_key", "island").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first_valid = F.first("accepted").over(run)
-    rows = rows.withColumns({
-        "began": F.first("ingest_ns").over(run),
-        "first_invalid": F.min(F.when(~F.col("accepted"), F.col("ingest_ns"))).over(run),
-        "ended": F.last("next_good").over(run),
-    })
-    rows = rows.withColumn("deadline", F.when(first_valid, F.col("began") + config.grace_ns))
-    disarmed = F.col("deadline").isNull() | (F.col("first_invalid") <= F.col("deadline"))
-    due = F.lit(True) if config.horizon_ns is None else F.col("deadline") < config.horizon_ns
-    outcome = F.when(F.coalesce(disarmed, F.lit(False)), "invalid").when(F.col("ended") <= F.col("deadline"), "matched").when(due, "confirmed").otherwise("open")
-    return rows.withColumn("outcome", outcome)
-
-
-def candidates(runs: DataFrame) -> DataFrame:
-    """Divergences to emit: runs confirmed at their deadline as they were then, and invalid events at once."""
-    sides = [f"{s}_{c}" for s in "pd" for c in SIDE[:3]]
-    timely = F.col("accepted") & (F.col("ingest_ns") <= F.col("deadline"))
-    then = F.max_by(F.struct("mask", *sides), F.when(timely, F.struct(*ORDER)))
-    waited = runs.filter("outcome = 'confirmed'").groupBy("order_key", "island").agg(F.first("deadline").alias("detect_ns"), then.alias("x")).select("order_key", "detect_ns", "x.*")
-    invalid = runs.filter("not accepted").select("order_key", F.col("ingest_ns").alias("detect_ns"), F.lit(M_STATUS).alias("mask"), *sides)
-    both = waited.unionByName(invalid)
-    return both.withColumn("type", mask_type("mask", F.col("p_status").isNotNull() & F.col("d_status").isNull()))
+    rows = viewed.withColumn("mask", mask)
+    agree = F.col("accepted") & (F.col("mask") == 0)
+    if "until_ns" in viewed.columns:
+        agree = agree & F.coalesce(F.col("open_ns") < F.col("ingest_ns"), F.lit(True))
+    else:
+        rows = rows.withColumn("until_ns", F.lit(None).cast("long"))
+    if "part" in viewed.columns:
+        rows = rows.withColumn("ends", (agree | ~F.col("accepted")).cast("int"))
+        rows = running(rows, ["order_key"], list(ORDER), {"segment": ("sum", F.col("ends")), "was": ("last", F.col("accepted"))}, _part(rows), inclusive=False)
+    else:  # an order is one task's, whole
+        rows = rows.withColumns({"segment": F.lit(0), "was": F.lit(True)})
+    rows = rows.select("order_key", F.col("segment").cast("long").alias("segment"), "ingest_ns", "accepted", "mask", "until_ns", "was", *SIX, "source", "r")
+    end = FOREVER if config.horizon_ns is None else config.horizon_ns - 1
+    names = [x.split()[0] for x in STEPS.split(", ")]
+    kinds = [pa.int32() if x.endswith(" int") else pa.int64() for x in STEPS.split(", ")]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, machine, sides, out, total, blank = None, None, None, [], [0] * len(COUNTERS), [0] * len(COUNTERS)
+
+        def emit(ns: int, mask: int) -> None:
+            out.append((*here, ns, mask, *sides, None, *blank))
+
+        def finish() -> None:
+            if machine:
+                if found := machine.timer(end):
+                    emit(*found)
+                out.append((*here, None, None, *sides, machine.state, *machine.n))
+
+        def batch() -> pa.RecordBatch:
+            columns = zip(*out, strict=True) if out else [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+        for b in batches:
+            columns = [c.to_pylist() for c in b.columns[:13]]
+            for key, segment, ns, accepted, mask, until, was, *now in zip(*columns, strict=True):
+                if (key, segment) != here:
+                    finish()
+                    here, machine = (key, segment), Machine(config, R_UNKNOWN if not segment else MATCHED if was else DIVERGED_CONFIRMED)
+                elif machine.deadline is not None and machine.deadline < ns and (found := machine.timer(ns - 1)):
+                    emit(*found)
+                sides = now
+                if (found := machine.event(ns, accepted, mask, until)) is not None:
+                    emit(ns, found)
+            yield batch()
+            out = []
+        finish()
+        yield batch()
+
+    out = folded(rows, ["order_key", "segment"], list(ORDER), fold, STEPS)
+    return out.withColumn("part", F.lit(0)) if "part" in viewed.columns else out
 
 
 def two_stage(viewed: DataFrame, config: ReconConfig = ReconConfig()) -> DataFrame:
-    """(order_key, detect_ns, mask, ..., type, emitted) of mismatches that outlast the grace period, and invalid events."""
-    return deduplicated(candidates(islands(viewed, config)), config.dedup_ns)
+    """(order_key, detect_ns, mask, ..., type, emitted) of mismatches that outlast the grace period, and invalid events.
+
+    Where viewed has until_ns (see `sequence.uncertain`), mismatches wait for the gaps that make their order uncertain.
+    """
+    rows = reconciled(viewed, config).filter("mask is not null").drop("segment", "state", *COUNTERS)
+    rows = rows.withColumn("type", mask_type("mask", F.col("p_status").isNotNull() & F.col("d_status").isNull()))
+    return deduplicated(rows, config.dedup_ns).drop("part")
 
 
 def two_stage_counters(viewed: DataFrame, config: ReconConfig = ReconConfig()) -> DataFrame:
-    runs = islands(viewed, config)
-    once = runs.groupBy("order_key", "island").agg(F.first("outcome").alias("outcome"), F.first("deadline").alias("deadline"), F.first("ended").alias("ended"), F.count_if(~F.col("accepted")).alias("n_invalid"))
-    out = once.agg(
-        F.count_if(F.col("deadline").isNotNull()).alias("mismatch_observed"),
-        (F.count_if(F.col("outcome") == "confirmed") + F.coalesce(F.sum("n_invalid"), F.lit(0))).alias("mismatch_confirmed"),
-        F.count_if(F.col("outcome") == "matched").alias("false_positive_avoided"),
-        F.count_if(F.col("outcome") == "matched").alias("orders_matched"),
-        F.count_if(F.col("outcome").isin("confirmed", "invalid") & F.col("ended").isNotNull()).alias("divergence_resolved"),
-    )
-    deduped = deduplicated(candidates(runs), config.dedup_ns).agg(F.count_if(~F.col("emitted")).alias("divergence_deduped"))
-    return out.withColumn("one", F.lit(1)).join(deduped.withColumn("one", F.lit(1)), "one").drop("one")
+    """COUNTERS and divergence_deduped, in one pass over the events."""
+    rows = deduplicated(reconciled(viewed, config), config.dedup_ns)
+    return rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTERS], F.count_if(~F.col("emitted")).alias("divergence_deduped"))
+
+
+def recon_states(viewed: DataFrame, config: ReconConfig = ReconConfig()) -> DataFrame:
+    """(order_key, state, label, terminal): where each order's reconciliation ends."""
+    rows = reconciled(viewed, config).filter("state is not null").groupBy("order_key").agg(F.max_by("state", "segment").alias("state"))
+    label = F.element_at(F.array(*map(F.lit, RECON_NAMES)), F.col("state") + 1)
+    return rows.select("order_key", "state", label.alias("label"), F.col("state").isin(*TERMINAL_STATES).alias("terminal"))

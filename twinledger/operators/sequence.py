@@ -1,96 +1,123 @@
-"""Sequence tracking: every arrival against the largest number seen before, gaps opened and closed."""
+"""Sequence tracking: every arrival against the largest number seen before, gaps opened and closed.
+
+A tracker may hold most rows, so whatever runs along one is taken by parts of its arrivals (see `running`).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ReconConfig
-from ..schema import DUPLICATE, GAP, GAP_FILL, OUT_OF_ORDER
+from ..schema import DROPCOPY, DUPLICATE, GAP, GAP_DROPCOPY, GAP_FILL, GAP_PRIMARY, OUT_OF_ORDER, PRIMARY
+from ..storage import written
+from .running import folded, running
 
 TRACKER = ("source", "session_id")
-#: Arrivals whose running maximum is taken at once. A tracker's arrivals fall into blocks of so many.
+#: Arrivals (or units of arrival) of a part.
 BLOCK = 65_536
+#: A gap closed by hand, among the kinds of rows that the fold sees.
+BY_HAND = 4
+#: How a gap closed; null while it is open.
+FILLED, EXTENSION_TIMEOUT, OPEN_TIMEOUT, CLOSED_BY_HAND = range(4)
+FOREVER = 1 << 62
 
 
 def classify(feed: DataFrame, block: int = BLOCK) -> DataFrame:
-    """feed with last_seen, expected_seq and kind (null: first or in order; a gap fill is out of order here).
-
-    A tracker may hold most rows, so its running maximum has two levels: of whole blocks, then within each.
-    """
-    rows = feed.withColumn("block", F.expr(f"arrival div {block}"))
-    before = Window.partitionBy(*TRACKER).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    tops = rows.groupBy(*TRACKER, "block").agg(F.max("seq").alias("top")).select(*TRACKER, "block", F.max("top").over(before).alias("earlier"))
-    inside = Window.partitionBy(*TRACKER, "block").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.join(tops, [*TRACKER, "block"]).withColumn("last_seen", F.greatest("earlier", F.max("seq").over(inside)))
+    """feed with last_seen, expected_seq and kind (null: first or in order; a gap fill is out of order here)."""
+    rows = running(feed, list(TRACKER), ["arrival", "seq"], {"last_seen": ("max", F.col("seq"))}, F.expr(f"arrival div {block}"), inclusive=False)
     seq, last = F.col("seq"), F.col("last_seen")
     kind = F.when(seq > last + 1, GAP).when(seq == last, DUPLICATE).when(seq < last, OUT_OF_ORDER)
     return rows.select(*feed.columns, "last_seen", (last + 1).alias("expected_seq"), kind.alias("kind"))
 
 
-INTERVALS = "source int, session_id int, epoch long, start_seq long, end_seq long, opened long, detected long, closed long, filled_by long"
-TIMED = INTERVALS + ", closed_ns long"
+INTERVALS = "source int, session_id int, epoch long, start_seq long, end_seq long, opened long, detected long, closed long, filled_by long, reason int, opened_ns long, closed_ns long"
 
 
-def _folded(classified: DataFrame, at: Column, config: ReconConfig | None) -> DataFrame:
-    """TIMED over anomalies only, in order of arrival, in memory for one gap per tracker. Config None: no timeouts."""
+def _anomalies(classified: DataFrame, at: Column, config: ReconConfig | None, closings: DataFrame | None, block: int) -> DataFrame:
+    """The rows that can open, extend or close a gap, with the segment of each: no gap is open at a segment's start.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tracker, gap, epoch, limit, since = None, None, 0, None, 0
-        for frame in frames:
+    A late number that falls into the latest gap's own numbers closes whatever is open, as does a closing by hand; and
+    after gap_close_ns without a gap or a late number nothing is open either.
+    """
+    odd = classified.filter(F.col("kind").isin(GAP, OUT_OF_ORDER)).select(*TRACKER, "seq", "arrival", "expected_seq", "kind", at.cast("long").alias("ns"))
+    if closings is not None:
+        none = F.lit(None).cast("long")
+        odd = odd.unionByName(closings.select(*TRACKER, none.alias("seq"), "arrival", none.alias("expected_seq"), F.lit(BY_HAND).alias("kind"), at.cast("long").alias("ns")))
+    odd = written(odd, "anomalies")  # few beside the arrivals, and read several times
+    order, part = ["arrival", "kind", "seq"], F.expr(f"arrival div {block}")
+    gap = F.when(F.col("kind") == GAP, F.struct(F.col("expected_seq").alias("low"), F.col("seq").alias("high")))
+    odd = running(odd, list(TRACKER), order, {"gap": ("last", gap), "before_ns": ("last", F.col("ns"))}, part, inclusive=False)
+    late = (F.col("kind") == OUT_OF_ORDER) & (F.col("seq") >= F.col("gap.low")) & (F.col("seq") < F.col("gap.high"))
+    ends = (F.coalesce(late, F.lit(False)) | (F.col("kind") == BY_HAND)).cast("int")
+    quiet = F.lit(0) if config is None else F.coalesce((F.col("ns") - F.col("before_ns") > config.gap_close_ns).cast("int"), F.lit(0))
+    odd = odd.withColumns({"ends": ends, "starts": quiet}).drop("gap", "before_ns")
+    odd = running(odd, list(TRACKER), order, {"upto": ("sum", F.col("ends") + F.col("starts"))}, part)
+    return odd.withColumn("segment", (F.col("upto") - F.col("ends")).cast("long")).select(*TRACKER, "segment", "arrival", "kind", "seq", "expected_seq", "ns")
+
+
+def _gaps(classified: DataFrame, at: Column, config: ReconConfig | None, closings: DataFrame | None, block: int) -> DataFrame:
+    names = [x.split()[0] for x in INTERVALS.split(", ")]
+    kinds = [pa.int32() if x.endswith(" int") else pa.int64() for x in INTERVALS.split(", ")]
+
+    def batch(rows: list[list]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, gap, limit, reason = None, None, None, None
+        for b in batches:
             out = []
-            for source, session, seq, arrival, expected, kind, ns in frame.itertuples(index=False):
-                if gap and ((source, session) != tracker or limit is not None and ns > limit):
-                    out.append([*gap, limit])
+            for source, session, segment, arrival, kind, seq, expected, ns in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if gap and ((source, session, segment) != here or limit is not None and ns > limit):
+                    out.append([*gap[:9], reason, gap[9], limit])
                     gap = None
-                if (source, session) != tracker:
-                    tracker, epoch = (source, session), 0
+                here = source, session, segment
                 if kind == GAP:
                     if gap:
                         gap[4], gap[6] = seq, arrival
                     else:
-                        epoch, since = epoch + 1, ns
-                        gap = [source, session, epoch, expected, seq, arrival, arrival, None, None]
-                    limit = config and min(ns + config.gap_close_ns, since + config.gap_timeout_ns)
-                elif kind == OUT_OF_ORDER and gap and gap[3] <= seq < gap[4]:
-                    gap[7:] = arrival, seq
-                    out.append([*gap, ns])
+                        gap = [source, session, 0, expected, seq, arrival, arrival, None, None, ns]
+                    if config:
+                        limit, reason = min((ns + config.gap_close_ns, EXTENSION_TIMEOUT), (gap[9] + config.gap_timeout_ns, OPEN_TIMEOUT))
+                elif gap and (kind == BY_HAND or gap[3] <= seq < gap[4]):
+                    out.append([*gap[:7], arrival, seq, CLOSED_BY_HAND if kind == BY_HAND else FILLED, gap[9], ns])
                     gap = None
-            yield _frame(out)
+            yield batch(out)
         if gap:
-            yield _frame([[*gap, limit]])
+            yield batch([[*gap[:9], reason, gap[9], limit]])
 
-    odd = classified.filter(F.col("kind").isin(GAP, OUT_OF_ORDER)).select(*TRACKER, "seq", "arrival", "expected_seq", "kind", at.cast("long").alias("ns"))
-    return odd.repartition(*TRACKER).sortWithinPartitions(*TRACKER, "arrival").mapInPandas(run, TIMED)
+    odd = _anomalies(classified, at, config, closings, block)
+    found = written(folded(odd, [*TRACKER, "segment"], ["arrival", "kind", "seq"], fold, INTERVALS).drop("epoch"), "gaps")
+    numbered = running(found, list(TRACKER), ["opened"], {"epoch": ("sum", F.lit(1).cast("long"))}, F.expr(f"opened div {block}"))
+    return numbered.select(*names)
 
 
-def gap_intervals(classified: DataFrame) -> DataFrame:
-    """INTERVALS: each gap's numbers [start_seq, end_seq), when it opened, was last extended, and was closed by which
-    number (null: still open)."""
-    return _folded(classified, F.lit(0), None).drop("closed_ns")
+def gap_intervals(classified: DataFrame, closings: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """Each gap's numbers [start_seq, end_seq), when it opened, was last extended, and was closed by which number, or by
+    hand (filled_by null) after that arrival; closed is null while it is open. reason: how it closed.
+
+    closings: (source, session_id, arrival): any gap open after that arrival is closed.
+    """
+    return _gaps(classified, F.lit(None), None, closings, block).drop("opened_ns", "closed_ns")
 
 
-def timed_gap_intervals(classified: DataFrame, at: Column, config: ReconConfig = ReconConfig()) -> DataFrame:
-    """TIMED: gaps that also close, unfilled (filled_by null), gap_close_ns after they were last extended or
+def timed_gap_intervals(classified: DataFrame, at: Column, config: ReconConfig = ReconConfig(), closings: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """INTERVALS: gaps that also close, unfilled (closed and filled_by null), gap_close_ns after they were last extended or
     gap_timeout_ns after they opened, whichever comes first. An arrival at that very time is taken before.
 
     at: the time of an arrival in nanoseconds, which never falls within a tracker.
     """
-    return _folded(classified, at, config)
-
-
-def _frame(rows: list) -> pd.DataFrame:
-    names = [x.split()[0] for x in TIMED.split(", ")]
-    return pd.DataFrame(rows, columns=names).astype({n: "Int64" for n in names})
+    return _gaps(classified, at, config, closings, block)
 
 
 def with_fills(classified: DataFrame, intervals: DataFrame) -> DataFrame:
     """classified with kind GAP_FILL where an arrival closed a gap."""
-    fills = intervals.filter("closed is not null").select(*TRACKER, F.col("closed").alias("arrival"), F.lit(GAP_FILL).alias("fill"))
-    rows = classified.join(fills, [*TRACKER, "arrival"], "left")
+    fills = intervals.filter(F.col("reason") == FILLED).select(*TRACKER, F.col("closed").alias("arrival"), F.col("filled_by").alias("seq"), F.lit(GAP_FILL).alias("fill"))
+    rows = classified.join(fills, [*TRACKER, "arrival", "seq"], "left")
     return rows.select(*classified.columns[:-1], F.coalesce("fill", "kind").alias("kind"))
 
 
@@ -100,14 +127,37 @@ def counters(classified: DataFrame) -> DataFrame:
     return classified.groupBy("source").agg(F.count("*").alias("events"), n(GAP).alias("gaps"), n(DUPLICATE).alias("duplicates"), n(OUT_OF_ORDER, GAP_FILL).alias("out_of_order"), n(GAP_FILL).alias("fills"))
 
 
-def suppressed(events: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Rows of (source, session_id, arrival, ...) that arrive while a gap of their tracker is open, with its epoch.
+def closing_counters(intervals: DataFrame) -> DataFrame:
+    """Per source: gaps closed by a fill, by the timeout after an extension, by that after opening, and by that or by hand."""
+    n = lambda *reasons: F.count_if(F.col("reason").isin(*reasons))
+    return intervals.groupBy("source").agg(
+        n(FILLED).alias("gaps_closed_by_fill"), n(EXTENSION_TIMEOUT).alias("gaps_closed_by_timeout"), n(OPEN_TIMEOUT).alias("gap_timeouts"), n(OPEN_TIMEOUT, CLOSED_BY_HAND).alias("gaps_closed"),
+    )
+
+
+def uncertain(events: DataFrame, intervals: DataFrame, block: int = BLOCK) -> DataFrame:
+    """events (session_id, arrival, ...) with what the open gaps of their session's two trackers make uncertain: gap_flags,
+    each side's p_epoch and d_epoch, and until_ns, the last time at which one of these gaps is open (all null if none is).
 
-    An as-of join by window: the latest opening at or before each arrival decides, so no range join is needed.
+    intervals: timed ones, whose arrivals are times. An as-of join by running aggregates: the latest gap of either source
+    that opened at or before an event decides, and the event that opens a gap is itself in it, the one that fills it not.
     """
+    until = F.when(F.col("reason") == FILLED, F.col("closed_ns") - 1).otherwise(F.coalesce("closed_ns", F.lit(FOREVER)))
+    opened = intervals.select("session_id", F.col("opened").alias("arrival"), F.struct("source", "epoch", until.alias("until")).alias("gap"))
+    rows = events.withColumns({"gap": F.lit(None).cast("struct<source:int,epoch:bigint,until:bigint>")}).unionByName(opened, allowMissingColumns=True)
+    rows = rows.withColumn("event", F.col("gap").isNull())
+    latest = lambda source: ("last", F.when(F.col("gap.source") == source, F.col("gap")))
+    rows = running(rows, ["session_id"], ["arrival", "event"], {"p": latest(PRIMARY), "d": latest(DROPCOPY)}, F.expr(f"arrival div {block}")).filter("event")
+    rows = rows.withColumns({s: F.when(F.col(f"{s}.until") >= F.col("arrival"), F.col(s)) for s in "pd"})
+    flags = F.when(F.col("p").isNotNull(), GAP_PRIMARY).otherwise(0) + F.when(F.col("d").isNotNull(), GAP_DROPCOPY).otherwise(0)
+    return rows.select(*events.columns, F.nullif(flags, F.lit(0)).alias("gap_flags"), F.col("p.epoch").alias("p_epoch"), F.col("d.epoch").alias("d_epoch"), F.greatest("p.until", "d.until").alias("until_ns"))
+
+
+def suppressed(events: DataFrame, intervals: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Rows of (source, session_id, arrival, ...) that arrive while a gap of their own tracker is open, with its epoch."""
     opened = intervals.select(*TRACKER, F.col("opened").alias("arrival"), F.struct("epoch", "closed").alias("gap"))
     rows = events.withColumn("gap", F.lit(None).cast("struct<epoch:bigint,closed:bigint>")).unionByName(opened, allowMissingColumns=True)
-    order = Window.partitionBy(*TRACKER).orderBy("arrival", F.col("gap").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("latest", F.last("gap", ignorenulls=True).over(order)).filter("gap is null")
+    rows = rows.withColumn("event", F.col("gap").isNull())
+    rows = running(rows, list(TRACKER), ["arrival", "event"], {"latest": ("last", F.col("gap"))}, F.expr(f"arrival div {block}")).filter("event")
     open_ = F.col("latest").isNotNull() & (F.col("latest.closed").isNull() | (F.col("arrival") < F.col("latest.closed")))
     return rows.filter(open_).select(*events.columns, F.col("latest.epoch").alias("gap_epoch"))

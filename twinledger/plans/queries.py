@@ -12,6 +12,11 @@ from ..functions.keys import order_key
 from ..operators import orders, sequence
 from ..schema import DIVERGENCE_NAMES
 from ..sources import feeds, fix, wire
+from ..storage import written
+
+#: Order events are parted by time, an hour each.
+NS_BLOCK = orders.BLOCK_NS
+SHORT = ReconConfig(grace_ns=1 * MS, dedup_ns=15 * MS, compare_exec_id=False)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +28,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orders.lifecycle(events(spark, sf_dir))
+    return orders.lifecycle(orders.parted(events(spark, sf_dir)))
 
 
 def viewed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +36,7 @@ def viewed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequence.classify(feeds.session_events(_table(spark, sf_dir, "events")))
+    return sequence.classify(written(feeds.session_events(_table(spark, sf_dir, "events")), "arrivals"))
 
 
 def seq_classify(spark, sf_dir):
@@ -43,44 +48,88 @@ def seq_counters(spark, sf_dir):
 
 
 def gap_intervals(spark, sf_dir):
-    return sequence.gap_intervals(classified(spark, sf_dir))
+    return sequence.gap_intervals(classified(spark, sf_dir)).drop("reason")
+
+
+#: Session events arrive 300 ms apart.
+APART = 300 * MS
 
 
 def gap_timeouts(spark, sf_dir):
-    """Gaps that close by being filled or by time, of arrivals 300 ms apart."""
-    return sequence.timed_gap_intervals(classified(spark, sf_dir), F.col("arrival") * (300 * MS))
+    """Gaps that close by being filled or by time."""
+    return sequence.timed_gap_intervals(classified(spark, sf_dir), F.col("arrival") * APART).drop("opened_ns")
 
 
-def gap_suppressed_orders(spark, sf_dir):
+def gap_closings(spark, sf_dir):
+    """Gaps that close by being filled, by time, or by hand."""
+    by_hand = feeds.closings(_table(spark, sf_dir, "events"))
+    return sequence.timed_gap_intervals(classified(spark, sf_dir), F.col("arrival") * APART, closings=by_hand).drop("opened_ns")
+
+
+def gap_closing_counters(spark, sf_dir):
+    by_hand = feeds.closings(_table(spark, sf_dir, "events"))
+    return sequence.closing_counters(sequence.timed_gap_intervals(classified(spark, sf_dir), F.col("arrival") * APART, closings=by_hand))
+
+
+def gap_suppressed_arrivals(spark, sf_dir):
+    """Session events that arrive while a gap of their own tracker is open."""
     rows = classified(spark, sf_dir)
     return sequence.suppressed(rows.select("source", "session_id", "seq", "arrival"), sequence.gap_intervals(rows))
 
 
+def marked(rows: DataFrame) -> DataFrame:
+    """Order events with the gaps that make them uncertain (see sequence.uncertain)."""
+    rows = rows.withColumn("arrival", F.col("ingest_ns"))
+    tracked = sequence.classify(rows.select("source", "session_id", "seq", "arrival"), NS_BLOCK)
+    gaps = sequence.timed_gap_intervals(tracked, F.col("arrival"), block=NS_BLOCK)
+    return sequence.uncertain(rows, gaps, NS_BLOCK).drop("arrival")
+
+
+def gap_suppressed_orders(spark, sf_dir):
+    """Order events that a gap of either feed makes uncertain."""
+    rows = marked(written(events(spark, sf_dir), "events")).filter("gap_flags is not null")
+    return rows.select("order_key", "source", "r", "gap_flags", "p_epoch", "d_epoch", "until_ns")
+
+
 def order_events(spark, sf_dir):
     return events(spark, sf_dir)
 
 
+def source_counters(spark, sf_dir):
+    """Events of each source, and those whose status the order's life does not allow."""
+    rows = accepted(spark, sf_dir)
+    return rows.groupBy("source").agg(F.count("*").alias("events"), F.count_if(~F.col("accepted")).alias("rejected"), F.count_if(orders.is_terminal(F.col("ord_status"))).alias("terminal"))
+
+
 def order_keys(spark, sf_dir):
     return _table(spark, sf_dir, "orders").select("o_orderkey", order_key(F.concat(F.lit("CID"), F.col("o_orderkey").cast("string"))).alias("order_key"))
 
 
+def _parsed(spark, sf_dir):
+    return fix.parse(fix.rendered(events(spark, sf_dir)).drop("session_id", "seq", "ingest_ns"))
+
+
 def fix_parse(spark, sf_dir):
-    rows = fix.parse(fix.rendered(events(spark, sf_dir))).filter("parse_result = 0")
+    rows = _parsed(spark, sf_dir).filter("parse_result = 0")
     return rows.select("order_key", "source", "r", "exec_type", "ord_status", "price_micro", "qty", "cum_qty", "sending_time", "transact_time", fix.event_time().alias("event_ts"), "exec_id", "order_id", "clord_id")
 
 
 def fix_rejects(spark, sf_dir):
-    return fix.parse(fix.rendered(events(spark, sf_dir))).filter("parse_result != 0").select("order_key", "source", "r", "parse_result")
+    return _parsed(spark, sf_dir).filter("parse_result != 0").select("order_key", "source", "r", "parse_result")
+
+
+def parse_stats(spark, sf_dir):
+    return fix.parse_stats(_parsed(spark, sf_dir))
 
 
 def _records(spark, sf_dir):
-    rows = wire.encoded(events(spark, sf_dir).withColumn("sending_time", F.col("ingest_ns")))
+    rows = wire.encoded(events(spark, sf_dir).withColumn("sending_time", F.col("ingest_ns")).withColumnRenamed("seq", "seq_num"))
     cut = F.when(F.col("order_key") % 50 == 6, F.substring("record", 1, 100)).otherwise(F.col("record"))
     return rows.select("order_key", "source", "r", cut.alias("record"))
 
 
 def wire_decode(spark, sf_dir):
-    return wire.decoded(_records(spark, sf_dir)).drop("seq_num")
+    return wire.decoded(_records(spark, sf_dir))
 
 
 def wire_rejects(spark, sf_dir):
@@ -88,7 +137,7 @@ def wire_rejects(spark, sf_dir):
 
 
 def lifecycle_state(spark, sf_dir):
-    return orders.last_states(accepted(spark, sf_dir))
+    return orders.last_states(accepted(spark, sf_dir)).withColumn("terminal", orders.is_terminal(F.col("status")))
 
 
 def lifecycle_rejects(spark, sf_dir):
@@ -111,13 +160,23 @@ def mismatch_tolerance(spark, sf_dir):
     return _masks(spark, sf_dir, qty_tolerance=1, px_tolerance=10_000, compare_exec_id=False)
 
 
+IMMEDIATE = ("order_key", "source", "r", "detect_ns", "type", "mask", "p_status", "p_cum_qty", "d_status", "d_cum_qty")
+#: Tolerances and slack of the immediate mode's second query.
+LENIENT = ReconConfig(qty_tolerance=1, px_tolerance=100_000_000, timing_slack_ns=150 * MS)
+
+
 def immediate_divergences(spark, sf_dir):
-    return orders.immediate(viewed(spark, sf_dir)).select("order_key", "source", "r", "detect_ns", "type", "mask", "p_status", "p_cum_qty", "d_status", "d_cum_qty")
+    return orders.immediate(viewed(spark, sf_dir)).select(*IMMEDIATE)
+
+
+def immediate_tolerance(spark, sf_dir):
+    return orders.immediate(viewed(spark, sf_dir), LENIENT).select(*IMMEDIATE)
 
 
 def immediate_counters(spark, sf_dir):
+    """What the immediate mode counts, by kind, and in all (type null). Invalid events are not counted."""
     found = orders.immediate(viewed(spark, sf_dir)).filter("mask = 0")
-    return found.groupBy("type").agg(F.count("*").alias("n"))
+    return found.rollup("type").agg(F.count("*").alias("n"))
 
 
 def two_stage_divergences(spark, sf_dir):
@@ -130,20 +189,41 @@ def two_stage_counters(spark, sf_dir):
 
 def two_stage_short_grace(spark, sf_dir):
     """A grace period shorter than the feeds' delay: mismatches that would resolve are confirmed."""
-    found = orders.two_stage(viewed(spark, sf_dir), ReconConfig(grace_ns=1 * MS, dedup_ns=15 * MS, compare_exec_id=False))
+    found = orders.two_stage(viewed(spark, sf_dir), SHORT)
     return found.groupBy("mask", "type", "emitted").agg(F.count("*").alias("n"))
 
 
+def guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views of orders with what gaps make uncertain."""
+    return orders.views(orders.lifecycle(orders.parted(marked(written(events(spark, sf_dir), "events")))))
+
+
+def two_stage_suppressed(spark, sf_dir):
+    """Mismatches of orders that an open gap makes uncertain wait until it closes."""
+    return orders.two_stage(guarded(spark, sf_dir)).select("order_key", "detect_ns", "mask", "type", "emitted", "p_status", "p_cum_qty", "d_status", "d_cum_qty")
+
+
+def two_stage_suppressed_counters(spark, sf_dir):
+    return orders.two_stage_counters(guarded(spark, sf_dir))
+
+
+def recon_states(spark, sf_dir):
+    """Orders by where reconciliation stands at a time within the feed."""
+    horizon = ReconConfig(horizon_ns=40_000 * MS)
+    rows = guarded(spark, sf_dir).filter(F.col("ingest_ns") < horizon.horizon_ns)
+    return orders.recon_states(rows, horizon).groupBy("state", "label", "terminal").agg(F.count("*").alias("n"))
+
+
+def _sides(spark, sf_dir):
+    return events(spark, sf_dir).groupBy("order_key").agg(F.bool_or(F.col("source") == 0).alias("p"), F.bool_or(F.col("source") == 1).alias("d"))
+
+
 def phantom_orders(spark, sf_dir):
-    rows = events(spark, sf_dir)
-    primary = rows.filter("source = 0").select("order_key")
-    return rows.filter("source = 1").select("order_key").distinct().join(primary, "order_key", "left_anti")
+    return _sides(spark, sf_dir).filter("d and not p").select("order_key")
 
 
 def missing_dropcopy(spark, sf_dir):
-    rows = events(spark, sf_dir)
-    other = rows.filter("source = 1").select("order_key")
-    return rows.filter("source = 0").select("order_key").distinct().join(other, "order_key", "left_anti")
+    return _sides(spark, sf_dir).filter("p and not d").select("order_key")
 
 
 def eod_summary(spark, sf_dir):
@@ -163,13 +243,41 @@ def order_lookup(spark, sf_dir):
 def divergence_range(spark, sf_dir):
     """Confirmed divergences of a time range."""
     found = two_stage_divergences(spark, sf_dir).filter("emitted")
-    return found.filter((F.col("detect_ns") >= 500_000 * MS) & (F.col("detect_ns") < 2_000_000 * MS)).select("order_key", "detect_ns", "mask", "type")
+    return found.filter((F.col("detect_ns") >= 20_000 * MS) & (F.col("detect_ns") < 60_000 * MS)).select("order_key", "detect_ns", "mask", "type")
+
+
+def keyed(parsed: DataFrame) -> DataFrame:
+    """Events of parsed messages, by the key of their ClOrdID. key_is_default: there is none, so all such share one key."""
+    rows = parsed.filter("parse_result = 0").withColumn("line", F.col("r")).drop("order_key", "message", "parse_result")
+    return rows.withColumns({"order_key": order_key("clord_id"), "key_is_default": F.col("clord_id") == ""})
+
+
+def from_messages(messages: DataFrame) -> DataFrame:
+    """Views of orders from messages with what their transport adds: parsed, keyed, numbered, and run through their lives.
+    The key of all ones is no order's."""
+    rows = written(keyed(fix.parse(messages)).filter("order_key != -1"), "parsed")  # parsed once, read several times
+    return orders.views(orders.lifecycle(orders.parted(marked(rows))))
+
+
+def end_to_end(spark, sf_dir):
+    """What both modes emit, from FIX text to divergences."""
+    view = written(from_messages(fix.rendered(events(spark, sf_dir))), "views")
+    columns = ["order_key", "detect_ns", "type", "mask", "p_status", "p_cum_qty", "d_status", "d_cum_qty"]
+    at_once = orders.immediate(view).select(F.lit("immediate").alias("mode"), *columns)
+    return at_once.unionAll(orders.two_stage(view).filter("emitted").select(F.lit("two-stage").alias("mode"), *columns))
+
+
+def default_keys(spark, sf_dir):
+    """Messages by whether their key is that of no ClOrdID."""
+    rows = keyed(fix.parse(fix.rendered(events(spark, sf_dir))))
+    return rows.groupBy("key_is_default").agg(F.count("*").alias("n"), F.count_distinct("order_key").alias("n_keys"))
 
 
 NAMES = (
-    "seq_classify seq_counters gap_intervals gap_timeouts gap_suppressed_orders order_events order_keys fix_parse fix_rejects wire_decode wire_rejects lifecycle_state lifecycle_rejects "
-    "order_views mismatch_mask mismatch_tolerance immediate_divergences immediate_counters two_stage_divergences two_stage_counters two_stage_short_grace phantom_orders "
-    "missing_dropcopy eod_summary order_lookup divergence_range"
+    "seq_classify seq_counters gap_intervals gap_timeouts gap_closings gap_closing_counters gap_suppressed_arrivals gap_suppressed_orders order_events source_counters order_keys fix_parse "
+    "fix_rejects parse_stats wire_decode wire_rejects lifecycle_state lifecycle_rejects order_views mismatch_mask mismatch_tolerance immediate_divergences immediate_tolerance "
+    "immediate_counters two_stage_divergences two_stage_counters two_stage_short_grace two_stage_suppressed two_stage_suppressed_counters recon_states phantom_orders "
+    "missing_dropcopy eod_summary order_lookup divergence_range end_to_end default_keys"
 ).split()
 
 

@@ -10,8 +10,13 @@ MISSING_FILL, PHANTOM_ORDER, STATE_MISMATCH, QUANTITY_MISMATCH, TIMING_ANOMALY,
 GAP, DUPLICATE, OUT_OF_ORDER, GAP_FILL = range(4)
 M_STATUS, M_CUM_QTY, M_LEAVES_QTY, M_AVG_PX, M_EXISTENCE, M_EXEC_ID = 1, 2, 4, 8, 16, 32
 PARSE_OK, MISSING_FIELD, INVALID = range(3)
+R_UNKNOWN, AWAITING_PRIMARY, AWAITING_DROPCOPY, IN_GRACE, MATCHED, DIVERGED_CONFIRMED, SUPPRESSED_BY_GAP = range(7)
+GAP_PRIMARY, GAP_DROPCOPY = 1, 2
 
 DIVERGENCE_NAMES = ("MissingFill", "PhantomOrder", "StateMismatch", "QuantityMismatch", "TimingAnomaly", "MissingDropCopy")
+RECON_NAMES = ("Unknown", "AwaitingPrimary", "AwaitingDropCopy", "InGrace", "Matched", "DivergedConfirmed", "SuppressedByGap")
+#: Statuses and states of reconciliation after which nothing more is due.
+TERMINAL_STATUSES, TERMINAL_STATES = (FILLED, CANCELED, REJECTED), (MATCHED, DIVERGED_CONFIRMED)
 
 #: Which statuses may follow each; besides, anything follows UNKNOWN, and each status itself.
 SUCCESSORS = {

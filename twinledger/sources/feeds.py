@@ -6,55 +6,80 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import MS
-from ..schema import DROPCOPY, EXEC_FILL, EXEC_NEW, EXEC_PARTIAL, FILLED, PARTIALLY_FILLED, PRIMARY, WORKING
+from ..operators.running import running
+from ..schema import CANCEL_PENDING, CANCELED, DROPCOPY, FILLED, NEW, PARTIALLY_FILLED, PENDING_NEW, PRIMARY, REJECTED, REPLACED, UNKNOWN, WORKING
+from ..storage import written
 
+#: The exec type that goes with each status.
+EXEC_OF = (0, 1, 2, 3, 4, 5, 6, 0, 0, 6)
+FIRST = (NEW, PENDING_NEW, WORKING, REPLACED, UNKNOWN, WORKING)
+#: Session events and nanoseconds of order events whose running aggregates are taken at once.
+BLOCK, BLOCK_NS = 65_536, 3_600_000 * MS
 
-def _event(source: int, r: Column, status: Column | int, cum: Column, price: Column, qty: Column, late: Column | int = 0, prefix: Column | str = "E") -> Column:
+
+def _message(when: Column, source: int, r: Column, status: Column | int, cum: Column, line: bool = True, place: Column | None = None, wait: int = 0, late: Column | int = 0, lost: Column | bool = False, twice: Column | bool = False, prefix: str | Column = "E", of: Column | None = None) -> Column:
+    """place: the row that the sending time is counted from, if not r; wait: ms after it; late: ms until it arrives; of: the row whose exec id
+    it repeats."""
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
-    at = (F.col("order_key") * 1000 + r * 10 + (2 if source else 0) + lit(late)) * MS
-    return F.struct(
-        F.lit(source).alias("source"),
-        r.cast("int").alias("r"),
-        lit(status).cast("int").alias("ord_status"),
-        price.alias("price_micro"),
-        qty.alias("qty"),
-        cum.alias("cum_qty"),
-        at.alias("ingest_ns"),
-        F.concat(lit(prefix), F.col("order_key").cast("string"), F.lit("-"), r.cast("string")).alias("exec_id"),
-    )
+    k = F.col("order_key")
+    sent = (k * 50 + (r if place is None else place) * 10 + source * 2 + wait) * MS + k % 10_000 * 64 + r * 2 + source
+    zero = F.lit(0).cast("long")
+    return F.when(when, F.struct(
+        F.lit(source).alias("source"), r.cast("int").alias("r"), lit(status).cast("int").alias("ord_status"), (F.col("price") if line else zero).alias("price_micro"), (F.col("qty") if line else zero).alias("qty"),
+        cum.alias("cum_qty"), sent.alias("sent_ns"), (sent + lit(late) * MS).alias("ingest_ns"), F.concat(lit(prefix), k.cast("string"), F.lit("-"), (r if of is None else of).cast("string")).alias("exec_id"), lit(lost).alias("lost"), lit(twice).alias("twice"),
+    ))
 
 
 def order_events(lineitem: DataFrame) -> DataFrame:
-    """Both feeds of every order: a working row, then a fill for each line; one order in three of the twenty kinds
-    by key differs between the feeds. One shuffle by order, whose partitioning later steps by order reuse."""
+    """Both feeds of every order as they arrive, numbered by source and session as they were sent.
+
+    An order begins with one of six statuses, is filled line by line, and ends filled, or cancelled or rejected after a
+    pending cancel. By key modulo 20: 0 and 1 are on one feed only; 2 lacks the last line on the drop copy; 3 has
+    another quantity there; 5 lacks the primary's lines; 6 has other exec ids; 7 has three events that no status allows;
+    2, 4 and 8 repeat the primary's last status; 9 delivers one message twice. Some messages are numbered but lost (those
+    missing where the key modulo 120 is 2, and the primary's last lines where it is 70) or 700 ms late (the drop copy's last
+    lines where the key modulo 60 is 4).
+    """
     line = Window.partitionBy("order_key").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     price = F.round(F.col("l_extendedprice") * 100).cast("long") * 10_000
     rows = lineitem.select(F.col("l_orderkey").alias("order_key"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", F.col("l_quantity").cast("long").alias("qty"), price.alias("price"))
     rows = rows.withColumns({"r": F.row_number().over(line), "cum": F.sum("qty").over(line.rowsBetween(Window.unboundedPreceding, 0)), "n": F.count("*").over(Window.partitionBy("order_key"))})
-    k, r, last = F.col("order_key") % 20, F.col("r"), F.col("r") == F.col("n")
-    status = F.when(last, FILLED).otherwise(PARTIALLY_FILLED)
-    none, zero, start = F.lit(None), F.lit(0).cast("long"), F.lit(0)
-    prefix = F.when(k == 6, "D").otherwise("E")
-    events = F.array(
-        F.when((r == 1) & (k != 1), _event(PRIMARY, start, WORKING, zero, zero, zero)).otherwise(none),
-        F.when((r == 1) & (k != 0), _event(DROPCOPY, start, WORKING, zero, zero, zero, prefix=prefix)).otherwise(none),
-        F.when(~k.isin(1, 5), _event(PRIMARY, r, status, F.col("cum"), F.col("price"), F.col("qty"))).otherwise(none),
-        F.when((k != 0) & ~((k == 2) & last), _event(DROPCOPY, r, status, F.col("cum") + F.when((k == 3) & last, 1).otherwise(0), F.col("price"), F.col("qty"), F.when((k == 4) & last, 700).otherwise(0), prefix)).otherwise(none),
-        F.when((k == 7) & last, _event(PRIMARY, r + 1, WORKING, F.col("cum"), F.col("price"), F.col("qty"))).otherwise(none),
+    key, r, n, cum = F.col("order_key"), F.col("r"), F.col("n"), F.col("cum")
+    k, how, first, last = key % 20, key % 7, F.col("r") == 1, F.col("r") == F.col("n")
+    begins = F.element_at(F.array(*map(F.lit, FIRST)), (key % 6 + 1).cast("int"))
+    status = F.when(~last, PARTIALLY_FILLED).when(how.isin(3, 5), CANCEL_PENDING).otherwise(FILLED)
+    end = F.when(how == 3, CANCELED).when(how == 5, REJECTED).otherwise(FILLED)
+    closed, prefix, zero, start = last & how.isin(3, 5), F.when(k == 6, "D").otherwise("E"), F.lit(0).cast("long"), F.lit(0)
+    p, d = (k != 1), (k != 0)
+    messages = F.array(
+        _message(first & p, PRIMARY, start, begins, zero, line=False),
+        _message(first & d, DROPCOPY, start, begins, zero, line=False, prefix=prefix),
+        _message(p & (k != 5), PRIMARY, r, status, cum, lost=(key % 120 == 70) & last),
+        _message(d & ~((k == 2) & (key % 120 != 2) & last), DROPCOPY, r, status, cum + F.when((k == 3) & last, 1).otherwise(0), late=F.when((key % 60 == 4) & last, 700).otherwise(0), lost=(key % 120 == 2) & last, twice=(k == 9) & last, prefix=prefix),
+        _message(closed & p & (k != 5), PRIMARY, n + 1, end, cum),
+        _message(closed & d, DROPCOPY, n + 1, end, cum, prefix=prefix),
+        _message(last & (k == 7), PRIMARY, n + 2, WORKING, cum),
+        _message(last & (k == 7), PRIMARY, n + 3, NEW, cum, place=n + 2, wait=600),
+        _message(last & (k == 7), PRIMARY, n + 4, WORKING, cum, place=n + 2, wait=1200),
+        _message(last & k.isin(2, 4, 8), PRIMARY, n + 5, end, cum, place=n + 1, wait=200, of=F.when(how.isin(3, 5), n + 1).otherwise(n)),
     )
-    out = rows.select("order_key", F.inline(F.filter(events, lambda e: e.isNotNull())))
-    kind = F.when(F.col("ord_status") == WORKING, EXEC_NEW).when(F.col("ord_status") == FILLED, EXEC_FILL).otherwise(EXEC_PARTIAL)
+    sent = rows.select("order_key", F.inline(F.array_compact(messages)))
+    sent = sent.withColumn("session_id", (F.floor(F.col("order_key") / 3) % 2).cast("int"))
+    sent = running(sent, ["source", "session_id"], ["sent_ns"], {"seq": ("sum", F.lit(1).cast("long"))}, F.expr(f"sent_ns div {BLOCK_NS}"))
+    copies = F.filter(F.array(F.when(~F.col("lost"), F.lit(0)), F.when(F.col("twice"), F.lit(1))), lambda x: x.isNotNull())
+    out = sent.withColumn("copy", F.explode(copies))
     return out.select(
-        "order_key", "source", "r", kind.alias("exec_type"), "ord_status", (F.col("order_key") % 8).cast("int").alias("session_id"), "price_micro", "qty", "cum_qty",
-        F.col("ingest_ns").alias("transact_time"), "ingest_ns", "exec_id", F.concat(F.lit("OID"), F.col("order_key").cast("string")).alias("order_id"), F.concat(F.lit("CID"), F.col("order_key").cast("string")).alias("clord_id"),
+        "order_key", "source", (F.col("r") + 6 * F.col("copy")).cast("int").alias("r"), F.element_at(F.array(*map(F.lit, EXEC_OF)), F.col("ord_status") + 1).alias("exec_type"), "ord_status", "session_id", "seq", "price_micro", "qty", "cum_qty",
+        (F.col("ingest_ns") + F.col("copy") * MS).alias("ingest_ns"), F.col("ingest_ns").alias("transact_time"), "exec_id", F.concat(F.lit("OID"), F.col("order_key").cast("string")).alias("order_id"), F.concat(F.lit("CID"), F.col("order_key").cast("string")).alias("clord_id"),
     )
 
 
 def session_events(events: DataFrame) -> DataFrame:
     """Numbered messages of four sessions per source: some lost, late, or delivered twice; arrival is their order."""
-    tracker = Window.partitionBy("source", "session_id")
+    tracker = ["source", "session_id"]
     rows = events.select((F.col("event_id") % 2).cast("int").alias("source"), (F.col("user_id") % 4).cast("int").alias("session_id"), "event_id")
-    rows = rows.withColumn("seq", F.row_number().over(tracker.orderBy("event_id")).cast("long")).filter("seq % 97 != 0")
+    rows = running(rows, tracker, ["event_id"], {"seq": ("sum", F.lit(1).cast("long"))}, F.expr(f"event_id div {BLOCK}")).filter("seq % 97 != 0")
+    rows = written(rows, "sessions")
     s = F.col("seq")
     at = F.array(
         s * 10 + F.when(s % 53 == 0, 35).otherwise(0),
@@ -62,4 +87,11 @@ def session_events(events: DataFrame) -> DataFrame:
         F.when((s % 53 != 0) & (s % 71 != 0) & (s % 61 == 0), s * 10 + 55),
     )
     rows = rows.withColumn("o", F.explode(F.array_compact(at)))
-    return rows.select("source", "session_id", "event_id", "seq", F.row_number().over(tracker.orderBy("o", "seq")).cast("long").alias("arrival"))
+    rows = running(rows, tracker, ["o", "seq"], {"arrival": ("sum", F.lit(1).cast("long"))}, F.expr(f"o div {10 * BLOCK}"))
+    return rows.select("source", "session_id", "event_id", "seq", "arrival")
+
+
+def closings(events: DataFrame) -> DataFrame:
+    """Gaps closed by hand: (source, session_id, arrival) after which a tracker's open gap, if any, is closed."""
+    rows = events.filter("event_id % 211 = 0")
+    return rows.select((F.col("event_id") % 2).cast("int").alias("source"), (F.col("user_id") % 4).cast("int").alias("session_id"), F.expr("event_id div 8").alias("arrival")).distinct()

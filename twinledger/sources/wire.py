@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The record's layout.
@@ -19,6 +19,27 @@ NUMBERS = ("exec_type", "ord_status", "seq_num", "session_id", "price_micro", "q
 IDS = ("exec_id", "order_id", "clord_id")
 
 
+def _padded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(n, ID) bytes of each text's first ID bytes (null: none), and their lengths."""
+    texts = texts.fill_null("").cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    lengths = np.minimum(np.diff(offsets), ID)
+    inside = np.arange(ID) < lengths[:, None]
+    out = np.zeros((len(texts), ID), np.uint8)
+    out[inside] = data[(offsets[:-1, None] + np.arange(ID))[inside]]
+    return out, lengths
+
+
+def _texts(padded: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """The texts again. Bytes that are no UTF-8, as where a text was cut, are replaced."""
+    data = padded[np.arange(ID) < lengths[:, None]]
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    if (data < 128).all():
+        return pa.Array.from_buffers(pa.string(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    return pa.array([data[a:b].tobytes().decode(errors="replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.string())
+
+
 def encoded(events: DataFrame) -> DataFrame:
     """Every column of events but the fields, and `record`. Null numbers are 0, null ids empty; ids are cut to 32 bytes."""
     rest = [c for c in events.columns if c not in (*NUMBERS, *IDS)]
@@ -30,10 +51,11 @@ def encoded(events: DataFrame) -> DataFrame:
             for n in NUMBERS:
                 out[n] = b.column(n).fill_null(0).to_numpy(zero_copy_only=False)
             for n in IDS:
-                ids = [(x or "").encode()[:ID] for x in b.column(n).to_pylist()]
-                out[n] = np.array([x.ljust(ID, b"\0") for x in ids], f"S{ID}").view(f"V{ID}") if ids else out[n]
-                out[n + "_len"] = [len(x) for x in ids]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array([x.tobytes() for x in out], pa.binary())], [*rest, "record"])
+                padded, out[n + "_len"] = _padded(b.column(n))
+                out[n] = padded.view(f"V{ID}").ravel()
+            offsets = np.arange(len(out) + 1, dtype=np.int32) * RECORD.itemsize
+            records = pa.Array.from_buffers(pa.binary(), len(out), [None, pa.py_buffer(offsets), pa.py_buffer(out.tobytes())])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), records], [*rest, "record"])
 
     numbers = [F.col(n) if n in events.columns else F.lit(0).cast("long").alias(n) for n in NUMBERS]
     return events.select(*rest, *numbers, *IDS).mapInArrow(run, schema)
@@ -51,11 +73,12 @@ def decoded(records: DataFrame, record_col: str = "record") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = np.frombuffer(b"".join(b.column(record_col).to_pylist()), RECORD)
+            records = b.column(record_col).cast(pa.large_binary())  # all of one length, so they follow one another
+            first = int(np.frombuffer(records.buffers()[1], np.int64, 1, records.offset * 8)[0]) if b.num_rows else 0
+            rows = np.frombuffer(records.buffers()[2] or b"", RECORD, b.num_rows, first) if b.num_rows else np.zeros(0, RECORD)
             arrays = [pa.array(rows[n].astype(np.int32 if n in kinds else np.int64)) for n in NUMBERS]
             for n in IDS:
-                lengths = np.minimum(rows[n + "_len"], ID)
-                arrays.append(pa.array([bytes(x)[:k].decode(errors="replace") for x, k in zip(rows[n], lengths.tolist(), strict=True)], pa.string()))
+                arrays.append(_texts(np.ascontiguousarray(rows[n]).view(np.uint8).reshape(-1, ID), np.minimum(rows[n + "_len"], ID).astype(np.int64)))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *arrays], [*rest, *NUMBERS, *IDS])
 
     return records.filter(F.octet_length(record_col) == RECORD.itemsize).select(*rest, record_col).mapInArrow(run, schema)
@@ -63,3 +86,10 @@ def decoded(records: DataFrame, record_col: str = "record") -> DataFrame:
 
 def rejects(records: DataFrame, record_col: str = "record") -> DataFrame:
     return records.filter(F.coalesce(F.octet_length(record_col) != RECORD.itemsize, F.lit(True)))
+
+
+def subscribed(spark: SparkSession, path: str, record_col: str = "record", schema: str = "source int, ingest_ns long, record binary", **options: str) -> tuple[DataFrame, DataFrame]:
+    """(events, rejects) of a stream of records, one to a row, from Parquet files as they arrive in a folder: with each
+    record's source and time of arrival, as its transport gives them. For Kafka, give `decoded` its value column instead."""
+    stream = spark.readStream.schema(schema).options(**options).parquet(path)
+    return decoded(stream, record_col), rejects(stream, record_col)
