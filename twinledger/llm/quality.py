@@ -57,17 +57,20 @@ def features(words: Words) -> Iterator[np.ndarray]:
     same = np.zeros(len(h), np.uint64)  # whether a word is that before it, or the one before that
     for d in (1, 2):
         same[d:] |= (h[d:] == h[:-d]).astype(np.uint64) << np.uint64(d - 1)
-    for s in bounds[:-1]:
-        same[s : s + 1] = 0
+    place = np.arange(len(h)) - np.repeat(bounds[:-1], np.diff(bounds))  # of a word in its own text
+    same[place == 0] = 0
+    same[place == 1] &= np.uint64(1)
     streams = [h, mix(shape + np.uint64(1 << 40)), mix(same + np.uint64(1 << 41))]
-    grams = [h]
+    own = (h >> np.uint64(64 - BITS)).astype(np.int32)
+    table = [own]
     for stream, orders in zip(streams, ((2,), (1, 2, 3), (1, 3, 6)), strict=True):
         for n in orders:
             g = stream.copy()
             for j in range(1, n):
                 g[j:] = g[j:] * np.uint64(0x9E3779B97F4A7C15) + stream[:-j]
-            grams.append(mix(g + np.uint64(n)) if n > 1 else g)
-    table = np.stack([(g >> np.uint64(64 - BITS)).astype(np.int32) for g in grams]) if len(h) else np.zeros((len(grams), 0), np.int32)
+            g = ((mix(g + np.uint64(n)) if n > 1 else g) >> np.uint64(64 - BITS)).astype(np.int32)
+            table.append(np.where(place < n - 1, own, g))  # no n-gram reaches into the text before
+    table = np.stack(table)
     tallies = [np.concatenate([[0], np.cumsum(x)]) for x in (same > 0, upper >= np.maximum(2, size // 2), sign > 0, first_upper, ending > 0, size > 14)]
     mark = np.zeros(1 << BITS, bool)
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
