@@ -182,7 +182,7 @@ def test_leaks(spark, docs):
     edited = items[1].split()
     edited[7] = "other"
     del edited[13]
-    rows = [(0, prose(50) + " " + items[0].upper().replace(" ", ", ") + " " + prose(9)), (1, " ".join(edited)), (2, prose(300)), (3, None), (4, ""), (5, items[0]), (5, items[0])]
+    rows = [(0, prose(50) + " " + "".join(c.upper() if c.isascii() else c for c in items[0]).replace(" ", ", ") + " " + prose(9)), (1, " ".join(edited)), (2, prose(300)), (3, None), (4, ""), (5, items[0]), (5, items[0])]
     bench = spark.createDataFrame([*enumerate(items), (9, None), (8, "too short"), (None, items[2])], "item_id long, text string")
     table = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in decontamination.leaks(table, bench).collect()}
