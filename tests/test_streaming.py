@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from twinledger.config import MS, ReconConfig
 from twinledger.operators import orders, sequence
 from twinledger.plans import queries
+from twinledger.sources import wire
 from twinledger.streaming import processors
 
 DATA = "/root/testdata/sf0.001"
@@ -30,24 +31,69 @@ def rows(df, names):
     return sorted(tuple(-1 if v is None else v for v in r) for r in df.select(*names).collect())
 
 
-def test_two_stage(spark, tmp_path):
-    events = queries.events(spark, DATA).filter("order_key > 0 and order_key % 9 = 0").cache()
-    names = [x.split()[0] for x in processors.DIVERGENCES.split(", ")]
-    want = rows(orders.two_stage(orders.views(orders.lifecycle(events))).filter("emitted"), names)
+def in_thirds(spark, events):
+    """The events by time, and an event of order -1 an hour later, after which all else is decided."""
     end = events.agg(F.max("ingest_ns")).first()[0]
     stop = events.limit(1).withColumns({"order_key": F.lit(-1).cast("long"), "ingest_ns": F.lit(end + 3_600_000 * MS)})
     third = F.expr(f"ingest_ns div {end // 3 + 1}")
-    got = streamed(spark, [*(events.filter(third == i) for i in range(3)), stop], processors.two_stage, tmp_path)
+    return [*(events.filter(third == i) for i in range(3)), stop]
+
+
+@pytest.mark.parametrize("mode", ["two_stage", "immediate"])
+def test_modes(spark, tmp_path, mode):
+    events = queries.events(spark, DATA).filter("order_key > 0 and order_key % 9 = 0").cache()
+    names = [x.split()[0] for x in processors.DIVERGENCES.split(", ")]
+    view = orders.views(orders.lifecycle(events))
+    want = rows(orders.two_stage(view).filter("emitted") if mode == "two_stage" else orders.immediate(view), names)
+    got = streamed(spark, in_thirds(spark, events), getattr(processors, mode), tmp_path)
     assert want and rows(got.filter("order_key != -1"), names) == want
 
 
+def test_closed_gaps(spark, tmp_path):
+    events = queries.events(spark, DATA).cache()
+    feed = events.select("order_key", "source", "session_id", "seq", "ingest_ns")
+    arrivals = feed.select("source", "session_id", "seq", F.col("ingest_ns").alias("arrival"))
+    gaps = sequence.timed_gap_intervals(sequence.classify(arrivals, orders.BLOCK_NS), F.col("arrival"), block=orders.BLOCK_NS)
+    names = [x.split()[0] for x in processors.CLOSED.split(", ")]
+    want = rows(gaps, names)
+    got = streamed(spark, [x.withColumn("session_id", F.when(F.col("order_key") == -1, 99).otherwise(F.col("session_id"))) for x in in_thirds(spark, feed)], processors.closed_gaps, tmp_path)
+    assert len({w[-1] for w in want}) > 1 and rows(got, names) == want
+
+
+def test_records_from_a_bus(spark, tmp_path):
+    """Binary records, some cut, as a stream: decoded, and reconciled like the events that they were made of."""
+    events = queries.events(spark, DATA).filter("order_key % 7 = 0").withColumn("sending_time", F.col("ingest_ns")).withColumnRenamed("seq", "seq_num").cache()
+    records = wire.encoded(events).select("source", "ingest_ns", F.when(F.col("order_key") % 2 == 0, F.substring("record", 1, 90)).otherwise(F.col("record")).alias("record"))
+    records.coalesce(1).write.parquet(str(tmp_path / "bus"))
+    good, bad = wire.subscribed(spark, str(tmp_path / "bus"))
+    for name, stream in (("good", good), ("bad", bad)):
+        processors.to_parquet(stream, str(tmp_path / name), str(tmp_path / f"{name}-checkpoint")).awaitTermination()
+    names = ["source", "ingest_ns", "ord_status", "cum_qty", "price_micro", "exec_id", "clord_id", "seq_num"]
+    got = spark.read.parquet(str(tmp_path / "good"))
+    assert rows(got, names) == rows(events.filter("order_key % 2 = 1"), names)
+    assert spark.read.parquet(str(tmp_path / "bad")).count() == events.filter("order_key % 2 = 0").count() > 0
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    events = queries.events(spark, DATA).filter("order_key = 63").cache()
+    on_time, late = in_thirds(spark, events)[3], events
+    at = str(tmp_path / "in")
+    for part in (on_time, on_time.withColumn("ingest_ns", F.col("ingest_ns") + 1), late):
+        part.coalesce(1).write.mode("append").parquet(at)
+        time.sleep(0.05)
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(at)
+    query = processors.to_parquet(processors.two_stage(source), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    query.awaitTermination()
+    assert processors.late_rows(query) == events.count() > 0
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_order_in_any_batches(spark, seed):
     """Held events: the fold gives the same whether all come at once or shuffled a few at a time, the watermark behind."""
     r = random.Random(seed)
     config = ReconConfig(grace_ns=20, dedup_ns=15)
     status = lambda: r.choice([0, 8, 1, 2, 3, 9])
-    events = [[t, r.randrange(2), 0, status(), r.choice([10, 20]), 5, r.choice(["a", None])] for t in sorted(r.sample(range(400), 60))]
+    events = [[t, r.randrange(2), 0, status(), r.choice([10, 20]), 5, r.choice(["a", None]), t] for t in sorted(r.sample(range(400), 60))]
     whole = processors.Order(config)
     want = whole.advance(events, 10_000)
     parts = processors.Order(config)
@@ -58,7 +104,7 @@ def test_order_in_any_batches(spark, seed):
     got += parts.advance([], 10_000)
     assert got == want and parts.next_ns() is None
     schema = "order_key long, ingest_ns long, source int, r int, ord_status int, cum_qty long, price_micro long, exec_id string, transact_time long"
-    table = spark.createDataFrame([(1, *e, e[0]) for e in events], schema)
+    table = spark.createDataFrame([(1, *e) for e in events], schema)
     batch = orders.two_stage(orders.views(orders.lifecycle(table)), config).filter("emitted").orderBy("detect_ns", "mask")
     assert [list(x) for x in batch.select([x.split()[0] for x in processors.DIVERGENCES.split(", ")][1:]).collect()] == want
 
