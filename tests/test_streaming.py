@@ -50,7 +50,7 @@ def test_modes(spark, tmp_path, mode):
 
 
 def test_closed_gaps(spark, tmp_path):
-    events = queries.events(spark, DATA).cache()
+    events = queries.events(spark, DATA, True).cache()
     feed = events.select("order_key", "source", "session_id", "seq", "ingest_ns")
     arrivals = feed.select("source", "session_id", "seq", F.col("ingest_ns").alias("arrival"))
     gaps = sequence.timed_gap_intervals(sequence.classify(arrivals, orders.BLOCK_NS), F.col("arrival"), block=orders.BLOCK_NS)
@@ -62,7 +62,7 @@ def test_closed_gaps(spark, tmp_path):
 
 def test_records_from_a_bus(spark, tmp_path):
     """Binary records, some cut, as a stream: decoded, and reconciled like the events that they were made of."""
-    events = queries.events(spark, DATA).filter("order_key % 7 = 0").withColumn("sending_time", F.col("ingest_ns")).withColumnRenamed("seq", "seq_num").cache()
+    events = queries.events(spark, DATA, True).filter("order_key % 7 = 0").withColumn("sending_time", F.col("ingest_ns")).withColumnRenamed("seq", "seq_num").cache()
     records = wire.encoded(events).select("source", "ingest_ns", F.when(F.col("order_key") % 2 == 0, F.substring("record", 1, 90)).otherwise(F.col("record")).alias("record"))
     records.coalesce(1).write.parquet(str(tmp_path / "bus"))
     good, bad = wire.subscribed(spark, str(tmp_path / "bus"))

@@ -130,7 +130,7 @@ def lifecycle(events: DataFrame) -> DataFrame:
     else:
         own = own.withColumn("start", none)
     own = own.select("order_key", "part", "source", "ord_status", "start", *rest)
-    out = folded(own, keys, order, lambda batches: _statuses(batches, True), own.schema.add("accepted", "boolean"))
+    out = folded(own, keys if "part" in events.columns else keys[:1], order, lambda batches: _statuses(batches, True), own.schema.add("accepted", "boolean"))
     return out.select(*events.columns, "accepted")
 
 
@@ -233,7 +233,7 @@ def deduplicated(candidates: DataFrame, window_ns: int) -> DataFrame:
                 out.append(emit)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.bool_())], [*b.schema.names, "emitted"])
 
-    return folded(rows, ["order_key", "run"], order, fold, rows.schema.add("emitted", "boolean")).select(*candidates.columns, "emitted")
+    return folded(rows, ["order_key", "run"], order, fold, rows.schema.add("emitted", "boolean"), together=part is None).select(*candidates.columns, "emitted")
 
 
 def immediate(viewed: DataFrame, config: ReconConfig = ReconConfig()) -> DataFrame:
@@ -365,7 +365,8 @@ def reconciled(viewed: DataFrame, config: ReconConfig = ReconConfig()) -> DataFr
         finish()
         yield batch()
 
-    out = folded(rows, ["order_key", "segment"], list(ORDER), fold, STEPS)
+    # without parts, the views' windows have put each order into one task
+    out = folded(rows, ["order_key", "segment"], list(ORDER), fold, STEPS, together="part" not in viewed.columns)
     return out.withColumn("part", F.lit(0)) if "part" in viewed.columns else out
 
 

@@ -43,6 +43,7 @@ def running(rows: DataFrame, keys: list[str], order: list[str], values: dict[str
     return joined.withColumns({n: both[kind](n) for n, (kind, _) in values.items()}).select(*[c for c in rows.columns if c not in ("_part", *[f"_{n}" for n in names])], *names)
 
 
-def folded(rows: DataFrame, keys: list[str], order: list[str], fold: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """fold over batches of rows sorted by key, then order; all rows of a key are one task's."""
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(fold, schema)
+def folded(rows: DataFrame, keys: list[str], order: list[str], fold: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, together: bool = False) -> DataFrame:
+    """fold over batches of rows sorted by key, then order; all rows of a key are one task's. together: they are already, as
+    after a window or a join over some of the keys, so that rows need not be shuffled again."""
+    return (rows if together else rows.repartition(*keys)).sortWithinPartitions(*keys, *order).mapInArrow(fold, schema)

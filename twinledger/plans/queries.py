@@ -14,8 +14,8 @@ from ..schema import DIVERGENCE_NAMES
 from ..sources import feeds, fix, wire
 from ..storage import written
 
-#: Order events are parted by time, an hour each.
-NS_BLOCK = orders.BLOCK_NS
+#: A session's order events are parted by time.
+NS_BLOCK = feeds.BLOCK_NS
 SHORT = ReconConfig(grace_ns=1 * MS, dedup_ns=15 * MS, compare_exec_id=False)
 
 
@@ -23,8 +23,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feeds.order_events(_table(spark, sf_dir, "lineitem"))
+def events(spark: SparkSession, sf_dir: str, numbered: bool = False) -> DataFrame:
+    return feeds.order_events(_table(spark, sf_dir, "lineitem"), numbered)
 
 
 def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,12 +87,12 @@ def marked(rows: DataFrame) -> DataFrame:
 
 def gap_suppressed_orders(spark, sf_dir):
     """Order events that a gap of either feed makes uncertain."""
-    rows = marked(written(events(spark, sf_dir), "events")).filter("gap_flags is not null")
+    rows = marked(written(events(spark, sf_dir, True), "events")).filter("gap_flags is not null")
     return rows.select("order_key", "source", "r", "gap_flags", "p_epoch", "d_epoch", "until_ns")
 
 
 def order_events(spark, sf_dir):
-    return events(spark, sf_dir)
+    return events(spark, sf_dir, True)
 
 
 def source_counters(spark, sf_dir):
@@ -106,7 +106,7 @@ def order_keys(spark, sf_dir):
 
 
 def _parsed(spark, sf_dir):
-    return fix.parse(fix.rendered(events(spark, sf_dir)).drop("session_id", "seq", "ingest_ns"))
+    return fix.parse(fix.rendered(events(spark, sf_dir)).drop("session_id", "ingest_ns"))
 
 
 def fix_parse(spark, sf_dir):
@@ -123,7 +123,7 @@ def parse_stats(spark, sf_dir):
 
 
 def _records(spark, sf_dir):
-    rows = wire.encoded(events(spark, sf_dir).withColumn("sending_time", F.col("ingest_ns")).withColumnRenamed("seq", "seq_num"))
+    rows = wire.encoded(events(spark, sf_dir, True).withColumn("sending_time", F.col("ingest_ns")).withColumnRenamed("seq", "seq_num"))
     cut = F.when(F.col("order_key") % 50 == 6, F.substring("record", 1, 100)).otherwise(F.col("record"))
     return rows.select("order_key", "source", "r", cut.alias("record"))
 
@@ -195,7 +195,7 @@ def two_stage_short_grace(spark, sf_dir):
 
 def guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Views of orders with what gaps make uncertain."""
-    return orders.views(orders.lifecycle(orders.parted(marked(written(events(spark, sf_dir), "events")))))
+    return orders.views(orders.lifecycle(orders.parted(marked(written(events(spark, sf_dir, True), "events")))))
 
 
 def two_stage_suppressed(spark, sf_dir):
@@ -237,7 +237,7 @@ def eod_summary(spark, sf_dir):
 def order_lookup(spark, sf_dir):
     """The state of single orders, by key: the filter reaches the scan."""
     lines = _table(spark, sf_dir, "lineitem").filter(F.col("l_orderkey").isin(1, 2, 3, 21, 47))
-    return orders.last_states(orders.lifecycle(feeds.order_events(lines))).select("order_key", "source", "status", "cum_qty")
+    return orders.last_states(orders.lifecycle(feeds.order_events(lines, False))).select("order_key", "source", "status", "cum_qty")
 
 
 def divergence_range(spark, sf_dir):
@@ -261,7 +261,7 @@ def from_messages(messages: DataFrame) -> DataFrame:
 
 def end_to_end(spark, sf_dir):
     """What both modes emit, from FIX text to divergences."""
-    view = written(from_messages(fix.rendered(events(spark, sf_dir))), "views")
+    view = written(from_messages(fix.rendered(events(spark, sf_dir, True))), "views")
     columns = ["order_key", "detect_ns", "type", "mask", "p_status", "p_cum_qty", "d_status", "d_cum_qty"]
     at_once = orders.immediate(view).select(F.lit("immediate").alias("mode"), *columns)
     return at_once.unionAll(orders.two_stage(view).filter("emitted").select(F.lit("two-stage").alias("mode"), *columns))

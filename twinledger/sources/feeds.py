@@ -14,7 +14,7 @@ from ..storage import written
 EXEC_OF = (0, 1, 2, 3, 4, 5, 6, 0, 0, 6)
 FIRST = (NEW, PENDING_NEW, WORKING, REPLACED, UNKNOWN, WORKING)
 #: Session events and nanoseconds of order events whose running aggregates are taken at once.
-BLOCK, BLOCK_NS = 65_536, 3_600_000 * MS
+BLOCK, BLOCK_NS = 65_536, 60_000 * MS
 
 
 def _message(when: Column, source: int, r: Column, status: Column | int, cum: Column, line: bool = True, place: Column | None = None, wait: int = 0, late: Column | int = 0, lost: Column | bool = False, twice: Column | bool = False, prefix: str | Column = "E", of: Column | None = None) -> Column:
@@ -30,8 +30,8 @@ def _message(when: Column, source: int, r: Column, status: Column | int, cum: Co
     ))
 
 
-def order_events(lineitem: DataFrame) -> DataFrame:
-    """Both feeds of every order as they arrive, numbered by source and session as they were sent.
+def order_events(lineitem: DataFrame, numbered: bool = True) -> DataFrame:
+    """Both feeds of every order as they arrive, numbered (seq) by source and session as they were sent, if that is asked.
 
     An order begins with one of six statuses, is filled line by line, and ends filled, or cancelled or rejected after a
     pending cancel. By key modulo 20: 0 and 1 are on one feed only; 2 lacks the last line on the drop copy; 3 has
@@ -65,11 +65,12 @@ def order_events(lineitem: DataFrame) -> DataFrame:
     )
     sent = rows.select("order_key", F.inline(F.array_compact(messages)))
     sent = sent.withColumn("session_id", (F.floor(F.col("order_key") / 3) % 2).cast("int"))
-    sent = running(sent, ["source", "session_id"], ["sent_ns"], {"seq": ("sum", F.lit(1).cast("long"))}, F.expr(f"sent_ns div {BLOCK_NS}"))
+    if numbered:
+        sent = running(sent, ["source", "session_id"], ["sent_ns"], {"seq": ("sum", F.lit(1).cast("long"))}, F.expr(f"sent_ns div {BLOCK_NS}"))
     copies = F.filter(F.array(F.when(~F.col("lost"), F.lit(0)), F.when(F.col("twice"), F.lit(1))), lambda x: x.isNotNull())
     out = sent.withColumn("copy", F.explode(copies))
     return out.select(
-        "order_key", "source", (F.col("r") + 6 * F.col("copy")).cast("int").alias("r"), F.element_at(F.array(*map(F.lit, EXEC_OF)), F.col("ord_status") + 1).alias("exec_type"), "ord_status", "session_id", "seq", "price_micro", "qty", "cum_qty",
+        "order_key", "source", (F.col("r") + 6 * F.col("copy")).cast("int").alias("r"), F.element_at(F.array(*map(F.lit, EXEC_OF)), F.col("ord_status") + 1).alias("exec_type"), "ord_status", "session_id", *["seq"] * numbered, "price_micro", "qty", "cum_qty",
         (F.col("ingest_ns") + F.col("copy") * MS).alias("ingest_ns"), F.col("ingest_ns").alias("transact_time"), "exec_id", F.concat(F.lit("OID"), F.col("order_key").cast("string")).alias("order_id"), F.concat(F.lit("CID"), F.col("order_key").cast("string")).alias("clord_id"),
     )
 
