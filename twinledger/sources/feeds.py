@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import MS
@@ -17,19 +17,6 @@ FIRST = (NEW, PENDING_NEW, WORKING, REPLACED, UNKNOWN, WORKING)
 BLOCK, BLOCK_NS = 65_536, 60_000 * MS
 
 
-def _message(when: Column, source: int, r: Column, status: Column | int, cum: Column, line: bool = True, place: Column | None = None, wait: int = 0, late: Column | int = 0, lost: Column | bool = False, twice: Column | bool = False, prefix: str | Column = "E", of: Column | None = None) -> Column:
-    """place: the row that the sending time is counted from, if not r; wait: ms after it; late: ms until it arrives; of: the row whose exec id
-    it repeats."""
-    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
-    k = F.col("order_key")
-    sent = (k * 50 + (r if place is None else place) * 10 + source * 2 + wait) * MS + k % 10_000 * 64 + r * 2 + source
-    zero = F.lit(0).cast("long")
-    return F.when(when, F.struct(
-        F.lit(source).alias("source"), r.cast("int").alias("r"), lit(status).cast("int").alias("ord_status"), (F.col("price") if line else zero).alias("price_micro"), (F.col("qty") if line else zero).alias("qty"),
-        cum.alias("cum_qty"), sent.alias("sent_ns"), (sent + lit(late) * MS).alias("ingest_ns"), F.concat(lit(prefix), k.cast("string"), F.lit("-"), (r if of is None else of).cast("string")).alias("exec_id"), lit(lost).alias("lost"), lit(twice).alias("twice"),
-    ))
-
-
 def order_events(lineitem: DataFrame, numbered: bool = True) -> DataFrame:
     """Both feeds of every order as they arrive, numbered (seq) by source and session as they were sent, if that is asked.
 
@@ -43,35 +30,46 @@ def order_events(lineitem: DataFrame, numbered: bool = True) -> DataFrame:
     line = Window.partitionBy("order_key").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     price = F.round(F.col("l_extendedprice") * 100).cast("long") * 10_000
     rows = lineitem.select(F.col("l_orderkey").alias("order_key"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", F.col("l_quantity").cast("long").alias("qty"), price.alias("price"))
-    rows = rows.withColumns({"r": F.row_number().over(line), "cum": F.sum("qty").over(line.rowsBetween(Window.unboundedPreceding, 0)), "n": F.count("*").over(Window.partitionBy("order_key"))})
-    key, r, n, cum = F.col("order_key"), F.col("r"), F.col("n"), F.col("cum")
-    k, how, first, last = key % 20, key % 7, F.col("r") == 1, F.col("r") == F.col("n")
+    rows = rows.withColumns({"line": F.row_number().over(line), "cum": F.sum("qty").over(line.rowsBetween(Window.unboundedPreceding, 0)), "n": F.count("*").over(Window.partitionBy("order_key"))})
+    key, n, what = F.col("order_key"), F.col("n"), F.col("what")
+    k, how, first, last = key % 20, key % 7, F.col("line") == 1, F.col("line") == n
+    closed, p, d = last & how.isin(3, 5), k != 1, k != 0
+    # which messages a line gives rise to; their fields follow
+    OPEN_P, OPEN_D, LINE_P, LINE_D, END_P, END_D, BAD_1, BAD_2, BAD_3, AGAIN = range(10)
+    given = {
+        OPEN_P: first & p, OPEN_D: first & d, LINE_P: p & (k != 5), LINE_D: d & ~((k == 2) & (key % 120 != 2) & last), END_P: closed & p & (k != 5), END_D: closed & d,
+        BAD_1: last & (k == 7), BAD_2: last & (k == 7), BAD_3: last & (k == 7), AGAIN: last & k.isin(2, 4, 8),
+    }
+    rows = rows.withColumn("what", F.explode(F.array_compact(F.array(*[F.when(when, F.lit(i)) for i, when in given.items()]))))
+    of = lambda *kinds: what.isin(*kinds)
     begins = F.element_at(F.array(*map(F.lit, FIRST)), (key % 6 + 1).cast("int"))
-    status = F.when(~last, PARTIALLY_FILLED).when(how.isin(3, 5), CANCEL_PENDING).otherwise(FILLED)
     end = F.when(how == 3, CANCELED).when(how == 5, REJECTED).otherwise(FILLED)
-    closed, prefix, zero, start = last & how.isin(3, 5), F.when(k == 6, "D").otherwise("E"), F.lit(0).cast("long"), F.lit(0)
-    p, d = (k != 1), (k != 0)
-    messages = F.array(
-        _message(first & p, PRIMARY, start, begins, zero, line=False),
-        _message(first & d, DROPCOPY, start, begins, zero, line=False, prefix=prefix),
-        _message(p & (k != 5), PRIMARY, r, status, cum, lost=(key % 120 == 70) & last),
-        _message(d & ~((k == 2) & (key % 120 != 2) & last), DROPCOPY, r, status, cum + F.when((k == 3) & last, 1).otherwise(0), late=F.when((key % 60 == 4) & last, 700).otherwise(0), lost=(key % 120 == 2) & last, twice=(k == 9) & last, prefix=prefix),
-        _message(closed & p & (k != 5), PRIMARY, n + 1, end, cum),
-        _message(closed & d, DROPCOPY, n + 1, end, cum, prefix=prefix),
-        _message(last & (k == 7), PRIMARY, n + 2, WORKING, cum),
-        _message(last & (k == 7), PRIMARY, n + 3, NEW, cum, place=n + 2, wait=600),
-        _message(last & (k == 7), PRIMARY, n + 4, WORKING, cum, place=n + 2, wait=1200),
-        _message(last & k.isin(2, 4, 8), PRIMARY, n + 5, end, cum, place=n + 1, wait=200, of=F.when(how.isin(3, 5), n + 1).otherwise(n)),
-    )
-    sent = rows.select("order_key", F.inline(F.array_compact(messages)))
-    sent = sent.withColumn("session_id", (F.floor(F.col("order_key") / 3) % 2).cast("int"))
+    status = F.when(of(OPEN_P, OPEN_D), begins).when(of(END_P, END_D, AGAIN), end).when(of(BAD_1, BAD_3), WORKING).when(of(BAD_2), NEW).when(~last, PARTIALLY_FILLED).when(how.isin(3, 5), CANCEL_PENDING).otherwise(FILLED)
+    r = F.when(of(OPEN_P, OPEN_D), 0).when(of(LINE_P, LINE_D), F.col("line")).otherwise(n + F.when(of(END_P, END_D), 1).when(of(AGAIN), 5).otherwise(what - BAD_1 + 2)).cast("int")
+    rows = rows.withColumns({"source": F.when(of(OPEN_D, LINE_D, END_D), DROPCOPY).otherwise(PRIMARY), "r": r, "ord_status": status.cast("int")})
+    # the row that the sending time is counted from, ms after it, ms until it arrives, and the row whose exec id is given
+    place = F.when(of(AGAIN), n + 1).when(of(BAD_2, BAD_3), n + 2).otherwise(F.col("r"))
+    wait = F.when(of(BAD_2), 600).when(of(BAD_3), 1200).when(of(AGAIN), 200).otherwise(0)
+    late = F.when(of(LINE_D) & (key % 60 == 4) & last, 700).otherwise(0)
+    ident = F.when(of(AGAIN), F.when(how.isin(3, 5), n + 1).otherwise(n)).otherwise(F.col("r"))
+    zero = F.lit(0).cast("long")
+    opening = of(OPEN_P, OPEN_D)
+    sent = (key * 50 + place * 10 + F.col("source") * 2 + wait) * MS + key % 10_000 * 64 + F.col("r") * 2 + F.col("source")
+    text = key.cast("string")
+    sent = rows.select(
+        "order_key", "source", "r", "ord_status", (F.floor(key / 3) % 2).cast("int").alias("session_id"), F.when(opening, zero).otherwise(F.col("price")).alias("price_micro"), F.when(opening, zero).otherwise(F.col("qty")).alias("qty"),
+        (F.when(opening, zero).otherwise(F.col("cum")) + F.when(of(LINE_D) & (k == 3) & last, 1).otherwise(0)).alias("cum_qty"), sent.alias("sent_ns"), late.alias("late"),
+        F.concat(F.when((F.col("source") == DROPCOPY) & (k == 6), "D").otherwise("E"), text, F.lit("-"), ident.cast("string")).alias("exec_id"),
+        (last & (of(LINE_P) & (key % 120 == 70) | of(LINE_D) & (key % 120 == 2))).alias("lost"), (of(LINE_D) & (k == 9) & last).alias("twice"),
+    )
     if numbered:
         sent = running(sent, ["source", "session_id"], ["sent_ns"], {"seq": ("sum", F.lit(1).cast("long"))}, F.expr(f"sent_ns div {BLOCK_NS}"))
-    copies = F.filter(F.array(F.when(~F.col("lost"), F.lit(0)), F.when(F.col("twice"), F.lit(1))), lambda x: x.isNotNull())
-    out = sent.withColumn("copy", F.explode(copies))
+    copies = F.when(F.col("twice"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    out = sent.filter("not lost").withColumn("copy", F.explode(copies))
+    ingest = F.col("sent_ns") + F.col("late") * MS
     return out.select(
         "order_key", "source", (F.col("r") + 6 * F.col("copy")).cast("int").alias("r"), F.element_at(F.array(*map(F.lit, EXEC_OF)), F.col("ord_status") + 1).alias("exec_type"), "ord_status", "session_id", *["seq"] * numbered, "price_micro", "qty", "cum_qty",
-        (F.col("ingest_ns") + F.col("copy") * MS).alias("ingest_ns"), F.col("ingest_ns").alias("transact_time"), "exec_id", F.concat(F.lit("OID"), F.col("order_key").cast("string")).alias("order_id"), F.concat(F.lit("CID"), F.col("order_key").cast("string")).alias("clord_id"),
+        (ingest + F.col("copy") * MS).alias("ingest_ns"), ingest.alias("transact_time"), "exec_id", F.concat(F.lit("OID"), F.col("order_key").cast("string")).alias("order_id"), F.concat(F.lit("CID"), F.col("order_key").cast("string")).alias("clord_id"),
     )
 
 
