@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,16 +54,14 @@ def may_have(bits: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     return first & second & np.uint8(1) > 0
 
 
-def among(rows: DataFrame, ids: DataFrame, col: str = "id") -> DataFrame:
-    """Those of rows whose `col`, a long, is that of one of ids (one column of the same name): a semi-join before which a
-    bitmap keeps most other rows out of the shuffle."""
-    ids = ids.filter(F.col(col).isNotNull()).distinct()
-    bits = rows.sparkSession.sparkContext.broadcast(gathered(ids, ids.count()))
+def of_ids(ids: DataFrame) -> Broadcast:
+    """The bitmap of the one column of ids, longs, as a broadcast for tasks to sift rows with."""
+    ids = ids.filter(F.col(ids.columns[0]).isNotNull()).distinct()
+    return ids.sparkSession.sparkContext.broadcast(gathered(ids, ids.count()))
 
-    @F.pandas_udf("boolean")
-    def may(x):
-        import pandas as pd
 
-        return pd.Series(x.notna().to_numpy() & may_have(bits.value, x.fillna(0).to_numpy(np.int64).view(np.uint64)))
-
-    return rows.filter(may(col)).join(ids, col, "left_semi")
+def sifted(batch: pa.RecordBatch, bits: np.ndarray, column: int = 0) -> pa.RecordBatch:
+    """Those rows of a batch whose long in the column may be one of the ids."""
+    x = batch.column(column)
+    known = x.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    return batch.filter(pa.array(may_have(bits, known) & x.is_valid().to_numpy(zero_copy_only=False)))

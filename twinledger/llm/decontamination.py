@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import bitmaps
 from .hashing import ALPHANUMERIC, WordHasher, ngrams
-from .storage import written
+from .storage import tidy, written
 
 SEED, THRESHOLD = 4, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -59,7 +59,7 @@ def items_of(benchmark: DataFrame, id_col: str, text_col: str, seed: int) -> Dat
                 )
 
     rows = benchmark.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text")).filter("item is not null")
-    return written(rows.mapInArrow(run, ITEMS).filter("size(seeds) > 0"), "items")
+    return written(rows.mapInArrow(tidy(run), ITEMS).filter("size(seeds) > 0"), "items")
 
 
 class Kind(NamedTuple):
@@ -102,7 +102,7 @@ def passages_of(docs: DataFrame, id_col: str, text_col: str, kinds: dict[int, Ki
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["passage", "doc", "kind", "start", "words", "seeds"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    return written(rows.mapInArrow(run, PASSAGES), "passages")
+    return written(rows.mapInArrow(tidy(run), PASSAGES), "passages")
 
 
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,7 +175,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([b.column(1).take(rows), b.column(0).take(rows), pa.array(score[good]), pa.array(before + start[good]), pa.array(before + stop[good])], [id_col, item_col, "score", "start_word", "end_word"])
                 at = end
 
-    aligned = sides.select("item", "doc", "start", "q", "p").mapInArrow(run, schema)
+    aligned = sides.select("item", "doc", "start", "q", "p").mapInArrow(tidy(run), schema)
     best = F.max_by(F.struct("score", "start_word", "end_word"), F.struct("score", -F.col("start_word"), F.col("end_word"))).alias("x")
     return aligned.groupBy(F.col(f"`{id_col}`"), F.col(f"`{item_col}`")).agg(best).select(f"`{id_col}`", f"`{item_col}`", "x.score", "x.start_word", "x.end_word")
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import bitmaps
 from .components import components
 from .hashing import SHINGLE, WordHasher, mix, seeded, shingle_sets
-from .storage import forget, written
+from .storage import forget, tidy, written
 
 BANDS, ROWS, BITS = 32, 4, 2
 THRESHOLD, MARGIN = (75, 100), 0.25
@@ -80,15 +80,18 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHING
                     ["id", "n_shingles", "set_key", "packed", "bands"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id long, {SIGNATURE}")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"id long, {SIGNATURE}")
 
 
 def long_signatures(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, k: int = LONG) -> DataFrame:
     """(id, long): one bit of each of k minima, for the documents among ids that have shingles."""
 
+    sieve = bitmaps.of_ids(ids)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, several = WordHasher(), 256
         for b in batches:
+            b = bitmaps.sifted(b, sieve.value)
             for words in hasher.blocks(b.column(1)):
                 sets = list(shingle_sets(words, shingle))
                 full = [i for i, s in enumerate(sets) if len(s)]
@@ -99,7 +102,7 @@ def long_signatures(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str,
                     yield pa.RecordBatch.from_arrays([of.take(pa.array(some)), pa.array(list(bits), pa.list_(pa.int64()))], ["id", "long"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return bitmaps.among(texts, ids).mapInArrow(run, "id long, long array<long>")
+    return texts.mapInArrow(tidy(run), "id long, long array<long>").join(ids, "id", "left_semi")
 
 
 def long_estimate(a: str, b: str, k: int = LONG) -> Column:
@@ -122,9 +125,10 @@ def estimate(a: str, b: str, k: int = BANDS * ROWS) -> Column:
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """Those of the (a, b) whose full shingle sets meet the threshold."""
+    """Those of the (a, b) whose full shingle sets meet the threshold, written. Only texts that pairs name are shuffled."""
+    sieve = bitmaps.of_ids(pairs.select(F.explode(F.array("a", "b")).alias("id")))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = bitmaps.among(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    texts = written(texts.mapInArrow(tidy(lambda batches: (bitmaps.sifted(b, sieve.value) for b in batches)), "id long, text string"), "texts")
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("s"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("t"))
     part, whole = threshold
@@ -142,7 +146,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shi
                 yield piece.select([0, 1]).filter(good)
 
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "s", "t")
-    return both.mapInArrow(run, "a long, b long").distinct()
+    found = written(both.mapInArrow(tidy(run), "a long, b long").distinct(), "links")
+    forget(texts)
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -165,7 +171,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pairs.join(p, "a").join(q, "b").select("a", "b", estimate("p", "q").alias("likely")).filter(F.col("likely") >= least)
 
     stars = written(with_estimates(members.filter("rep > leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()), "stars")
-    links = written(confirmed(stars, docs, id_col, text_col, shingle, threshold), "links")
+    links = confirmed(stars, docs, id_col, text_col, shingle, threshold)
     forget(stars)
 
     def grouped() -> DataFrame:
@@ -192,7 +198,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crossing = written(crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "crossing")
     forget(rest, longer)
     if not crossing.isEmpty():
-        found = written(confirmed(crossing, docs, id_col, text_col, shingle, threshold), "links")
+        found = confirmed(crossing, docs, id_col, text_col, shingle, threshold)
         if not found.isEmpty():
             links = links.unionAll(found)
             groups = grouped()

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .pretokens import PreTokens
-from .storage import written
+from .storage import tidy, written
 from .tokencounts import VOCABULARY
 
 WINDOW, END = 2048, 1
@@ -116,7 +116,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, window:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "start", "length", "ids_crc32", "doc_tokens", "part", "place"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return written(rows.mapInArrow(run, PIECES), "pieces")
+    return written(rows.mapInArrow(tidy(run), PIECES), "pieces")
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, window: int = WINDOW, end: int = END) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .crf import BUCKETS, Crf
+from .storage import tidy
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -95,7 +96,7 @@ def runs(text: str) -> list[list[tuple[int, int]]]:
     return out
 
 
-@lru_cache(1 << 16)
+@lru_cache(1 << 14)
 def shape(token: str) -> tuple[int, ...]:
     """Hashed features of a token by itself."""
     token = token if len(token) <= 64 else token[:48] + token[-16:]
@@ -107,7 +108,7 @@ def shape(token: str) -> tuple[int, ...]:
     return tuple(zlib.crc32(w.encode()) % BUCKETS for w in words)
 
 
-@lru_cache(1 << 16)
+@lru_cache(1 << 14)
 def beside(token: str, side: str) -> tuple[int, ...]:
     """Hashed features of a neighbour: its collapsed shape, its length, and itself if short."""
     short = re.sub(r"(.)\1+", r"\1+", re.sub("[^\x00-\x7fA-Za-z]", "x", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", token[:64])))))
@@ -316,7 +317,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table
                 yield pa.RecordBatch.from_arrays([b.column(0), *counts, *rest], names)
 
     schema = f"`{id_col}` long, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string, n_added long"
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(tidy(run), schema)
 
 
 def redacted(docs: DataFrame, text_col: str = "text", table: list[tuple[str, list[Span]]] | None = None) -> DataFrame:
@@ -347,4 +348,4 @@ def redacted(docs: DataFrame, text_col: str = "text", table: list[tuple[str, lis
                     columns[i] = pa.array([old if s is t else len(s) for s, t, old in zip(new, texts, b.column(i).to_pylist(), strict=True)], columns[i].type)
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import SPACED, WordHasher, Words, mix
+from .storage import tidy
 
 BITS = 18
 SAMPLE = 4000
@@ -175,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     rows = [x.tobytes() for x in features(words)]
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(words.first, len(rows)), pa.array(rows, pa.binary())], ["id", "features"])
 
-    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, features binary")
+    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "id long, features binary")
     once = found.groupBy("id").agg(F.min("features").alias("features"))  # of documents with the same id, one
     rows = {r["id"]: np.frombuffer(bytes(r["features"]), np.int32) for r in once.toLocalIterator()}
     order = sorted(rows, key=lambda i: zlib.crc32(b"order%d" % i))
@@ -198,7 +199,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", accept: float
                 part = b.slice(words.first, len(s))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= accept).astype(np.int32))], [*kept, *into])
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(tidy(run), schema)
 
 
 def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,3 +49,20 @@ def file_system(uri: str):
     if not urlparse(uri).scheme or uri.startswith("file:"):
         return fs.LocalFileSystem(), os.path.abspath(urlparse(uri).path)
     return fs.FileSystem.from_uri(uri)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, a function of batches, after which the worker, that other tasks will use, gives free memory back to the system:
+    Arrow and the C library keep what large batches of texts took."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return tidied
