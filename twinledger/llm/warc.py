@@ -34,7 +34,7 @@ from .storage import file_system, forget, new_folder, written
 REVISIT_BYTES = 1000
 FILE_BYTES = 64 << 20
 #: Payload bytes of a shard: as many as give MANY shards, but within these bounds.
-SHARD_BYTES, MANY = (4 << 20, 1 << 30), 1024
+SHARD_BYTES, MANY = (2 << 20, 1 << 30), 1024
 #: Keys sampled for each cut, about: those whose hashes lie below a bound.
 SAMPLED = 20
 # Fixed values of the format.
@@ -135,7 +135,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     turned = digests.join(shared, "sha1").filter("id is null or id != to").select("id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.col("sha1").alias("payload"), "to").distinct()
     both = turned.unionByName(rows.select("id", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("to")))
     both = both.withColumn("key2", key2(F.when(F.col("kind") == 0, F.col("payload")).otherwise(F.unhex(F.sha1("payload")))))
-    dealt = both.withColumn("shard", shard(F.coalesce("id", F.lit(none)), "key2")).repartition("shard")
+    dealt = both.withColumn("shard", shard(F.coalesce("id", F.lit(none)), "key2")).repartitionById(shards, "shard")
     dealt = dealt.sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "key2", "kind", F.col("url").asc_nulls_first(), "payload").select("id", "kind", "url", "payload", "to", "shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
