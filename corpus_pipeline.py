@@ -40,7 +40,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     groups = neardup.near_duplicates(docs, KEY).select(F.col("id").alias(KEY), "component_id")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), KEY)
     stay = docs.select(KEY, order.alias("place")).join(groups, KEY).groupBy("component_id").agg(F.min("place").alias("least"))
-    return docs.join(written(stay.select(f"least.{KEY}"), "stay"), KEY, "left_semi").drop(KEY)
+    # keys alone are compared here: few rows go, so that few keys meet the texts
+    gone = docs.select(KEY).join(written(stay.select(f"least.{KEY}"), "stay"), KEY, "left_anti")
+    return docs.join(written(gone, "gone"), KEY, "left_anti").drop(KEY)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
