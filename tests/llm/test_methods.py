@@ -159,8 +159,12 @@ def test_bitmaps():
 def test_rows_among_ids(spark):
     rows = spark.createDataFrame([(i, "x") for i in [*range(50), None, 7]], "id long, text string")
     ids = spark.createDataFrame([(7,), (7,), (49,), (99,), (None,)], "id long")
-    assert sorted(r.id for r in bitmaps.among(rows, ids).collect()) == [7, 7, 49]
-    assert bitmaps.among(rows, ids.limit(0)).count() == bitmaps.among(rows.limit(0), ids).count() == 0
+    def kept(rows, ids):
+        bits = bitmaps.of_ids(ids)
+        return sorted(r.id for r in rows.mapInArrow(lambda batches: (bitmaps.sifted(b, bits.value) for b in batches), rows.schema).collect())
+
+    assert kept(rows, ids) == [7, 7, 49]
+    assert kept(rows, ids.limit(0)) == kept(rows.limit(0), ids) == []
 
 
 # token counts and vocabularies
