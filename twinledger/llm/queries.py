@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from zlib import crc32
+
+import numpy as np
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, licenses, neardup, packing, pii, quality, tokencounts, urlfilter, warc
+from . import decontamination, fingerprints, licenses, neardup, packing, pii, quality, runs, sentencepieces, tokencounts, urlfilter, variants, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +57,35 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def misspelt(doc_id: int | None, word: str) -> str:
+    """A text's word as op11 counts it: one in about 199 lacks a code point."""
+    h = crc32(f"{'' if doc_id is None else doc_id}:{word}".encode())
+    return word if h % 199 else word[: h % len(word)] + word[h % len(word) + 1 :]
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(variants.word_counts(table(spark, sf_dir, "documents"), edit=misspelt))
+
+
+def repeated(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The order of n words that op12 plants in one text of ten: from some place on, the same words over and over."""
+    h = crc32(("" if doc_id is None else str(doc_id)).encode())
+    if h % 10 or not n:
+        return None
+    a = h // 10 % n
+    i, p = np.arange(n), 1 + (n - a) // (3 + h // 10 % 8)
+    return np.where(i < a, i, a + (i - a) % p)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digested(runs.without_runs(table(spark, sf_dir, "documents"), arranged=repeated))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sentencepieces.round_trip(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
