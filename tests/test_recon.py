@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from twinledger.config import MS, ReconConfig
+from twinledger.functions.keys import order_key
 from twinledger.operators import orders, sequence
 from twinledger.plans import oracle, queries
 from twinledger.schema import may_follow
@@ -377,6 +378,14 @@ def test_gaps(spark, block):
     ("35=8||150=2|39=2|17=E1|11=C|31=1|32=2|52=1|", 2),
     ("35=8|150=2|39=2|17=a=b|11=C|31=1|32=2|14=1|14=x|52=1|", 2),
     ("35=8|150=2|39=2|17=E1|11=C|31=99999999999999999999|32=2|52=1|", 2),
+    ("35=8|150=2|39=2|17=E1|11=|31=1|32=2|52=1|", 1),
+    ("35=8|150=2|39=2|17=E1|11=|37=|31=1|32=2|52=1|", 1),
+    ("35=8|150=2|39=2|17=E1|11=A|11=|31=1|32=2|52=1|", 1),
+    ("35=8|150=2|39=2|17=E1|11=A|11=|37=B|31=1|32=2|52=1|", 0),
+    ("35=8|150=2|39=2|17=|11=A|31=1|32=2|52=1|", 0),
+    ("35=8|150=2|39=2|17=E1|11=C|31=1|32=2|52=18446744073709551615|", 0),
+    ("35=8|150=2|39=2|17=E1|11=C|31=1|32=2|52=18446744073709551616|", 2),
+    ("35=8|150=2|39=2|17=E1|11=C|31=9223372036854775808|32=2|52=1|", 2),
     (None, 1),
 ])
 def test_fix(spark, text, result):
@@ -390,6 +399,29 @@ def test_fix_fields(spark):
     assert (row.exec_type, row.ord_status, row.exec_id, row.clord_id, row.cum_qty, row.at) == (6, 9, "a=b", "X" * 32, 9, 5)
 
 
+def test_fix_times_without_a_sign(spark):
+    rows = spark.createDataFrame([(f"35=8|150=2|39=2|17=e|11=c|31=1|32=2|52={2**64 - 1}|60={2**63}|",)], "raw string").withColumn("message", fix.pipe_to_soh("raw"))
+    row = fix.parse(rows).first()
+    assert (row.parse_result, row.sending_time, row.transact_time) == (0, -1, -(2**63))
+
+
+def test_a_filter_on_the_result_does_not_repeat_the_search(spark):
+    plan = fix.parse(spark.createDataFrame([("x",)], "message string")).filter("parse_result = 0")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?:150|39)=") == 1 and plan.count("Filter (parse_result") == 1
+
+
+def test_order_key(spark):
+    def plain(text):
+        h = 14695981039346656037
+        for b in (text or "").encode():
+            h = (h ^ b) * 1099511628211 % 2**64
+        return h - (h >> 63 << 64)
+
+    texts = ["", None, "CID1", "é\x00\U0001f642", "x" * 5000]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(1).select("t", order_key("t").alias("k"))
+    assert {r.t: r.k for r in rows.collect()} == {t: plain(t) for t in texts}
+
+
 @pytest.mark.parametrize(
     "times, wanted",
     [

@@ -34,13 +34,15 @@ def is_terminal(status: Column) -> Column:
     return status.isin(*TERMINAL_STATUSES)
 
 
-def parted(events: DataFrame, hot: int = HOT, block_ns: int = BLOCK_NS) -> DataFrame:
+def parted(events: DataFrame, hot: int = HOT, block_ns: int = BLOCK_NS, sizes: DataFrame | None = None) -> DataFrame:
     """events with a column `part` where some order has more than `hot` of them: the number of the block of time for such
     orders, ORDINARY for others. All that runs along an order then takes it part by part, so that many tasks share a hot one.
 
-    The driver gets the hot keys: no more than one for each `hot` events.
+    sizes: (order_key, n), no less than each order's events, where that is known without going through the events. The
+    driver gets the hot keys: no more than one for each `hot` events.
     """
-    keys = [r[0] for r in events.groupBy("order_key").count().filter(F.col("count") > hot).select("order_key").collect()]
+    sizes = events.groupBy("order_key").agg(F.count("*").alias("n")) if sizes is None else sizes
+    keys = [r[0] for r in sizes.filter(F.col("n") > hot).select("order_key").collect()]
     if not keys:
         return events
     block = F.expr(f"ingest_ns div {block_ns}")

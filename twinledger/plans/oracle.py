@@ -175,14 +175,14 @@ def _guarded(feed: str = _FEED, e: str = "e", **options) -> str:
 # FIX text, and what it says: segments between bars, of which the last of a tag counts.
 _TEXT = f"""{_FEED},
 txt AS (SELECT order_key, source, r, session_id, seq, ingest_ns, '8=FIX.4.4|' || CASE WHEN order_key % 50 = 2 THEN '35=D|' ELSE '35=8|' END || '150=' || substr('0124580009', ord_status + 1, 1) || '|39=' || substr('0124580A06', ord_status + 1, 1)
-    || '|17=' || exec_id || '|' || CASE WHEN order_key % 50 IN (0, 4) THEN '' WHEN order_key % 50 = 5 THEN '11=' || rpad(clord_id, 40, 'X') || '|' ELSE '11=' || clord_id || '|' END
-    || CASE WHEN order_key % 50 = 0 THEN '' ELSE '37=' || order_id || '|' END || '31=' || CASE WHEN order_key % 50 = 1 THEN '12x' ELSE CAST(price_micro AS VARCHAR) END || '|32=' || qty || '|'
+    || '|17=' || exec_id || '|' || CASE WHEN order_key % 50 IN (0, 4) THEN '' WHEN order_key % 50 = 7 THEN '11=|' WHEN order_key % 50 = 8 THEN '11=' || clord_id || '|11=|' WHEN order_key % 50 = 5 THEN '11=' || rpad(clord_id, 40, 'X') || '|' ELSE '11=' || clord_id || '|' END
+    || CASE WHEN order_key % 50 = 0 THEN '' WHEN order_key % 50 = 7 THEN '37=|' ELSE '37=' || order_id || '|' END || '31=' || CASE WHEN order_key % 50 = 1 THEN '12x' ELSE CAST(price_micro AS VARCHAR) END || '|32=' || qty || '|'
     || CASE WHEN order_key % 50 = 3 THEN '14=7|' ELSE '' END || '14=' || cum_qty || '|52=' || ingest_ns || '|60=' || transact_time || '|' AS raw FROM e),
 seg AS (SELECT *, list_filter(string_split(raw, '|'), lambda x: x != '') AS segs FROM txt),
 val AS (SELECT *, {", ".join(f"list_filter(segs, lambda x: split_part(x, '=', 1) = '{t}')[-1] AS s{t}" for t in (35, 150, 39, 31, 32, 14, 17, 11, 37, 52, 60))} FROM seg),
 par AS (SELECT order_key, source, r, session_id, seq, ingest_ns, CASE WHEN substr(s35, 4, 1) != '8'
         OR len(list_filter(segs, lambda x: split_part(x, '=', 1) IN ('31', '32', '14') AND NOT regexp_full_match(substr(x, 4), '-?[0-9]+') OR split_part(x, '=', 1) IN ('52', '60') AND NOT regexp_full_match(substr(x, 4), '[0-9]+'))) > 0 THEN 2
-        WHEN (s11 IS NULL AND s37 IS NULL) OR s150 IS NULL OR s39 IS NULL OR s31 IS NULL OR s32 IS NULL OR s17 IS NULL OR (s52 IS NULL AND s60 IS NULL) THEN 1 ELSE 0 END AS parse_result,
+        WHEN (coalesce(s11, '11=') = '11=' AND coalesce(s37, '37=') = '37=') OR s150 IS NULL OR s39 IS NULL OR s31 IS NULL OR s32 IS NULL OR s17 IS NULL OR (s52 IS NULL AND s60 IS NULL) THEN 1 ELSE 0 END AS parse_result,
     CASE substr(s150, 5, 1) WHEN '0' THEN 0 WHEN '1' THEN 1 WHEN '2' THEN 2 WHEN '4' THEN 3 WHEN '5' THEN 4 WHEN '8' THEN 5 ELSE 6 END AS exec_type,
     CASE substr(s39, 4, 1) WHEN '0' THEN 0 WHEN 'A' THEN 7 WHEN '6' THEN 9 WHEN '1' THEN 1 WHEN '2' THEN 2 WHEN '4' THEN 3 WHEN '5' THEN 4 WHEN '8' THEN 5 ELSE 6 END AS ord_status,
     TRY_CAST(substr(s31, 4) AS BIGINT) AS price_micro, TRY_CAST(substr(s32, 4) AS BIGINT) AS qty, TRY_CAST(substr(s14, 4) AS BIGINT) AS cum_qty, TRY_CAST(substr(s52, 4) AS BIGINT) AS sending_time,

@@ -27,8 +27,14 @@ def events(spark: SparkSession, sf_dir: str, numbered: bool = False) -> DataFram
     return feeds.order_events(_table(spark, sf_dir, "lineitem"), numbered)
 
 
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No less than each order's events, from its lines alone: one of each feed for a line, and at most ten besides."""
+    lines = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("order_key"))
+    return lines.agg((2 * F.count("*") + 10).alias("n"))
+
+
 def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orders.lifecycle(orders.parted(events(spark, sf_dir)))
+    return orders.lifecycle(orders.parted(events(spark, sf_dir), sizes=_sizes(spark, sf_dir)))
 
 
 def viewed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +201,7 @@ def two_stage_short_grace(spark, sf_dir):
 
 def guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Views of orders with what gaps make uncertain."""
-    return orders.views(orders.lifecycle(orders.parted(marked(written(events(spark, sf_dir, True), "events")))))
+    return orders.views(orders.lifecycle(orders.parted(marked(written(events(spark, sf_dir, True), "events")), sizes=_sizes(spark, sf_dir))))
 
 
 def two_stage_suppressed(spark, sf_dir):
@@ -254,9 +260,9 @@ def keyed(parsed: DataFrame) -> DataFrame:
 
 def from_messages(messages: DataFrame) -> DataFrame:
     """Views of orders from messages with what their transport adds: parsed, keyed, numbered, and run through their lives.
-    The key of all ones is no order's."""
-    rows = written(keyed(fix.parse(messages)).filter("order_key != -1"), "parsed")  # parsed once, read several times
-    return orders.views(orders.lifecycle(orders.parted(marked(rows))))
+    The key of all ones is no order's; messages that have it count in their session's numbers, and go then."""
+    rows = written(keyed(fix.parse(messages)), "parsed")  # parsed and keyed once, read several times
+    return orders.views(orders.lifecycle(orders.parted(marked(rows).filter("order_key != -1"), sizes=rows.groupBy("order_key").agg(F.count("*").alias("n")))))
 
 
 def end_to_end(spark, sf_dir):
