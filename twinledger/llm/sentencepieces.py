@@ -24,10 +24,11 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
@@ -47,6 +48,37 @@ LONGEST = 64
 HELD = 4 << 20
 
 
+class Known(dict):
+    """Texts and what `of` gives for them, for up to KEPT of them: those asked for lately stay."""
+
+    def __init__(self, of: Callable[[str], bytes]):
+        super().__init__()
+        self.of, self.before = of, {}
+
+    def __missing__(self, text: str) -> bytes:
+        found = self.before.get(text)
+        if found is None:
+            found = self.of(text)
+        if len(text) <= LONGEST:
+            if len(self) >= KEPT // 2:
+                self.before = dict(self)
+                self.clear()
+            self[text] = found
+        return found
+
+
+class Numbers(dict):
+    """Characters by number: first those that are pieces, others as they come."""
+
+    def __init__(self, pieces: Pieces):
+        super().__init__()
+        self.pieces = pieces
+
+    def __missing__(self, character: str) -> int:
+        number = self[character] = self.pieces.add(character)
+        return number
+
+
 class Pieces:
     """A model's pieces, how texts are encoded into their ids, and back."""
 
@@ -69,18 +101,26 @@ class Pieces:
         for b, i in bytes_of.items():
             self.said[i] = ~b
         self.said[own.unk_id()] = own.decode([own.unk_id()]).encode()
-        self.control = {i for i in every if own.is_control(i)}
+        self.control = np.array([own.is_control(i) for i in every])
         self.opening = {i for p, i in self.ids.items() if p.startswith(SPACE)}
         self.single = [x if isinstance(x, bytes) else bytes([~x]) for x in self.said]
         self.parts = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if not any(SPACE in p.lstrip(SPACE) for p in self.ids) else r"[\s\S]+")
         self.neighbours = {p[i : i + 2] for p in self.scores for i in range(len(p) - 1)}
+        # pieces and characters by number: as text, and as ids; number 0 is none
+        self.names, self.words = [""], [b""]
+        self.characters, self.beside = Numbers(self), {}
         self.automaton = ahocorasick.Automaton()
         for p in self.scores:
             if self.merged(p) == [p]:  # others never come about
-                self.automaton.add_word(p, len(p))
+                self.automaton.add_word(p, (len(p), self.add(p)))
         self.automaton.make_automaton()
-        self.known: dict[str, bytes] = {}
-        self.tried: dict[tuple[str, str], bool] = {}
+        self.known = Known(self._ids_of)
+
+    def add(self, text: str) -> int:
+        i = self.ids.get(text)
+        self.names.append(text)
+        self.words.append(array("I", [i] if i is not None else [self.bytes[b] for b in text.encode()]).tobytes())
+        return len(self.names) - 1
 
     def merged(self, text: str) -> list[str]:
         """A short text's pieces by plain merging: of neighbours that make a piece, those of the best score, from the left."""
@@ -95,71 +135,61 @@ class Pieces:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def side_by_side(self, left: str, right: str) -> bool:
-        """Whether two pieces next to one another stay as they are."""
-        if left[-1] + right[0] not in self.neighbours:
-            return True
-        found = self.tried.get((left, right))
-        if found is None:
-            if len(self.tried) >= KEPT_PAIRS:
-                self.tried.clear()
-            found = self.tried[left, right] = self.merged(left + right) == [left, right]
+    def side_by_side(self, left: int, right: int) -> bool:
+        """Whether two pieces next to one another stay as they are: tried once, and kept."""
+        a, b = self.names[left], self.names[right]
+        found = a[-1] + b[0] not in self.neighbours or self.merged(a + b) == [a, b]
+        if len(self.beside) >= KEPT_PAIRS:
+            self.beside.clear()
+        self.beside[left << 32 | right] = found
         return found
 
-    def split(self, text: str) -> list[str]:
-        """The pieces of a normalised text, by the last piece of each of its prefixes."""
-        n = len(text)
-        lengths = array("l", bytes(8 * (n + 1)))  # of the last piece of each prefix
-        matches = self.automaton.iter(text)
-        end, length = next(matches, (n, 0))
-        for i in range(1, n + 1):
-            found = 0
-            while end == i - 1:  # one of the pieces that end here, or the character itself
-                if not found and (length == i or self.side_by_side(text[i - length - lengths[i - length] : i - length], text[i - length : i])):
-                    found = length
-                end, length = next(matches, (n, 0))
-            lengths[i] = found or 1
+    def split(self, text: str) -> list[int]:
+        """The numbers of the pieces of a normalised text, by the last piece of each of its prefixes."""
+        n, done = len(text), 0
+        last, beside, characters, names = [0] * (n + 1), self.beside, self.characters, self.names  # 0: the last character
+        for end, (length, piece) in self.automaton.iter(text):
+            if end < done:  # the last piece of this prefix is found
+                continue
+            start = end + 1 - length
+            if start:
+                left = last[start] or characters[text[start - 1]]
+                good = beside.get(left << 32 | piece)
+                if good is None:
+                    good = self.side_by_side(left, piece)
+                if not good:
+                    continue
+            done = end + 1
+            last[done] = piece
         out = []
         while n:
-            out.append(text[n - lengths[n] : n])
-            n -= lengths[n]
+            piece = last[n] or characters[text[n - 1]]
+            out.append(piece)
+            n -= len(names[piece])
         return out[::-1]
 
-    def ids_of(self, part: str) -> bytes:
-        found = self.known.get(part)
-        if found is None:
-            ids = array("I")
-            for piece in self.split(part):
-                i = self.ids.get(piece)
-                if i is None:
-                    ids.extend(self.bytes[b] for b in piece.encode())
-                else:
-                    ids.append(i)
-            found = ids.tobytes()
-            if len(part) <= LONGEST:
-                if len(self.known) >= KEPT:
-                    self.known.clear()
-                self.known[part] = found
-        return found
+    def _ids_of(self, part: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, self.split(part)))
 
     def encoded(self, text: str, ends: bool = True) -> bytes:
         """The ids of a text as little-endian 32-bit words."""
         begin, end = (array("I", [i]).tobytes() if ends else b"" for i in (self.begin, self.end))
-        return b"".join([begin, *map(self.ids_of, self.parts.findall(self.normal(text))), end])
+        return b"".join([begin, *map(self.known.__getitem__, self.parts.findall(self.normal(text))), end])
 
     def decoded(self, ids: bytes) -> str:
         """The text of ids: the space that encoding puts before a text is taken away."""
-        numbers = array("I", ids)
+        numbers = np.frombuffer(ids, "<u4")
+        listed = numbers.tolist()
         try:
-            if not self.control.isdisjoint(numbers[1:-1]):  # bytes on both sides of one are no character
+            if self.control[numbers[1:-1]].any():  # bytes on both sides of one are no character
                 raise ValueError
-            text = b"".join(map(self.single.__getitem__, numbers)).decode()
+            text = b"".join(map(self.single.__getitem__, listed)).decode()
         except ValueError:
-            text = self._mended(numbers)
-        first = next((i for i in numbers if self.said[i] != b""), None)
+            text = self._mended(listed)
+        first = next((i for i in listed if self.said[i] != b""), None)
         return text[1:] if first in self.opening else text
 
-    def _mended(self, numbers: array) -> str:
+    def _mended(self, numbers: list[int]) -> str:
         out, run = [], bytearray()
 
         def flush() -> None:
