@@ -10,8 +10,8 @@ crosses happens in the same order without the rest of the text. So each neighbou
 encoded as that pair; and if all neighbouring pairs are, the first merge that crossed a border of them in the whole would
 have crossed it in the pair as well.
 
-Where no piece of the model has a space mark behind another character, texts fall apart before such marks, and equal parts
-are encoded once for each worker (a table of bounded size; what is not in it is encoded again).
+Texts fall apart around ASCII characters that no longer piece has and, where no piece has a space mark behind another character,
+before such marks; equal parts are encoded once for each worker (a table of bounded size; what is not in it is encoded again).
 
 Defined cases: null and empty texts have the ids of begin and end alone and decode to an empty text; control pieces' names
 inside texts are plain characters; characters without a piece become bytes; ids out of range are refused, and bytes that
@@ -41,7 +41,7 @@ MODEL = public_tokenizers.path("piece_bpe_32k.model")
 #: The mark that stands for a space, and what stands for a byte that is no character.
 SPACE, LOST = "▁", "�".encode()
 #: Encoded parts, and tried pairs, that a worker keeps.
-KEPT, KEPT_PAIRS = 300_000, 1_000_000
+KEPT, KEPT_PAIRS = 600_000, 1_000_000
 #: Characters of the longest part that is kept.
 LONGEST = 64
 #: Characters of texts that are held at once.
@@ -104,7 +104,10 @@ class Pieces:
         self.control = np.array([own.is_control(i) for i in every])
         self.opening = {i for p, i in self.ids.items() if p.startswith(SPACE)}
         self.single = [x if isinstance(x, bytes) else bytes([~x]) for x in self.said]
-        self.parts = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if not any(SPACE in p.lstrip(SPACE) for p in self.ids) else r"[\s\S]+")
+        # no merge crosses the border of a character that is in no longer piece, or of a space mark behind another character
+        alone = re.escape("".join(sorted(set(map(chr, range(128))) - set("".join(self.scores)))))
+        before = f"{SPACE}*" if not any(SPACE in p.lstrip(SPACE) for p in self.ids) else ""
+        self.parts = re.compile(f"[{alone}]|{before}[^{alone}{SPACE if before else ''}]+|{SPACE}+")
         self.neighbours = {p[i : i + 2] for p in self.scores for i in range(len(p) - 1)}
         # pieces and characters by number: as text, and as ids; number 0 is none
         self.names, self.words = [""], [b""]
