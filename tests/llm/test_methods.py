@@ -3,8 +3,12 @@
 import hashlib
 import itertools
 import json
+import os
 import random
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +20,8 @@ from twinledger.llm import bitmaps, decontamination, fingerprints, license_texts
 from twinledger.llm.crf import Crf
 from twinledger.llm.hashing import SPACED, WordHasher, shingle_sets
 
+REPO = Path(__file__).parents[2]
+
 
 def words_of(text):
     return re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
@@ -108,8 +114,10 @@ def components_of(rows):
     return group
 
 
-def test_near_duplicates_that_no_leader_links(spark, monkeypatch):
+@pytest.mark.parametrize("block", [5, neardup.BLOCK])
+def test_near_duplicates_that_no_leader_links(spark, monkeypatch, block):
     """Groups of edited copies in which many pairs share a bucket, but not all are linked with its smallest member."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
     r, rows = random.Random(5), []
     for g in range(8):
         base = [f"g{g}w{i}" for i in range(120)]
@@ -120,8 +128,8 @@ def test_near_duplicates_that_no_leader_links(spark, monkeypatch):
             rows.append((len(rows), " ".join(copy)))
     rows += [(3, rows[100][1]), (170, "one two"), (None, rows[5][1]), (400, "")]
     calls = []
-    real = neardup.confirmed
-    monkeypatch.setattr(neardup, "confirmed", lambda *a, **k: calls.append(1) or real(*a, **k))
+    real = neardup.linked
+    monkeypatch.setattr(neardup, "linked", lambda *a, **k: calls.append(1) or real(*a, **k))
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert len(calls) == 2  # the pairs that cross components were reached
     wanted = components_of(rows)
@@ -148,25 +156,49 @@ def test_estimates_correct_for_chance(spark):
 def test_bitmaps():
     r = np.random.default_rng(1)
     numbers = r.integers(-(2**63), 2**63, 5000)
-    bits = np.zeros(1 << bitmaps.bits_for(5000), bool)
-    for at in bitmaps._places(numbers.view(np.uint64), bitmaps.bits_for(5000)):
-        bits[at] = True
-    packed = np.packbits(bits, bitorder="little")
+    b = bitmaps.bits_for(5000)
+    packed = np.zeros((1 << b) // 64, np.uint64)
+    for part in np.array_split(numbers.view(np.uint64), 7):
+        at, bits = bitmaps.words_of(part, b)
+        packed[at] |= bits
+    packed = packed.view(np.uint8)
     assert bitmaps.may_have(packed, numbers.view(np.uint64)).all()
     assert bitmaps.may_have(packed, r.integers(-(2**63), 2**63, 10**6).view(np.uint64)).mean() < 1e-4
+    assert [bitmaps.bits_for(n) for n in (0, 10**6, 10**7, bitmaps.MOST)] == [22, 28, 28, 30]
+    assert all(len(x) == 0 for x in bitmaps.words_of(np.zeros(0, np.uint64), b))
 
 
-def test_rows_among_ids(spark):
+@pytest.mark.parametrize("most", [0, bitmaps.MOST])
+def test_rows_among_ids(spark, most):
     rows = spark.createDataFrame([(i, "x") for i in [*range(50), None, 7]], "id long, text string")
     ids = spark.createDataFrame([(7,), (7,), (49,), (99,), (None,)], "id long")
+
     def kept(rows, ids):
-        bits = bitmaps.of_ids(ids)
-        return sorted(r.id for r in rows.mapInArrow(lambda batches: (bitmaps.sifted(b, bits.value) for b in batches), rows.schema).collect())
+        some, bits = bitmaps.among(rows, ids, most)
+        return sorted(r.id for r in some.mapInArrow(lambda batches: (bitmaps.sifted(b, bits) for b in batches), rows.schema).collect())
 
     assert kept(rows, ids) == [7, 7, 49]
     assert kept(rows, ids.limit(0)) == kept(rows.limit(0), ids) == []
 
 
+def test_passages_found_from_another_folder(tmp_path):
+    """Workers need no copy of the package: only the driver knows its place."""
+    code = f"""
+import sys
+sys.path.append({str(REPO)!r})
+from pyspark.sql import SparkSession
+from twinledger.llm import decontamination, neardup
+spark = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", {str(tmp_path / "shared")!r}).getOrCreate()
+text = "one two three four five six seven eight nine ten"
+docs = spark.createDataFrame([(1, text), (2, "x " + text), (3, "other words")], "doc_id long, text string")
+print("LEAKS", sorted(r.doc_id for r in decontamination.leaks(docs, spark.createDataFrame([(7, text)], "item_id long, text string")).collect()))
+print("GROUPS", sorted((r.id, r.component_id) for r in neardup.near_duplicates(docs).collect()))
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "LEAKS [1, 2]" in said.stdout and "GROUPS [(1, 1), (2, 1), (3, 3)]" in said.stdout, said.stderr[-3000:]
+
+
 # token counts and vocabularies
 
 

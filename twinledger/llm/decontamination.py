@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -62,20 +61,14 @@ def items_of(benchmark: DataFrame, id_col: str, text_col: str, seed: int) -> Dat
     return written(rows.mapInArrow(tidy(run), ITEMS).filter("size(seeds) > 0"), "items")
 
 
-class Kind(NamedTuple):
-    """A class of items: its longest one's words, and the bitmap of its n-grams."""
-
-    longest: int
-    bits: np.ndarray
-
-
-def kinds_of(items: DataFrame) -> dict[int, Kind]:
-    """The classes: no more than doublings of a length, each with a bitmap of bounded size."""
+def kinds_of(items: DataFrame) -> dict[int, tuple[int, np.ndarray]]:
+    """The classes, no more than doublings of a length: each with its longest item's words, and a bitmap of bounded size of
+    its n-grams."""
     rows = items.groupBy("kind").agg(F.max("n"), F.sum(F.size("seeds"))).collect()
-    return {k: Kind(longest, bitmaps.gathered(items.filter(F.col("kind") == k).select("seeds"), n)) for k, longest, n in rows}
+    return {k: (longest, bitmaps.gathered(items.filter(F.col("kind") == k).select("seeds"), n)) for k, longest, n in rows}
 
 
-def passages_of(docs: DataFrame, id_col: str, text_col: str, kinds: dict[int, Kind], seed: int) -> DataFrame:
+def passages_of(docs: DataFrame, id_col: str, text_col: str, kinds: dict[int, tuple[int, np.ndarray]], seed: int) -> DataFrame:
     """PASSAGES: for each class, as many words as its longest item has, before and after n-grams that it may have;
     passages that meet are one."""
     shared = docs.sparkSession.sparkContext.broadcast(kinds)
@@ -87,15 +80,15 @@ def passages_of(docs: DataFrame, id_col: str, text_col: str, kinds: dict[int, Ki
             ids = b.column(0).to_pylist()
             for words in hasher.blocks(b.column(1)):
                 grams = ngrams(words.hashes, seed)
-                for k, kind in shared.value.items():
-                    at = np.flatnonzero(bitmaps.may_have(kind.bits, grams))
+                for k, (longest, bits) in shared.value.items():
+                    at = np.flatnonzero(bitmaps.may_have(bits, grams))
                     doc = np.searchsorted(words.bounds, at, "right") - 1
                     whole = at + seed <= words.bounds[doc + 1]
                     at, doc = at[whole], doc[whole]
                     if not len(at):
                         continue
-                    low = np.maximum(words.bounds[doc], at - kind.longest)
-                    high = np.minimum(words.bounds[doc + 1], at + seed + kind.longest)
+                    low = np.maximum(words.bounds[doc], at - longest)
+                    high = np.minimum(words.bounds[doc + 1], at + seed + longest)
                     new = np.flatnonzero(np.concatenate([[True], (low[1:] > high[:-1]) | (doc[1:] != doc[:-1])]))
                     ends = np.append(new[1:], len(at))
                     rows = [(uuid.uuid4().hex, ids[words.first + doc[i]], k, int(low[i] - words.bounds[doc[i]]), words.hashes[low[i] : high[j - 1]].tobytes(), np.unique(grams[at[i:j]]).view(np.int64)) for i, j in zip(new.tolist(), ends.tolist(), strict=True)]
