@@ -1,5 +1,6 @@
 """Streams against their batch forms: the same rows, however the input falls into batches."""
 
+import json
 import random
 import time
 
@@ -10,7 +11,7 @@ from twinledger.config import MS, ReconConfig
 from twinledger.operators import orders, sequence
 from twinledger.plans import queries
 from twinledger.sources import wire
-from twinledger.streaming import processors
+from twinledger.streaming import processors, sessions
 
 DATA = "/root/testdata/sf0.001"
 
@@ -109,6 +110,107 @@ def test_order_in_any_batches(spark, seed):
     assert [list(x) for x in batch.select([x.split()[0] for x in processors.DIVERGENCES.split(", ")][1:]).collect()] == want
 
 
+@pytest.fixture
+def rocks(spark):
+    """The state store that keeps maps and timers."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, sessions.ROCKS)
+    yield
+    spark.conf.set(name, before)
+
+
+def marked_views(rows):
+    return orders.views(orders.lifecycle(queries.marked(rows)))
+
+
+def test_suppressed(spark, tmp_path, rocks):
+    events = queries.events(spark, DATA, True).filter("session_id = 1").cache()
+    names = [x.split()[0] for x in processors.DIVERGENCES.split(", ")]
+    want = rows(orders.two_stage(marked_views(events)).filter("emitted"), names)
+    plain = rows(orders.two_stage(orders.views(orders.lifecycle(events))).filter("emitted"), names)
+    got = streamed(spark, in_thirds(spark, events), sessions.two_stage_suppressed, tmp_path)
+    assert want != plain and rows(got.filter("order_key != -1"), names) == want
+
+
+class Store(dict):
+    def put(self, key, text):
+        self[key] = text
+
+    def remove(self, key):
+        del self[key]
+
+
+def feed_of(r, n, sources=2):
+    """Events of a few orders whose trackers lose, repeat and delay numbers; some at one time."""
+    out, t, last = [], 0, [0, 0]
+    for i in range(n):
+        t += r.choice([0, 1, 3, 8, 40])
+        source = r.randrange(sources)
+        last[source] += r.choice([0, 1, 1, 1, 1, 2, 3])
+        seq = max(1, last[source] - r.choice([0, 0, 0, 0, 0, 1, 2]))
+        out.append([t, source, i, r.choice([0, 8, 1, 2, 3, 9]), r.choice([10, 20]), 5, r.choice(["a", "b"]), t, r.randrange(4), seq, None])
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_sessions_in_any_batches(spark, seed):
+    """The fold of a session equals the batch form, all at once and a few at a time, its state cut and read again."""
+    r = random.Random(seed)
+    config = ReconConfig(grace_ns=20, dedup_ns=15, gap_close_ns=60, gap_timeout_ns=150, gap_recheck_ns=7)
+    events = feed_of(r, 160)
+    whole = sessions.Session(config, Store())
+    want = whole.advance(events, 100_000)
+    store, kept, got = Store(), None, []
+    times = sorted({e[0] for e in events})
+    for a, b in zip([-1, *times[9::10]], [*times[9::10], times[-1]], strict=True):
+        part = sessions.Session(config, store, kept)
+        batch = [e for e in events if a < e[0] <= b]
+        got += part.advance(r.sample(batch, len(batch)), b - r.randrange(3))
+        kept = json.loads(json.dumps(part.kept))
+    got += sessions.Session(config, store, kept).advance([], 100_000)
+    assert got == want and len(want) > 20
+    schema = "session_id int, ingest_ns long, source int, r int, ord_status int, cum_qty long, price_micro long, exec_id string, transact_time long, order_key long, seq long"
+    table = spark.createDataFrame([(0, *e[:-1]) for e in events], schema)
+    arrivals = table.withColumn("arrival", F.col("ingest_ns"))
+    gaps = sequence.timed_gap_intervals(sequence.classify(arrivals.select("source", "session_id", "seq", "arrival")), F.col("arrival"), config)
+    view = orders.views(orders.lifecycle(sequence.uncertain(arrivals, gaps).drop("arrival")))
+    names = [x.split()[0] for x in processors.DIVERGENCES.split(", ")]
+    batch = rows(orders.two_stage(view, config).filter("emitted"), names)
+    assert batch == sorted(tuple(-1 if v is None else v for v in x) for x in want)
+    assert batch != rows(orders.two_stage(orders.views(orders.lifecycle(table)), config).filter("emitted"), names)
+
+
+def test_control_rows():
+    config = ReconConfig(grace_ns=20, dedup_ns=15, gap_close_ns=1000, gap_timeout_ns=5000, gap_recheck_ns=7)
+    event = lambda t, source, seq, key=1, control=None: [t, source, seq, 0, 10, 5, "a", t, key, seq, control]
+    first = [event(0, 0, 1, 9), event(10, 0, 5)]  # a gap opens at 10; the order is on one feed only, due at 30
+    assert sessions.Session(config, Store()).advance(first, 900) == sessions.Session(config, Store()).advance(first, 37)
+    found = sessions.Session(config, Store()).advance([*first, event(100, 0, 0, -5, sessions.CLOSE)], 900)
+    assert [(k, at) for k, at, *_ in found if k == 1] == [(1, 107)]  # checks at 30, 37, ..., 100; the next one confirms
+    assert [(k, at) for k, at, *_ in sessions.Session(config, Store()).advance([*first, event(100, 1, 0, -5, sessions.CLOSE)], 900) if k == 1] == []
+    store = Store()
+    session = sessions.Session(config, store)
+    assert [k for k, *_ in session.advance([*first, event(25, 0, 0, -5, sessions.RESET), event(40, 0, 77)], 26)] == [9] and not store
+    assert [(k, at) for k, at, *_ in session.advance([], 900)] == [(1, 60)] and session.kept["trackers"][0]["epoch"] == 0  # a new day, no gap
+    session.advance([event(2000, 0, 0, -5, sessions.RESET)], 2000)
+    assert session.empty() and not store
+
+
+def test_idle_orders_are_forgotten():
+    config = ReconConfig(grace_ns=20, dedup_ns=15)
+    store = Store()
+    session = sessions.Session(config, store, keep_ns=100)
+    session.advance([[0, 0, 0, 2, 10, 5, "a", 0, 1, 1, None], [5, 1, 0, 2, 10, 5, "a", 0, 1, 1, None], [50, 0, 0, 2, 10, 5, "a", 0, 2, 2, None]], 60)
+    assert set(store) == {1, 2}
+    session.advance([], 104)
+    assert set(store) == {1, 2}
+    session.advance([], 105)
+    assert set(store) == {2}
+    session.advance([], 10_000)
+    assert not store
+
+
 def test_sequence(spark, tmp_path):
     rows_ = queries.classified(spark, DATA).cache()
     names = [x.split()[0] for x in processors.ANOMALIES.split(", ")]

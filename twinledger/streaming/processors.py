@@ -99,21 +99,22 @@ class Order:
             kind = QUANTITY_MISMATCH
         yield self._row(at, mask, kind)
 
-    def _expire(self, through: int) -> Iterator[list]:
+    def expire(self, through: int) -> Iterator[list]:
         """Confirms the mismatch whose deadline lies at or before `through`."""
         if found := self.machine.timer(through):
             yield from self._emit(*found)
 
-    def _apply(self, event: list) -> Iterator[list]:
+    def take(self, event: list, until: int | None = None) -> Iterator[list]:
+        """Applies an event (EVENT). until: as for Machine.event."""
         at, source, _, status, cum, price, exec_id, ts = event
         k = self.kept
-        yield from self._expire(at - 1)
+        yield from self.expire(at - 1)
         accepted = may_follow(k["now"][source], status)
         if accepted:
             k["now"][source], k["sides"][source] = status, [status, cum, price, exec_id, ts]
         k["last"] = at
         if not self.at_once:
-            found = self.machine.event(at, accepted, mismatch_of(*k["sides"], self.config))
+            found = self.machine.event(at, accepted, mismatch_of(*k["sides"], self.config), until)
             if found is not None:
                 yield from self._emit(at, found)
         elif not accepted:
@@ -121,14 +122,17 @@ class Order:
         elif (kind := shown_at_once(*k["sides"], self.config)) is not None:
             yield self._row(at, 0, kind)
 
+    def keep(self) -> None:
+        self.kept["machine"] = [self.machine.state, self.machine.mask, self.machine.deadline]
+
     def advance(self, new: list[list], through: int) -> list[list]:
         """Takes in events; gives what is to be emitted now that all events up to `through` have come."""
         held = sorted(self.kept["held"] + new, key=lambda e: e[:3])
         ready = sum(e[0] <= through for e in held)
         self.kept["held"] = held[ready:]
-        out = [row for e in held[:ready] for row in self._apply(e)]
-        out += self._expire(through)
-        self.kept["machine"] = [self.machine.state, self.machine.mask, self.machine.deadline]
+        out = [row for e in held[:ready] for row in self.take(e)]
+        out += self.expire(through)
+        self.keep()
         return out
 
     def next_ns(self) -> int | None:
