@@ -280,6 +280,42 @@ def test_hot_tracker(spark):
                 assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, wanted))
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_blocks_of_gaps_compose(seed):
+    """Summaries of blocks, carried along a tracker, give the gaps of going through it at once; some trackers never close."""
+    r = random.Random(seed)
+    for _ in range(300):
+        config = r.choice([None, ReconConfig(gap_close_ns=r.choice([20, 10**9]), gap_timeout_ns=r.choice([30, 90, 10**9]))])
+        rows, last, ns, g = [], 1, 0, (None, None, None)
+        late = r.random() < 0.6
+        for arrival in range(r.randrange(1, 60)):
+            ns += r.choice([0, 1, 5, 25])
+            kind = r.choice([0, 0, 2, 2, 2, 4] if late else [0, 2])
+            seq, expected = (last + r.randrange(2, 6), last + 1) if kind == 0 else (r.randrange(1, last + 1) if late else 1, last + 1) if kind == 2 else (None, None)
+            rows.append((arrival, kind, seq, expected, ns, *g))
+            if kind == 0:
+                last, g = seq, (seq, arrival, ns)
+            elif kind == 2 and r.random() < 0.5:
+                last += 1
+        whole = list(sequence._folded([(*x, None, None, None, 0, True) for x in rows], config))
+        cuts = sorted({0, len(rows), *(r.randrange(len(rows)) for _ in range(r.randrange(12)))})
+        gap, epoch, parts = None, 0, []
+        for a, b in zip(cuts, cuts[1:]):
+            parts += sequence._folded([(*x, *(gap or (None,) * 3), epoch, b == len(rows)) for x in rows[a:b]], config)
+            gap, opened = sequence._carried(gap, sequence._summary(rows[a:b], config), config)
+            epoch += opened
+        assert parts == whole
+
+
+def test_tracker_that_never_closes(spark):
+    """Its gap stays open over all of its blocks, which many tasks share."""
+    rows = [(0, 0, 1, 0)] + [(0, 0, 10 + 2 * i, 2 * i + 1) for i in range(200)] + [(0, 0, 1, 2 * i + 2) for i in range(200)]
+    seen = sequence.classify(spark.createDataFrame(rows, "source int, session_id int, seq long, arrival long").repartition(4), 16)
+    blocks = sequence._anomalies(seen, F.lit(None), None, None, 16).repartition(8, "source", "session_id", "block").withColumn("task", F.spark_partition_id())
+    assert blocks.select("block").distinct().count() > 10 and blocks.select("task").distinct().count() > 4
+    assert [(r.start_seq, r.end_seq, r.opened, r.detected, r.closed, r.epoch) for r in sequence.gap_intervals(seen, block=16).collect()] == [(2, 408, 1, 399, None, 1)]
+
+
 def plain_gaps(rows, config, hands):
     out = []
     for session in {x[1] for x in rows}:

@@ -5,6 +5,7 @@ A tracker may hold most rows, so whatever runs along one is taken by parts of it
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,63 +38,170 @@ def classify(feed: DataFrame, block: int = BLOCK) -> DataFrame:
 INTERVALS = "source int, session_id int, epoch long, start_seq long, end_seq long, opened long, detected long, closed long, filled_by long, reason int, opened_ns long, closed_ns long"
 
 
-def _anomalies(classified: DataFrame, at: Column, config: ReconConfig | None, closings: DataFrame | None, block: int) -> DataFrame:
-    """The rows that can open, extend or close a gap, with the segment of each: no gap is open at a segment's start.
+#: An open gap: its first number, and when it opened, as arrival and as time.
+STATE = ("low", "opened", "opened_ns")
+ANOMALIES = (*TRACKER, "block", "arrival", "kind", "seq", "expected_seq", "ns", "g_seq", "g_arrival", "g_ns")
 
-    A late number that falls into the latest gap's own numbers closes whatever is open, as does a closing by hand; and
-    after gap_close_ns without a gap or a late number nothing is open either.
-    """
+
+def _anomalies(classified: DataFrame, at: Column, config: ReconConfig | None, closings: DataFrame | None, block: int) -> DataFrame:
+    """ANOMALIES: the rows that can open, extend or close a gap, by blocks of arrivals, each with the number, arrival and time
+    of the last row before it that opened or extended one: whatever gap is open ends there."""
     odd = classified.filter(F.col("kind").isin(GAP, OUT_OF_ORDER)).select(*TRACKER, "seq", "arrival", "expected_seq", "kind", at.cast("long").alias("ns"))
     if closings is not None:
         none = F.lit(None).cast("long")
         odd = odd.unionByName(closings.select(*TRACKER, none.alias("seq"), "arrival", none.alias("expected_seq"), F.lit(BY_HAND).alias("kind"), at.cast("long").alias("ns")))
     odd = written(odd, "anomalies")  # few beside the arrivals, and read several times
-    order, part = ["arrival", "kind", "seq"], F.expr(f"arrival div {block}")
-    gap = F.when(F.col("kind") == GAP, F.struct(F.col("expected_seq").alias("low"), F.col("seq").alias("high")))
-    odd = running(odd, list(TRACKER), order, {"gap": ("last", gap), "before_ns": ("last", F.col("ns"))}, part, inclusive=False)
-    late = (F.col("kind") == OUT_OF_ORDER) & (F.col("seq") >= F.col("gap.low")) & (F.col("seq") < F.col("gap.high"))
-    ends = (F.coalesce(late, F.lit(False)) | (F.col("kind") == BY_HAND)).cast("int")
-    quiet = F.lit(0) if config is None else F.coalesce((F.col("ns") - F.col("before_ns") > config.gap_close_ns).cast("int"), F.lit(0))
-    odd = odd.withColumns({"ends": ends, "starts": quiet}).drop("gap", "before_ns")
-    odd = running(odd, list(TRACKER), order, {"upto": ("sum", F.col("ends") + F.col("starts"))}, part)
-    return odd.withColumn("segment", (F.col("upto") - F.col("ends")).cast("long")).select(*TRACKER, "segment", "arrival", "kind", "seq", "expected_seq", "ns")
+    gap = F.when(F.col("kind") == GAP, F.struct("seq", "arrival", "ns"))
+    odd = running(odd, list(TRACKER), ["arrival", "kind", "seq"], {"g": ("last", gap)}, F.expr(f"arrival div {block}"), inclusive=False)
+    ends = [F.col(f"g.{c}").alias(f"g_{c}") for c in ("seq", "arrival", "ns")]
+    return odd.withColumn("block", F.expr(f"arrival div {block}")).select(*ANOMALIES[:-3], *ends)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """The rows of each block (those with the same first `size` fields), in order."""
+    here, held = None, []
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if row[:size] != here:
+                if held:
+                    yield here, held
+                here, held = row[:size], []
+            held.append(row[size:])
+    if held:
+        yield here, held
+
+
+def _quiet(ns: int, g_ns: int | None, config: ReconConfig | None) -> bool:
+    return config is not None and g_ns is not None and ns > g_ns + config.gap_close_ns
+
+
+def _summary(rows: list[tuple], config: ReconConfig | None) -> list:
+    """What a block makes of the gap that is open before it, or of none.
+
+    Whichever gap is open, it ends at the row after a quiet time or at a closing by hand; before the first of these, `sure`,
+    it depends on the gap's first number, of which a late number must be no less, and on when it opened. So a block is: the
+    late numbers larger than all before them (`seqs`, at `places`), the times of its rows (`times`), its first sure end,
+    and for each row behind which nothing may be open (`froms`) what follows: the gap that is open in the end and how many open.
+    A place is twice a row's number if nothing is open before the row, one more if after it.
+    """
+    n = len(rows)
+    ns, state, count = [r[4] for r in rows], [None] * (n + 1), [0] * (n + 1)
+    sure, negative, at = None, [], []  # late numbers behind, each larger than all between
+    for k in range(n - 1, -1, -1):
+        _, kind, seq, expected, now, g_seq, _, g_ns = (None, *rows[k][1:])
+        state[k], count[k] = state[k + 1], count[k + 1]
+        if kind == GAP:
+            ends = [] if sure is None else [sure]
+            i = bisect_right(negative, -expected) - 1
+            if i >= 0:
+                ends.append(2 * at[i] + 1)
+            if config is not None and (j := bisect_right(ns, now + config.gap_timeout_ns, k + 1)) < n:
+                ends.append(2 * j)
+            if ends:
+                then = (min(ends) + 1) // 2
+                state[k], count[k] = state[then], count[then] + 1
+            else:
+                state[k], count[k] = k, 1
+        elif kind == BY_HAND:
+            sure = 2 * k + 1
+        elif g_seq is not None and seq < g_seq:
+            while negative and negative[-1] >= -seq:
+                negative.pop()
+                at.pop()
+            negative.append(-seq)
+            at.append(k)
+        if _quiet(now, g_ns, config):
+            sure = 2 * k
+    last = n if sure is None else (sure + 1) // 2
+    seqs, places = [], []
+    for k in range(min(last, n)):
+        _, kind, seq, *_, g_seq, _, _ = rows[k]
+        if kind == OUT_OF_ORDER and g_seq is not None and seq < g_seq and (not seqs or seq > seqs[-1]):
+            seqs.append(seq)
+            places.append(2 * k + 1)
+    froms = sorted({0, last, *((p + 1) // 2 for p in places), *(range(last + 1) if config is not None else ())})
+    found = [None if state[k] is None else rows[state[k]] for k in froms]
+    return [seqs, places, ns[: last + 1] if config is not None else [], sure, froms, *([None if r is None else r[i] for r in found] for i in (3, 0, 4)), [count[k] for k in froms]]
+
+
+SUMMARY = "source int, session_id int, block long, seqs array<long>, places array<long>, times array<long>, sure long, froms array<long>, low array<long>, opened array<long>, opened_ns array<long>, counts array<long>"
+STARTS = "source int, session_id int, block long, low long, opened long, opened_ns long, epoch long, final boolean"
+
+
+def _carried(gap: tuple | None, summary: list, config: ReconConfig | None) -> tuple[tuple | None, int]:
+    """(the gap that is open after a block, how many open in it), of the gap open before it."""
+    seqs, places, times, sure, froms, low, opened, opened_ns, counts = summary
+    then = 0
+    if gap is not None:
+        ends = [] if sure is None else [sure]
+        if (i := bisect_left(seqs, gap[0])) < len(seqs):
+            ends.append(places[i])
+        if config is not None and (j := bisect_right(times, gap[2] + config.gap_timeout_ns)) < len(times):
+            ends.append(2 * j)
+        if not ends:
+            return gap, 0
+        then = (min(ends) + 1) // 2
+    i = bisect_left(froms, then)
+    return (None if low[i] is None else (low[i], opened[i], opened_ns[i])), counts[i]
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
+    names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(columns, types, strict=True)], list(names))
 
 
 def _gaps(classified: DataFrame, at: Column, config: ReconConfig | None, closings: DataFrame | None, block: int) -> DataFrame:
-    names = [x.split()[0] for x in INTERVALS.split(", ")]
-    kinds = [pa.int32() if x.endswith(" int") else pa.int64() for x in INTERVALS.split(", ")]
-
-    def batch(rows: list[list]) -> pa.RecordBatch:
-        columns = zip(*rows, strict=True) if rows else [()] * len(names)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, gap, limit, reason = None, None, None, None
-        for b in batches:
-            out = []
-            for source, session, segment, arrival, kind, seq, expected, ns in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if gap and ((source, session, segment) != here or limit is not None and ns > limit):
-                    out.append([*gap[:9], reason, gap[9], limit])
-                    gap = None
-                here = source, session, segment
-                if kind == GAP:
-                    if gap:
-                        gap[4], gap[6] = seq, arrival
-                    else:
-                        gap = [source, session, 0, expected, seq, arrival, arrival, None, None, ns]
-                    if config:
-                        limit, reason = min((ns + config.gap_close_ns, EXTENSION_TIMEOUT), (gap[9] + config.gap_timeout_ns, OPEN_TIMEOUT))
-                elif gap and (kind == BY_HAND or gap[3] <= seq < gap[4]):
-                    out.append([*gap[:7], arrival, seq, CLOSED_BY_HAND if kind == BY_HAND else FILLED, gap[9], ns])
-                    gap = None
-            yield batch(out)
-        if gap:
-            yield batch([[*gap[:9], reason, gap[9], limit]])
-
+    """INTERVALS, in three steps: each block is reduced to what it makes of any gap open before it; these, one row a block,
+    follow one another along a tracker into what is open before each; and each block is gone through from there."""
     odd = _anomalies(classified, at, config, closings, block)
-    found = written(folded(odd, [*TRACKER, "segment"], ["arrival", "kind", "seq"], fold, INTERVALS).drop("epoch"), "gaps")
-    numbered = running(found, list(TRACKER), ["opened"], {"epoch": ("sum", F.lit(1).cast("long"))}, F.expr(f"opened div {block}"))
-    return numbered.select(*names)
+    keys, order = [*TRACKER, "block"], ["arrival", "kind", "seq"]
+
+    def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows in _blocks(batches, 3):
+            yield _batch([(*key, *_summary(rows, config))], SUMMARY)
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows in _blocks(batches, 2):
+            gap, epoch, out = None, 0, []
+            for i, (number, *summary) in enumerate(rows):
+                out.append((*key, number, *(gap or (None,) * 3), epoch, i == len(rows) - 1))
+                gap, opened = _carried(gap, summary, config)
+                epoch += opened
+            yield _batch(out, STARTS)
+
+    def intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows in _blocks(batches, 3):
+            yield _batch([(*key[:2], *x) for x in _folded(rows, config)], INTERVALS)
+
+    before = folded(folded(odd, keys, order, summaries, SUMMARY), list(TRACKER), ["block"], starts, STARTS)
+    return folded(odd.join(before, keys).select(*ANOMALIES, *STATE, "epoch", "final"), keys, order, intervals, INTERVALS)
+
+
+def _folded(rows: list[tuple], config: ReconConfig | None) -> Iterator[tuple]:
+    """A block's gaps (INTERVALS without the tracker) as they close, and the one open at the end of a tracker's last block."""
+    low, opened, opened_ns, epoch, final = rows[0][8:]
+
+    def limit(g_ns: int) -> tuple:
+        return min((g_ns + config.gap_close_ns, EXTENSION_TIMEOUT), (opened_ns + config.gap_timeout_ns, OPEN_TIMEOUT)) if config else (None, None)
+
+    for arrival, kind, seq, expected, ns, g_seq, g_arrival, g_ns, *_ in rows:
+        if low is not None and config and ns > limit(g_ns)[0]:
+            end, reason = limit(g_ns)
+            yield epoch, low, g_seq, opened, g_arrival, None, None, reason, opened_ns, end
+            low = None
+        if kind == GAP:
+            if low is None:
+                low, opened, opened_ns, epoch = expected, arrival, ns, epoch + 1
+        elif low is not None and (kind == BY_HAND or low <= seq < g_seq):
+            yield epoch, low, g_seq, opened, g_arrival, arrival, seq, CLOSED_BY_HAND if kind == BY_HAND else FILLED, opened_ns, ns
+            low = None
+    if final and low is not None:
+        if kind == GAP:
+            g_seq, g_arrival, g_ns = seq, arrival, ns
+        end, reason = limit(g_ns)
+        yield epoch, low, g_seq, opened, g_arrival, None, None, reason, opened_ns, end
 
 
 def gap_intervals(classified: DataFrame, closings: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
@@ -121,10 +229,13 @@ def with_fills(classified: DataFrame, intervals: DataFrame) -> DataFrame:
     return rows.select(*classified.columns[:-1], F.coalesce("fill", "kind").alias("kind"))
 
 
-def counters(classified: DataFrame) -> DataFrame:
-    """Per source: arrivals, gaps, duplicates, numbers out of order (fills included), fills."""
-    n = lambda *kinds: F.count_if(F.col("kind").isin(*kinds))
-    return classified.groupBy("source").agg(F.count("*").alias("events"), n(GAP).alias("gaps"), n(DUPLICATE).alias("duplicates"), n(OUT_OF_ORDER, GAP_FILL).alias("out_of_order"), n(GAP_FILL).alias("fills"))
+def counters(classified: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Per source: arrivals, gaps, duplicates, numbers out of order (fills included), fills. Fills are counted as intervals."""
+    names = {"events": None, "gaps": GAP, "duplicates": DUPLICATE, "out_of_order": OUT_OF_ORDER}
+    counted = classified.groupBy("source").agg(*[(F.count("*") if k is None else F.count_if(F.col("kind") == k)).alias(n) for n, k in names.items()], F.lit(0).cast("long").alias("fills"))
+    zero = [F.lit(0).cast("long").alias(n) for n in names]
+    fills = intervals.filter(F.col("reason") == FILLED).groupBy("source").agg(F.count("*").alias("fills")).select("source", *zero, "fills")
+    return counted.unionAll(fills).groupBy("source").agg(*[F.sum(n).alias(n) for n in (*names, "fills")])
 
 
 def closing_counters(intervals: DataFrame) -> DataFrame:

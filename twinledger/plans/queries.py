@@ -42,7 +42,7 @@ def viewed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequence.classify(written(feeds.session_events(_table(spark, sf_dir, "events")), "arrivals"))
+    return written(sequence.classify(feeds.session_events(_table(spark, sf_dir, "events"))), "classified")
 
 
 def seq_classify(spark, sf_dir):
@@ -50,7 +50,7 @@ def seq_classify(spark, sf_dir):
 
 
 def seq_counters(spark, sf_dir):
-    return sequence.counters(sequence.with_fills(rows := classified(spark, sf_dir), sequence.gap_intervals(rows)))
+    return sequence.counters(rows := classified(spark, sf_dir), sequence.gap_intervals(rows))
 
 
 def gap_intervals(spark, sf_dir):
