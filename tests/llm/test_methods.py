@@ -187,16 +187,17 @@ def test_passages_found_from_another_folder(tmp_path):
 import sys
 sys.path.append({str(REPO)!r})
 from pyspark.sql import SparkSession
-from twinledger.llm import decontamination, neardup
+from twinledger.llm import decontamination, neardup, runs, sentencepieces, variants
 spark = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", {str(tmp_path / "shared")!r}).getOrCreate()
 text = "one two three four five six seven eight nine ten"
 docs = spark.createDataFrame([(1, text), (2, "x " + text), (3, "other words")], "doc_id long, text string")
 print("LEAKS", sorted(r.doc_id for r in decontamination.leaks(docs, spark.createDataFrame([(7, text)], "item_id long, text string")).collect()))
 print("GROUPS", sorted((r.id, r.component_id) for r in neardup.near_duplicates(docs).collect()))
+print("WORDS", sorted(r.n_tokens for r in sentencepieces.round_trip(docs).collect()), runs.digested(runs.without_runs(docs)).count(), variants.variants(variants.word_counts(docs, shortest=3, fewest=2)).count())
 """
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
-    assert "LEAKS [1, 2]" in said.stdout and "GROUPS [(1, 1), (2, 1), (3, 3)]" in said.stdout, said.stderr[-3000:]
+    assert "WORDS [" in said.stdout and "LEAKS [1, 2]" in said.stdout and "GROUPS [(1, 1), (2, 1), (3, 3)]" in said.stdout, said.stderr[-3000:]
 
 
 # token counts and vocabularies

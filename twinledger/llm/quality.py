@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import SPACED, WordHasher, Words, mix
-from .storage import tidy
+from .storage import in_small_batches, tidy
 
 BITS = 18
 SAMPLE = 4000
@@ -176,7 +176,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     rows = [x.tobytes() for x in features(words)]
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(words.first, len(rows)), pa.array(rows, pa.binary())], ["id", "features"])
 
-    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "id long, features binary")
+    in_small_batches(docs.sparkSession)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    found = texts.join(F.broadcast(ids.select("id")), "id", "left_semi").mapInArrow(tidy(run), "id long, features binary")
     once = found.groupBy("id").agg(F.min("features").alias("features"))  # of documents with the same id, one
     rows = {r["id"]: np.frombuffer(bytes(r["features"]), np.int32) for r in once.toLocalIterator()}
     order = sorted(rows, key=lambda i: zlib.crc32(b"order%d" % i))
@@ -189,7 +191,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", accept: float
     """docs with a score and whether it reaches accept (1 or 0), in columns of the names `into`, in place of such ones."""
     kept = [c for c in docs.columns if c not in into]
     schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add(into[0], "double").add(into[1], "integer")
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.squares, model.bias, model.slope, model.shift))  # 2 MB, whatever the data
+    shared = in_small_batches(docs.sparkSession).sparkContext.broadcast((model.weights, model.squares, model.bias, model.slope, model.shift))  # 2 MB, whatever the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, own = WordHasher(SPACED), Model(*shared.value)

@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, fingerprints, licenses, neardup, packing, pii, quality, runs, sentencepieces, tokencounts, urlfilter, variants, warc
+from .storage import in_small_batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return in_small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

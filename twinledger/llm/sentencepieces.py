@@ -25,7 +25,6 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -35,7 +34,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import tidy
+from .storage import once_a_worker, tidy
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 #: The mark that stands for a space, and what stands for a byte that is no character.
@@ -220,10 +219,9 @@ class Pieces:
         return b"".join(out).decode()
 
 
-@lru_cache(maxsize=2)
 def pieces_of(path: str) -> Pieces:
-    """One for each process: tasks of a worker use it one after another."""
-    return Pieces(path)
+    """One for each process and model: tasks of a worker use it one after another."""
+    return once_a_worker(Pieces, path)
 
 
 def _flushed(rows: Iterator[tuple], types: list[pa.DataType], names: list[str]) -> Iterator[pa.RecordBatch]:

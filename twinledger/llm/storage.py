@@ -3,43 +3,44 @@
 from __future__ import annotations
 
 import os
-import uuid
+import sys
 from collections.abc import Callable, Iterator
+from types import ModuleType
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import storage
+from ..storage import forget, new_folder, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where that is unset, one below the warehouse, but only on a local master."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir is not set: driver and executors need a shared folder")
-        at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return at.rstrip("/")
+__all__ = ["forget", "new_folder", "shared_dir"]
 
+#: Bytes of texts that a worker takes in at once, in place of Spark's default of 64 MB; a session's own setting stays.
+BATCH, DEFAULT, SETTING = 8 << 20, "67108864b", "spark.sql.execution.arrow.maxBytesPerBatch"
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+def in_small_batches(spark: SparkSession) -> SparkSession:
+    """The session, whose batches of rows for Python workers are small from now on: JVM and worker hold several copies."""
+    if spark.conf.get(SETTING, None) == DEFAULT:
+        spark.conf.set(SETTING, BATCH)
+    return spark
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: computed once, and safe from lost executors."""
-    spark, at = df.sparkSession, new_folder(df.sparkSession, name)
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
-
-
-def forget(*tables: DataFrame) -> None:
-    """Deletes tables made by `written` whose readers are written themselves, so that nothing can need them again."""
-    for df in tables:
-        spark = df.sparkSession
-        for at in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if not at.split(":", 1)[-1].lstrip("/").startswith(shared_dir(spark).split(":", 1)[-1].lstrip("/") + "/"):
-                raise ValueError(f"{at} is not in the shared folder")
-            path = spark._jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """As the core's `written`, in small batches."""
+    in_small_batches(df.sparkSession)
+    return storage.written(df, name)
+
+
+def once_a_worker(make: Callable[[str], object], path: str) -> object:
+    """make(path), kept for the other tasks of a worker process. As this package's functions travel by value (see its
+    __init__), a cache in one of its modules would be each task's own, or ask workers to import the package; so it is kept
+    under a module of its own name."""
+    held = sys.modules.setdefault("_made_once_in_this_worker", ModuleType("_made_once_in_this_worker")).__dict__
+    key = f"{make.__qualname__}:{path}"
+    if key not in held:
+        held[key] = make(path)
+    return held[key]
 
 
 def file_system(uri: str):
