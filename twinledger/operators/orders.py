@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from ..config import MS, ReconConfig
 from ..schema import (
@@ -63,34 +65,80 @@ def _after(steps: str, status: int) -> str:
     return "".join(chr(status) if may_follow_code(ord(c), status) else c for c in steps)
 
 
-def _statuses(batches: Iterator[pa.RecordBatch], known: bool) -> Iterator[pa.RecordBatch]:
-    """Rows of (order_key, part, source, ord_status, start, ...) in order. With starts known: the rows, with `accepted`;
-    else one for each part and source: what its events make of each status before them."""
+def _part_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows of (order_key, part, source, ord_status, ...) in order, one for each part and source: what its events make of
+    each status before them."""
     at, now, memo = None, {}, {}
     for b in batches:
-        out, accepted = [], []
-        for key, part, source, status, start in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+        out = []
+        for key, part, source, status in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
             if (key, part) != at:
-                out += [(*at, s, x) for s, x in now.items()] if at and not known else []
+                out += [(*at, s, x) for s, x in now.items()] if at else []
                 at, now = (key, part), {}
-            if known:
-                before = now.get(source, UNKNOWN if start is None else start)
-                good = may_follow_code(before, status)
-                accepted.append(good)
-                now[source] = status if good else before
-            else:
-                before = now.get(source, SAME)
-                if (before, status) not in memo:
-                    memo[before, status] = _after(before, status)
-                now[source] = memo[before, status]
-        if known:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(accepted, pa.bool_())], [*b.schema.names, "accepted"])
-        elif out:
+            before = now.get(source, SAME)
+            if (before, status) not in memo:
+                memo[before, status] = _after(before, status)
+            now[source] = memo[before, status]
+        if out:
             yield _steps(out)
-    if at and now and not known:
+    if at and now:
         yield _steps([(*at, s, x) for s, x in now.items()])
 
 
+def accepted_in_order(keys: np.ndarray, source: np.ndarray, status: np.ndarray, start: np.ndarray, before: dict[int, int]) -> tuple[np.ndarray, dict[int, int]]:
+    """(which events are accepted, the statuses of the last order by source) of events in order, those of a key one after
+    another. keys: (n, k); before: the statuses of the first order by source; start: those of others at their first event.
+
+    All orders go in step: first events of every order and source at once, then all second ones, and so on.
+    """
+    n = len(status)
+    if not n:
+        return np.zeros(0, bool), before
+    segment = np.concatenate([[0], np.cumsum((keys[1:] != keys[:-1]).any(1))])
+    sources, of = np.unique(source, return_inverse=True)
+    line = segment * len(sources) + of
+    order = np.argsort(line, kind="stable")
+    first = np.concatenate([[True], line[order][1:] != line[order][:-1]])
+    begins = np.flatnonzero(first)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n) - np.repeat(begins, np.diff(np.append(begins, n)))
+    now = np.full((segment[-1] + 1) * len(sources), UNKNOWN, np.int64)
+    now[line[order[begins]]] = start[order[begins]]
+    for i, s in enumerate(sources.tolist()):
+        if s in before:
+            now[i] = before[s]
+    steps = np.argsort(rank, kind="stable")
+    good, ends = np.zeros(n, bool), np.cumsum(np.bincount(rank))
+    for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True):
+        rows = steps[a:b]
+        at, new = now[line[rows]], status[rows]
+        known = (at >= 0) & (at <= 9) & (new >= 0) & (new <= 9)
+        good[rows] = (at == UNKNOWN) | (at == new) | (known & FOLLOWS[np.where(known, at, 0), np.where(known, new, 0)])
+        now[line[rows]] = np.where(good[rows], new, at)
+    last = segment[-1] * len(sources)
+    after = dict(before) if segment[-1] == 0 else {}
+    seen = set(of[segment == segment[-1]].tolist())
+    return good, after | {s: int(now[last + i]) for i, s in enumerate(sources.tolist()) if i in seen}
+
+
+#: FOLLOWS[current, new]: whether the status may follow.
+FOLLOWS = np.array([[may_follow_code(c, n) for n in range(10)] for c in range(10)])
+#: Where a status is null, or a start that isn't known.
+NONE = -1
+
+
+def _accepting(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    at, before = None, {}
+    for order_key, part, source, status, start in columns:
+        whole = lambda x, none: x.fill_null(none).to_numpy(zero_copy_only=False).astype(np.int64)
+        keys = np.stack([whole(order_key, 0), whole(part, 0)], axis=1)
+        if len(keys) and at != tuple(keys[0].tolist()):
+            before = {}
+        good, before = accepted_in_order(keys, whole(source, 0), whole(status, NONE), whole(start, UNKNOWN), before)
+        at = tuple(keys[-1].tolist()) if len(keys) else at
+        yield pa.array(good)
+
+
 def _steps(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)], ["order_key", "part", "source", "steps"])
 
@@ -117,23 +165,27 @@ def _starts(parts: DataFrame) -> DataFrame:
 def lifecycle(events: DataFrame) -> DataFrame:
     """events with `accepted`: whether the status may follow that of the feed's last accepted event of the order.
 
-    A fold over each order's events of one feed, in order, in memory for one event. Of orders that have parts (see
-    `parted`), each part is first reduced to what it makes of any status before it; these follow one another into the
+    A fold over each order's events of one feed, in order; only keys and statuses leave the JVM. Of orders that have parts
+    (see `parted`), each part is first reduced to what it makes of any status before it; these follow one another into the
     status with which each part starts.
     """
-    rest = [c for c in events.columns if c not in ("order_key", "part", "source", "ord_status")]
-    own = events.select("order_key", F.col("part") if "part" in events.columns else F.lit(0).cast("long").alias("part"), "source", "ord_status", *rest)
-    keys, order = ["order_key", "part"], list(ORDER)
-    none = F.lit(None).cast("int").alias("start")
-    if "part" in events.columns:
-        hot = own.filter(F.col("part") != ORDINARY).select("order_key", "part", "source", "ord_status", none, *[c for c in order if c != "source"])
-        steps = folded(hot, keys, order, lambda batches: _statuses(batches, False), "order_key long, part long, source int, steps string")
-        own = own.join(_starts(steps), [*keys, "source"], "left")
-    else:
-        own = own.withColumn("start", none)
-    own = own.select("order_key", "part", "source", "ord_status", "start", *rest)
-    out = folded(own, keys if "part" in events.columns else keys[:1], order, lambda batches: _statuses(batches, True), own.schema.add("accepted", "boolean"))
-    return out.select(*events.columns, "accepted")
+    parts = "part" in events.columns
+    keys, order = ["order_key", "part"] if parts else ["order_key"], list(ORDER)
+    none = F.lit(None).cast("int")
+    if parts:
+        hot = events.filter(F.col("part") != ORDINARY).select("order_key", "part", "source", "ord_status", *[c for c in order if c != "source"])
+        steps = folded(hot, keys, order, _part_steps, "order_key long, part long, source int, steps string")
+        events = events.join(_starts(steps), [*keys, "source"], "left")
+    rows = events.repartition(*keys).sortWithinPartitions(*keys, *order)
+    part, start = (F.col("part"), F.col("start")) if parts else (F.lit(0), none)
+
+    # what comes out depends on the rows' order, so that no filter may pass below
+    @F.arrow_udf(BooleanType())
+    def accepting(columns: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        return _accepting(columns)
+
+    rows = rows.withColumn("accepted", accepting.asNondeterministic()("order_key", part.cast("long"), "source", "ord_status", start))
+    return rows.drop("start") if parts else rows
 
 
 def views(accepted: DataFrame) -> DataFrame:
