@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from twinledger.llm import bitmaps, decontamination, fingerprints, license_texts, licenses, neardup, packing, pii, pretokens, quality, storage, tokencounts, urlfilter, warc
+from twinledger.llm import bitmaps, components, decontamination, fingerprints, license_texts, licenses, neardup, packing, pii, pretokens, quality, storage, tokencounts, urlfilter, warc
 from twinledger.llm.crf import Crf
 from twinledger.llm.hashing import SPACED, WordHasher, shingle_sets
 
@@ -138,6 +138,21 @@ def test_near_duplicates_that_no_leader_links(spark, monkeypatch, block):
     assert len(set(wanted.values())) < len(wanted) - 20
 
 
+@pytest.mark.parametrize("local", [7, components.LOCAL])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr(components, "LOCAL", local)
+    r = random.Random(local)
+    edges = [(r.randrange(60), r.randrange(60)) for _ in range(35)] + [(100 + i, 101 + i) for i in range(30)] + [(5, 5), (None, 3), (200, 201), (201, 200)]
+    of = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+    for _ in of:
+        for a, b in edges:
+            if a in of and b in of:
+                of[a] = of[b] = min(of[a], of[b])
+    got = components.components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()
+    assert len(got) == len(of) and {x.node: x.component for x in got} == of
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_estimates_correct_for_chance(spark):
     """Signatures of two bits a minimum estimate the similarity without bias."""
     r = random.Random(6)

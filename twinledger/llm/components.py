@@ -1,11 +1,41 @@
-"""Connected components of a distributed edge list, by alternating large-star and small-star steps."""
+"""Connected components of a distributed edge list: tasks join the edges that they have, then large-star and small-star
+steps alternate over what is left."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import forget, written
+from .storage import forget, tidy, written
+
+#: Edges that a task joins by itself, in memory for their nodes. Where there are no more in all, nothing is left to do.
+LOCAL = 1_000_000
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each node of a task's edges (u, v) but the smallest of its component, an edge to that one."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (y := above.get(top, top)) != top:
+            top = y
+        while x != top:
+            above[x], x = top, above[x]
+        return top
+
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            u, v = root(u), root(v)
+            if u != v:
+                above[max(u, v)] = min(u, v)
+    nodes = list(above)
+    for i in range(0, len(nodes), 1 << 16):
+        some = nodes[i : i + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(list(map(root, some)), pa.int64())], ["u", "v"])
 
 
 def _star(edges: DataFrame) -> DataFrame:
@@ -24,9 +54,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     written to the shared folder, and deleted after the next. No node's neighbours are gathered: only minima per node, and
     joins that Spark can split.
     """
-    edges = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u != v")
-    edges, before = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"), None
-    while (now := _digest(edges)) != before:
+    given = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u != v"), "edges")
+    parts = max(1, -(-given.count() // LOCAL))
+    edges, before = written(given.coalesce(parts).mapInArrow(tidy(_joined), "u long, v long"), "edges"), None
+    forget(given)
+    while parts > 1 and (now := _digest(edges)) != before:
         before = now
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         star = _star(both)
