@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 KINDS = ("last", "max", "sum")
 
 
@@ -47,3 +49,19 @@ def folded(rows: DataFrame, keys: list[str], order: list[str], fold: Callable[[I
     """fold over batches of rows sorted by key, then order; all rows of a key are one task's. together: they are already, as
     after a window or a join over some of the keys, so that rows need not be shuffled again."""
     return (rows if together else rows.repartition(*keys)).sortWithinPartitions(*keys, *order).mapInArrow(fold, schema)
+
+
+def numbered(rows: DataFrame, order: list[str], name: str = "ordinal") -> DataFrame:
+    """rows with their number, from 0, in one order of all. Rows that are equal in it are numbered in any order.
+
+    Ranges of the order are sorted each by itself, and written; how many rows are before a range is found from one row for
+    each. So no task holds more than a range, unless a third of all rows are equal in the order.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    place = place.withColumns({"_range": F.spark_partition_id(), "_place": F.monotonically_increasing_id() % (1 << 33)})
+    place = written(place, "ranges")
+    ranges = place.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = ranges.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    # as many rows as there are ranges
+    return place.join(F.broadcast(before), "_range").select(*rows.columns, (F.col("_before") + F.col("_place")).alias(name))

@@ -227,6 +227,7 @@ def oracle_sql() -> dict[str, str]:
         "gap_suppressed_orders": f"""WITH {_uncertain()} SELECT order_key, source, r, CASE WHEN pu IS NULL THEN 0 ELSE 1 END + CASE WHEN du IS NULL THEN 0 ELSE 2 END AS gap_flags, p_epoch, d_epoch, greatest(pu, du) AS until_ns
             FROM q WHERE pu IS NOT NULL OR du IS NOT NULL""",
         "order_events": f"WITH {_FEED} SELECT * FROM e",
+        "event_ordinals": f"WITH {_FEED} SELECT order_key, source, r, row_number() OVER (ORDER BY ingest_ns, source, session_id, seq, exec_id) - 1 AS ordinal FROM e",
         "source_counters": f"WITH {_fold()} SELECT source, count(*) AS events, count(*) FILTER (NOT accepted) AS rejected, count(*) FILTER (ord_status IN (2, 3, 5)) AS terminal FROM f GROUP BY source",
         "order_keys": f"SELECT o_orderkey, {_hash('t')} AS order_key FROM (SELECT o_orderkey, 'CID' || o_orderkey AS t FROM orders)",
         "fix_parse": f"""WITH {_TEXT} SELECT order_key, source, r, exec_type, ord_status, price_micro, qty, cum_qty, sending_time, transact_time, CASE WHEN transact_time != 0 THEN transact_time ELSE sending_time END AS event_ts,

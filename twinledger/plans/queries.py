@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import MS, ReconConfig
 from ..functions.keys import order_key
 from ..operators import orders, sequence
+from ..operators.running import numbered
 from ..schema import DIVERGENCE_NAMES
 from ..sources import feeds, fix, wire
 from ..storage import written
@@ -101,6 +102,12 @@ def order_events(spark, sf_dir):
     return events(spark, sf_dir, True)
 
 
+def event_ordinals(spark, sf_dir):
+    """All order events in one order, that of their arrival: at one time, by source, session, number and exec id."""
+    rows = events(spark, sf_dir, True).select("order_key", "source", "r", "session_id", "seq", "ingest_ns", "exec_id")
+    return numbered(rows, ["ingest_ns", "source", "session_id", "seq", "exec_id"]).select("order_key", "source", "r", "ordinal")
+
+
 def source_counters(spark, sf_dir):
     """Events of each source, and those whose status the order's life does not allow."""
     rows = accepted(spark, sf_dir)
@@ -280,7 +287,7 @@ def default_keys(spark, sf_dir):
 
 
 NAMES = (
-    "seq_classify seq_counters gap_intervals gap_timeouts gap_closings gap_closing_counters gap_suppressed_arrivals gap_suppressed_orders order_events source_counters order_keys fix_parse "
+    "seq_classify seq_counters gap_intervals gap_timeouts gap_closings gap_closing_counters gap_suppressed_arrivals gap_suppressed_orders order_events event_ordinals source_counters order_keys fix_parse "
     "fix_rejects parse_stats wire_decode wire_rejects lifecycle_state lifecycle_rejects order_views mismatch_mask mismatch_tolerance immediate_divergences immediate_tolerance "
     "immediate_counters two_stage_divergences two_stage_counters two_stage_short_grace two_stage_suppressed two_stage_suppressed_counters recon_states phantom_orders "
     "missing_dropcopy eod_summary order_lookup divergence_range end_to_end default_keys"
