@@ -280,6 +280,30 @@ def test_hot_tracker(spark):
                 assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, wanted))
 
 
+@pytest.mark.parametrize("block", [16, orders.CANDIDATES])
+def test_long_run_of_one_mask(spark, block):
+    """One order has nine tenths of all candidates, most of them in one run, which several tasks share."""
+    r = random.Random(block)
+    rows, at = [], 0
+    for i in range(900):
+        at += r.choice([1, 3, 9, 9, 40]) if i % 300 else 500
+        rows.append((0, at, 2 if i % 450 else 8, i, 0))
+    rows += [(1 + i % 20, 10 * i, r.choice([2, 8]), i, 0) for i in range(100)] + [(0, None, None, -1, 0)]
+    rows = [x for i, x in enumerate(rows) if not i or x[:2] != rows[i - 1][:2]]
+    table = spark.createDataFrame(rows, "order_key long, detect_ns long, mask int, i int, part int").repartition(4)
+    wanted, last = {}, {}
+    for key, ns, mask, i, _ in sorted(rows, key=lambda x: (x[0], x[1] or 0)):
+        if mask is not None:
+            before = last.get(key)
+            emit = before is None or before[1] != mask or ns - before[0] >= 50
+            last[key] = (ns, mask) if emit else before
+            wanted[key, i] = emit
+    wanted[0, -1] = None
+    for t in (table, table.drop("part")):
+        assert {(x.order_key, x.i): x.emitted for x in orders.deduplicated(t, 50, block).collect()} == wanted
+    assert 20 < sum(v is True for k, v in wanted.items() if not k[0]) < 800
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_blocks_of_gaps_compose(seed):
     """Summaries of blocks, carried along a tracker, give the gaps of going through it at once; some trackers never close."""

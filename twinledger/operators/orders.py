@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
 
@@ -17,7 +18,8 @@ from ..schema import (
     PENDING_NEW, PHANTOM_ORDER, PRIMARY, QUANTITY_MISMATCH, R_UNKNOWN, RECON_NAMES, STATE_MISMATCH, SUPPRESSED_BY_GAP, TERMINAL_STATES, TERMINAL_STATUSES, TIMING_ANOMALY, UNKNOWN, WORKING,
 )
 from ..schema import may_follow as may_follow_code
-from .running import folded, running
+from ..storage import written
+from .running import folded, in_blocks, running
 from .sequence import FOREVER
 
 SIDE = ("status", "cum_qty", "avg_px", "ts", "exec_id")
@@ -257,37 +259,87 @@ def immediate_type(config: ReconConfig = ReconConfig()) -> Column:
     )
 
 
-def deduplicated(candidates: DataFrame, window_ns: int) -> DataFrame:
+def last_emitted(ns: list[int], window_ns: int) -> list[int]:
+    """For each of the times of a run's candidates, the last that is emitted if it is, each emitted one being the first that
+    comes at least the window after the one before."""
+    out = list(ns)
+    for k in range(len(ns) - 1, -1, -1):
+        then = bisect_left(ns, ns[k] + window_ns, k + 1)
+        if then < len(ns):
+            out[k] = out[then]
+    return out
+
+
+#: Candidates of a hot order that a task goes through at once.
+CANDIDATES = 65_536
+CHAINS = "order_key long, run long, block long, ns array<long>, last array<long>"
+
+
+def _emitted_before(rows: DataFrame, window_ns: int) -> DataFrame:
+    """(order_key, run, block, before): when the run's last candidate before each block is emitted (null: none is), of rows
+    (order_key, run, block, detect_ns). Each block is reduced to where each beginning in it leads."""
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+
+    def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, held in in_blocks(batches, 3):
+            ns = [x for (x,) in held]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*key, ns, last_emitted(ns, window_ns)), types, strict=True)], ["order_key", "run", "block", "ns", "last"])
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, held in in_blocks(batches, 2):
+            before, out = None, []
+            for block, ns, last in held:
+                out.append((*key, block, before))
+                then = 0 if before is None else bisect_left(ns, before + window_ns)
+                before = last[then] if then < len(ns) else before
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["order_key", "run", "block", "before"])
+
+    each = folded(rows, ["order_key", "run", "block"], ["detect_ns"], chains, CHAINS)
+    return folded(each, ["order_key", "run"], ["block"], starts, "order_key long, run long, block long, before long")
+
+
+def deduplicated(candidates: DataFrame, window_ns: int, block: int = CANDIDATES) -> DataFrame:
     """candidates (order_key, detect_ns, mask, ...) with `emitted`: false where the same mask was emitted for the order
     less than the window before.
 
     A mask unlike that before it is always emitted, and so is one that comes at least the window after the one before;
-    these begin runs that don't depend on one another, so that the tasks share an order's candidates. Candidates without a
-    mask are no divergences and pass (emitted null).
+    these begin runs that don't depend on one another, so that the tasks share an order's candidates. Where orders have
+    parts, runs fall into blocks of so many candidates, and what was emitted before each is found from what the blocks before
+    make of any time. Candidates without a mask are no divergences and pass (emitted null).
     """
     real, order = F.col("mask").isNotNull(), ["detect_ns", "mask"]
-    part = F.coalesce(F.expr(f"detect_ns div {BLOCK_NS}"), F.lit(0)) if "part" in candidates.columns else None
-    last = {"before": ("last", F.when(real, F.struct(F.col("detect_ns").alias("at"), F.col("mask").alias("mask"))))}
+    parts = "part" in candidates.columns
+    part = F.coalesce(F.expr(f"detect_ns div {BLOCK_NS}"), F.lit(0)) if parts else None
+    last = {"_last": ("last", F.when(real, F.struct(F.col("detect_ns").alias("at"), F.col("mask").alias("mask"))))}
     rows = running(candidates, ["order_key"], order, last, part, inclusive=False)
-    begins = real & F.coalesce((F.col("before.mask") != F.col("mask")) | (F.col("detect_ns") - F.col("before.at") >= window_ns), F.lit(True))
-    rows = running(rows.withColumn("begins", begins.cast("int")).drop("before"), ["order_key"], order, {"run": ("sum", F.col("begins"))}, part).drop("begins")
-    rows = rows.select("order_key", "run", "detect_ns", "mask", *[c for c in candidates.columns if c not in ("order_key", "detect_ns", "mask")])
+    begins = real & F.coalesce((F.col("_last.mask") != F.col("mask")) | (F.col("detect_ns") - F.col("_last.at") >= window_ns), F.lit(True))
+    sums = {"run": ("sum", F.col("begins")), **({"place": ("sum", F.lit(1))} if parts else {})}
+    rows = running(rows.withColumn("begins", begins.cast("int")).drop("_last"), ["order_key"], order, sums, part).drop("begins")
+    rest = [c for c in candidates.columns if c not in ("order_key", "detect_ns", "mask")]
+    if parts:
+        rows = written(rows.select("order_key", F.col("run").cast("long").alias("run"), F.expr(f"place div {block}").alias("block"), "detect_ns", "mask", *rest), "candidates")
+        rows = rows.join(_emitted_before(rows.filter(real).select("order_key", "run", "block", "detect_ns"), window_ns), ["order_key", "run", "block"], "left")
+    else:
+        rows = rows.withColumns({"block": F.lit(0).cast("long"), "before": F.lit(None).cast("long")})
+    rows = rows.select("order_key", "run", "block", "detect_ns", "mask", "before", *rest)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, last = None, None
         for b in batches:
             out = []
-            for key, run, ns, mask in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for key, run, block, ns, mask, before in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                 if mask is None:
                     out.append(None)
                     continue
-                emit = (key, run) != at or ns - last >= window_ns
+                if (key, run, block) != at:
+                    at, last = (key, run, block), before
+                emit = last is None or ns - last >= window_ns
                 if emit:
-                    at, last = (key, run), ns
+                    last = ns
                 out.append(emit)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.bool_())], [*b.schema.names, "emitted"])
 
-    return folded(rows, ["order_key", "run"], order, fold, rows.schema.add("emitted", "boolean"), together=part is None).select(*candidates.columns, "emitted")
+    return folded(rows, ["order_key", "run", "block"], order, fold, rows.schema.add("emitted", "boolean"), together=not parts).select(*candidates.columns, "emitted")
 
 
 def immediate(viewed: DataFrame, config: ReconConfig = ReconConfig()) -> DataFrame:

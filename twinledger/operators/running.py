@@ -65,3 +65,17 @@ def numbered(rows: DataFrame, order: list[str], name: str = "ordinal") -> DataFr
     before = ranges.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     # as many rows as there are ranges
     return place.join(F.broadcast(before), "_range").select(*rows.columns, (F.col("_before") + F.col("_place")).alias(name))
+
+
+def in_blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """The rows of each block (those with the same first `size` fields), in order."""
+    here, held = None, []
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if row[:size] != here:
+                if held:
+                    yield here, held
+                here, held = row[:size], []
+            held.append(row[size:])
+    if held:
+        yield here, held

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..config import ReconConfig
 from ..schema import DROPCOPY, DUPLICATE, GAP, GAP_DROPCOPY, GAP_FILL, GAP_PRIMARY, OUT_OF_ORDER, PRIMARY
 from ..storage import written
-from .running import folded, running
+from .running import folded, in_blocks, running
 
 TRACKER = ("source", "session_id")
 #: Arrivals (or units of arrival) of a part.
@@ -57,20 +57,6 @@ def _anomalies(classified: DataFrame, at: Column, config: ReconConfig | None, cl
     return odd.withColumn("block", F.expr(f"arrival div {block}")).select(*ANOMALIES[:-3], *ends)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[tuple, list[tuple]]]:
-    """The rows of each block (those with the same first `size` fields), in order."""
-    here, held = None, []
-    for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if row[:size] != here:
-                if held:
-                    yield here, held
-                here, held = row[:size], []
-            held.append(row[size:])
-    if held:
-        yield here, held
-
-
 def _quiet(ns: int, g_ns: int | None, config: ReconConfig | None) -> bool:
     return config is not None and g_ns is not None and ns > g_ns + config.gap_close_ns
 
@@ -159,11 +145,11 @@ def _gaps(classified: DataFrame, at: Column, config: ReconConfig | None, closing
     keys, order = [*TRACKER, "block"], ["arrival", "kind", "seq"]
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, rows in _blocks(batches, 3):
+        for key, rows in in_blocks(batches, 3):
             yield _batch([(*key, *_summary(rows, config))], SUMMARY)
 
     def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, rows in _blocks(batches, 2):
+        for key, rows in in_blocks(batches, 2):
             gap, epoch, out = None, 0, []
             for i, (number, *summary) in enumerate(rows):
                 out.append((*key, number, *(gap or (None,) * 3), epoch, i == len(rows) - 1))
@@ -172,7 +158,7 @@ def _gaps(classified: DataFrame, at: Column, config: ReconConfig | None, closing
             yield _batch(out, STARTS)
 
     def intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, rows in _blocks(batches, 3):
+        for key, rows in in_blocks(batches, 3):
             yield _batch([(*key[:2], *x) for x in _folded(rows, config)], INTERVALS)
 
     before = folded(folded(odd, keys, order, summaries, SUMMARY), list(TRACKER), ["block"], starts, STARTS)
