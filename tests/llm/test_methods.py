@@ -8,6 +8,7 @@ import random
 import re
 import subprocess
 import sys
+import zlib
 from pathlib import Path
 
 import numpy as np
@@ -200,6 +201,7 @@ def test_passages_found_from_another_folder(tmp_path):
     """Workers need no copy of the package: only the driver knows its place."""
     code = f"""
 import sys
+import zlib
 sys.path.append({str(REPO)!r})
 from pyspark.sql import SparkSession
 from twinledger.llm import decontamination, neardup, runs, sentencepieces, variants
@@ -601,3 +603,62 @@ def test_only_tables_of_the_shared_folder_are_deleted(spark, tmp_path):
     with pytest.raises(ValueError):
         storage.forget(spark.read.parquet(str(tmp_path / "t")))
     assert spark.read.parquet(str(tmp_path / "t")).count() == 3
+
+
+def test_scores_end_to_end(spark):
+    """Scores of documents against a plain training: counts in dictionaries, the same order of examples, and the logistic fit
+    as the minimum that plain descent finds."""
+    r = random.Random(12)
+    good, bad = [f"good{i}" for i in range(40)], [f"bad{i}" for i in range(40)]
+    docs = []
+    for i in range(120):
+        label = i % 2
+        words = [r.choice(good if r.random() < (0.7 if label else 0.35) else bad) for _ in range(r.randrange(5, 40))]
+        docs.append((i, " ".join(words), label))
+    docs.append((500, None, None))
+    table = spark.createDataFrame(docs, "doc_id long, text string, quality int").repartition(3)
+    got = {x.doc_id: x.score for x in quality.classified(table.select("doc_id", "text"), table.filter("quality is not null").select("doc_id", "quality")).collect()}
+    own = {i: next(quality.features(next(WordHasher(SPACED).blocks(pa.array([t or ""]))))).tolist() for i, t, _ in docs}
+    crc = lambda i: zlib.crc32(str(i).encode())
+    used = sorted((i for i, _, y in docs if y is not None and crc(i) % 4 != 2), key=lambda i: zlib.crc32(b"order%d" % i))
+    y = {i: label for i, _, label in docs}
+    fit, apart = [i for k, i in enumerate(used) if k % 5], [i for k, i in enumerate(used) if not k % 5]
+    count = [{}, {}]
+    for i in fit:
+        for x in own[i]:
+            count[y[i]][x] = count[y[i]].get(x, 0) + 1
+    total = [sum(c.values()) + (1 << quality.BITS) for c in count]
+    ratio = lambda x: np.log((count[1].get(x, 0) + 1) / total[1]) - np.log((count[0].get(x, 0) + 1) / total[0])
+    values = {i: {x: ratio(x) for x in own[i]} for i in own}
+    unit = {i: {x: v / np.sqrt(sum(u * u for u in values[i].values()) + 1e-9) for x, v in values[i].items()} for i in own}
+    share = {c: len(fit) / (2 * sum(y[i] == c for i in fit)) for c in (0, 1)}
+    w, bias, alpha, rng = {}, 0.0, dict.fromkeys(fit, 0.0), np.random.default_rng(3)
+    for _ in range(12):
+        moved = 0.0
+        for k in rng.permutation(len(fit)):
+            i = fit[k]
+            sign = 1 if y[i] else -1
+            slack = sign * (sum(w.get(x, 0) * v for x, v in unit[i].items()) + bias) - 1
+            new = min(max(alpha[i] - slack / (sum(v * v for v in unit[i].values()) + 1), 0), share[y[i]])
+            d = (new - alpha[i]) * sign
+            for x, v in unit[i].items():
+                w[x] = w.get(x, 0) + d * v
+            bias, alpha[i], moved = bias + d, new, max(moved, abs(d))
+        if moved < 1e-3:
+            break
+    margin = {i: sum(w.get(x, 0) * v for x, v in unit[i].items()) + bias for i in own}
+    labelled = [i for i, _, label in docs if label is not None and crc(i) % 4 != 2]
+    weight = {c: sum(y[i] == c for i in labelled) / sum(y[i] == c for i in used) for c in (0, 1)}
+    n = [sum(y[i] == c for i in apart) for c in (0, 1)]
+    aim = {1: 1 - 1 / (n[1] + 2), 0: 1 / (n[0] + 2)}
+    a, b = 1.0, 0.0
+    for _ in range(40_000):
+        z = {i: 1 / (1 + np.exp(-(a * margin[i] + b))) for i in apart}
+        da = sum(weight[y[i]] * (aim[y[i]] - z[i]) * margin[i] for i in apart) - 1e-3 * a
+        db = sum(weight[y[i]] * (aim[y[i]] - z[i]) for i in apart) - 1e-3 * b
+        a, b = a + 0.1 * da, b + 0.1 * db
+        if abs(da) + abs(db) < 1e-7:
+            break
+    for i in own:
+        assert abs(got[i] - 1 / (1 + np.exp(-(a * margin[i] + b)))) < 1e-3
+    assert len({round(x, 3) for x in got.values()}) > 60
