@@ -133,6 +133,33 @@ def test_suppressed(spark, tmp_path, rocks):
     assert want != plain and rows(got.filter("order_key != -1"), names) == want
 
 
+def test_two_sinks_of_one_pass(spark, tmp_path, rocks):
+    """Divergences and gaps in folders of their own; the last batch is run again and leaves no row twice."""
+    events = queries.events(spark, DATA, True).filter("session_id = 1 and order_key < 700").cache()
+    arrivals = events.withColumn("arrival", F.col("ingest_ns"))
+    gaps = sequence.timed_gap_intervals(sequence.classify(arrivals.select("source", "session_id", "seq", "arrival"), orders.BLOCK_NS), F.col("arrival"), block=orders.BLOCK_NS)
+    names = [x.split()[0] for x in processors.DIVERGENCES.split(", ")]
+    ends = [x.split()[0] for x in processors.CLOSED.split(", ")]
+    want = rows(orders.two_stage(marked_views(events)).filter("emitted"), names), rows(gaps, ends)
+    at = str(tmp_path / "in")
+    for part in in_thirds(spark, events):
+        part.coalesce(1).write.mode("append").parquet(at)
+        time.sleep(0.02)
+
+    def run():
+        source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(at)
+        query = sessions.to_parquet(sessions.both(source), str(tmp_path / "divergences"), str(tmp_path / "gaps"), str(tmp_path / "checkpoint"))
+        query.awaitTermination()
+        found = [spark.read.parquet(str(tmp_path / x)) for x in ("divergences", "gaps")]
+        return rows(found[0].filter("order_key != -1"), names), rows(found[1], ends)
+
+    assert run() == want and all(want)
+    commits = sorted((tmp_path / "checkpoint" / "commits").glob("[0-9]*"), key=lambda x: int(x.name))
+    for x in (commits[-1], commits[-1].with_name(f".{commits[-1].name}.crc")):
+        x.unlink(missing_ok=True)
+    assert run() == want
+
+
 class Store(dict):
     def put(self, key, text):
         self[key] = text

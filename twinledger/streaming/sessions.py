@@ -10,6 +10,8 @@ State: a value of the session (trackers, held events, deadlines of the next grac
 of which a batch reads and writes only the orders that it touches. Both are JSON texts. One timer wakes a session for what is
 due next. The state store must be RocksDB's. A session is one task's.
 
+One pass gives both of a session's outputs, divergences and gaps as they end, as rows of two kinds; `to_parquet` parts them.
+
 Control rows: CLOSE ends the open gap of its source's tracker, if any, after all at its time; RESET ends the day: after it
 the session begins anew, without orders, trackers and deadlines.
 """
@@ -24,18 +26,21 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..config import MS, ReconConfig
-from ..operators.sequence import FOREVER
-from ..schema import GAP, GAP_FILL
-from .processors import DIVERGENCES, EVENT, Order, _anomaly, _frame, _plain
+from ..operators.sequence import CLOSED_BY_HAND, EXTENSION_TIMEOUT, FILLED as BY_FILL, FOREVER, OPEN_TIMEOUT
+from ..schema import GAP
+from .processors import CLOSED, DIVERGENCES, EVENT, Order, _anomaly, _frame, _plain
 
 CLOSE, RESET = 0, 1
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: A session's event, as it is held: an order's event, then the order, its number, and what it controls (null: nothing).
 HELD = [*EVENT, "order_key", "seq", "control"]
 ORDER_KEY, SEQ, CONTROL = 8, 9, 10
+#: Rows of both outputs: those of the kind DIVERGENCE have the columns of DIVERGENCES, those of the kind GAP_END the rest.
+DIVERGENCE, GAP_END = 0, 1
+BOTH = "session_id int, what int, " + DIVERGENCES + ", source int, epoch long, start_seq long, end_seq long, opened_ns long, closed_ns long, filled_by long, reason int"
 
 
 class Session:
@@ -43,6 +48,7 @@ class Session:
 
     def __init__(self, config: ReconConfig, orders: Any, kept: dict[str, Any] | None = None, keep_ns: int | None = None):
         self.config, self.store, self.keep_ns, self.open = config, orders, keep_ns, {}
+        self.gaps: list[list] = []  # source, epoch and the rest of CLOSED of the gaps that have ended
         self.kept = kept or {"trackers": [self._tracker(), self._tracker()], "held": [], "due": []}
 
     @staticmethod
@@ -77,8 +83,10 @@ class Session:
         if order.kept["waiting"]:
             holds[0]["waiting"].append(key)
 
-    def _end(self, tracker: dict[str, Any], until: int) -> None:
-        """A gap has ended, and was open up to `until`."""
+    def _end(self, source: int, at: int, until: int, by: int | None, reason: int) -> None:
+        """The source's gap has ended, and was open up to `until`."""
+        tracker = self.kept["trackers"][source]
+        self.gaps.append([source, tracker["epoch"], *tracker["gap"], tracker["opened"], at, by, reason])
         tracker["ended"], tracker["gap"], tracker["limit"] = [tracker["epoch"], until], None, None
         waiting, tracker["waiting"] = tracker["waiting"], []
         for key in waiting:
@@ -103,9 +111,9 @@ class Session:
                     tracker["gap"][1] = seq
                 else:
                     tracker["gap"], tracker["epoch"], tracker["opened"] = [expected, seq], tracker["epoch"] + 1, at
-                tracker["limit"] = min(at + self.config.gap_close_ns, tracker["opened"] + self.config.gap_timeout_ns)
+                tracker["limit"] = min([at + self.config.gap_close_ns, EXTENSION_TIMEOUT], [tracker["opened"] + self.config.gap_timeout_ns, OPEN_TIMEOUT])
             elif tracker["gap"] and tracker["gap"][0] <= seq < tracker["gap"][1]:
-                self._end(tracker, at - 1)
+                self._end(source, at, at - 1, seq, BY_FILL)
 
     def _event(self, event: list) -> Iterator[list]:
         key, at = event[ORDER_KEY], event[0]
@@ -140,7 +148,7 @@ class Session:
             trackers, due = self.kept["trackers"], self.kept["due"]
             times = [events[i][0]] if i < len(events) else []
             times += [due[0][0]] if due else []
-            times += [t["limit"] for t in trackers if t["limit"] is not None]
+            times += [t["limit"][0] for t in trackers if t["limit"]]
             at = min(times, default=None)
             if at is None or at > through:
                 break
@@ -156,16 +164,16 @@ class Session:
                 out += self._event(e)
             while due and due[0][0] <= at:
                 out += self._deadline(heapq.heappop(due)[1], at)
-            for t in trackers:
-                if t["limit"] is not None and t["limit"] <= at:
-                    self._end(t, at)
+            for source, t in enumerate(trackers):
+                if t["limit"] and t["limit"][0] <= at:
+                    self._end(source, at, at, None, t["limit"][1])
             for e in now[len(own) :]:
                 if e[CONTROL] == RESET:
                     self.store.clear()
                     self.open = {}
                     self.kept = {"trackers": [self._tracker(), self._tracker()], "held": [], "due": []}
                 elif trackers[e[1]]["gap"]:
-                    self._end(trackers[e[1]], at)
+                    self._end(e[1], at, at, None, CLOSED_BY_HAND)
         self.kept["held"] = events[i:]
         for key, order in self.open.items():
             order.keep()
@@ -177,7 +185,7 @@ class Session:
         return not self.kept["held"] and not self.kept["due"] and all(t["last"] is None for t in self.kept["trackers"])
 
     def next_ns(self) -> int | None:
-        times = [e[0] for e in self.kept["held"][:1]] + [d[0] for d in self.kept["due"][:1]] + [t["limit"] for t in self.kept["trackers"] if t["limit"] is not None]
+        times = [e[0] for e in self.kept["held"][:1]] + [d[0] for d in self.kept["due"][:1]] + [t["limit"][0] for t in self.kept["trackers"] if t["limit"]]
         return min(times, default=None)
 
 
@@ -210,7 +218,7 @@ class _Processor(StatefulProcessor):
         self.session = handle.getValueState("session", "kept string")
         self.orders = handle.getMapState("orders", "order_key long", "kept string")
 
-    def _advance(self, new: list[list], mark: int) -> Iterator[pd.DataFrame]:
+    def _advance(self, key: int, new: list[list], mark: int) -> Iterator[pd.DataFrame]:
         mark = max(0, mark)
         kept = json.loads(self.session.get()[0]) if self.session.exists() else None
         session = Session(self.config, _Orders(self.orders), kept, self.keep_ns)
@@ -221,22 +229,22 @@ class _Processor(StatefulProcessor):
             self.session.update((json.dumps(session.kept),))
         if (wake := session.next_ns()) is not None:
             self.handle.registerTimer(max(wake // MS, mark + 1))
-        if out:
-            yield _frame(out, DIVERGENCES)
+        rows = [[DIVERGENCE, *x, *[None] * 8] for x in out] + [[GAP_END, *[None] * 10, *x] for x in session.gaps]
+        if rows:
+            yield _frame([[key, *x] for x in rows], BOTH)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        yield from self._advance([e for frame in rows for e in _plain(frame[HELD])], timerValues.getCurrentWatermarkInMs())
+        yield from self._advance(key[0], [e for frame in rows for e in _plain(frame[HELD])], timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._advance([], timerValues.getCurrentWatermarkInMs())
+        yield from self._advance(key[0], [], timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
 
 
-def two_stage_suppressed(events: DataFrame, config: ReconConfig = ReconConfig(), delay: str = "1 second", keep_ns: int | None = None) -> DataFrame:
-    """DIVERGENCES that batch two-stage reconciliation emits where gaps make orders uncertain, each as soon as the watermark
-    has passed it.
+def both(events: DataFrame, config: ReconConfig = ReconConfig(), delay: str = "1 second", keep_ns: int | None = None) -> DataFrame:
+    """BOTH: what `two_stage_suppressed` gives, and the gaps that have ended, each as soon as the watermark has passed it.
 
     events: as for `processors.two_stage`, with session_id and seq, and with control rows if they have a column `control`. An
     order idle for keep_ns with nothing waiting is forgotten (None: never).
@@ -247,4 +255,27 @@ def two_stage_suppressed(events: DataFrame, config: ReconConfig = ReconConfig(),
     control = F.col("control").cast("int") if "control" in events.columns else F.lit(None).cast("int").alias("control")
     timed = events.select("session_id", *EVENT[:-1], ts, "order_key", "seq", control, F.timestamp_micros(F.expr("ingest_ns div 1000")).alias("event_ts"))
     grouped = timed.withWatermark("event_ts", delay).groupBy("session_id")
-    return grouped.transformWithStateInPandas(_Processor(config, keep_ns), DIVERGENCES, "Append", "EventTime")
+    return grouped.transformWithStateInPandas(_Processor(config, keep_ns), BOTH, "Append", "EventTime")
+
+
+def _of(rows: DataFrame, what: int) -> DataFrame:
+    names = [x.split()[0] for x in (DIVERGENCES if what == DIVERGENCE else CLOSED).split(", ")]
+    return rows.filter(F.col("what") == what).select(*names)
+
+
+def two_stage_suppressed(events: DataFrame, config: ReconConfig = ReconConfig(), delay: str = "1 second", keep_ns: int | None = None) -> DataFrame:
+    """DIVERGENCES that batch two-stage reconciliation emits where gaps make orders uncertain. See `both`."""
+    return _of(both(events, config, delay, keep_ns), DIVERGENCE)
+
+
+def to_parquet(rows: DataFrame, divergences: str, gaps: str, checkpoint: str, **trigger: Any) -> StreamingQuery:
+    """Starts the query that writes a stream of BOTH to two Parquet folders, in one pass. A batch that is run again, as after a
+    failure, takes the place of its own rows: each has a folder of its number (column batch)."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        for what, path in ((DIVERGENCE, divergences), (GAP_END, gaps)):
+            _of(batch, what).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.unpersist()
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
