@@ -180,27 +180,34 @@ def feed_of(r, n, sources=2):
     return out
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(6))
 def test_sessions_in_any_batches(spark, seed):
-    """The fold of a session equals the batch form, all at once and a few at a time, its state cut and read again."""
+    """The fold of a session equals the batch form, divergences and gaps, all at once and a few at a time, its state cut and
+    read again; half of the feeds have gaps closed by hand."""
     r = random.Random(seed)
     config = ReconConfig(grace_ns=20, dedup_ns=15, gap_close_ns=60, gap_timeout_ns=150, gap_recheck_ns=7)
     events = feed_of(r, 160)
+    hands = sorted({(r.choice(events)[0], r.randrange(2)) for _ in range(12)}) if seed % 2 else []
+    control = [[t, source, 0, 0, 0, 0, None, t, -5, 0, sessions.CLOSE] for t, source in hands]
     whole = sessions.Session(config, Store())
-    want = whole.advance(events, 100_000)
-    store, kept, got = Store(), None, []
+    want = whole.advance(events + control, 100_000)
+    store, kept, got, ends = Store(), None, [], []
     times = sorted({e[0] for e in events})
     for a, b in zip([-1, *times[9::10]], [*times[9::10], times[-1]], strict=True):
         part = sessions.Session(config, store, kept)
-        batch = [e for e in events if a < e[0] <= b]
+        batch = [e for e in events + control if a < e[0] <= b]
         got += part.advance(r.sample(batch, len(batch)), b - r.randrange(3))
-        kept = json.loads(json.dumps(part.kept))
-    got += sessions.Session(config, store, kept).advance([], 100_000)
-    assert got == want and len(want) > 20
+        kept, ends = json.loads(json.dumps(part.kept)), ends + part.gaps
+    last = sessions.Session(config, store, kept)
+    got += last.advance([], 100_000)
+    assert got == want and len(want) > 20 and ends + last.gaps == whole.gaps
     schema = "session_id int, ingest_ns long, source int, r int, ord_status int, cum_qty long, price_micro long, exec_id string, transact_time long, order_key long, seq long"
     table = spark.createDataFrame([(0, *e[:-1]) for e in events], schema)
     arrivals = table.withColumn("arrival", F.col("ingest_ns"))
-    gaps = sequence.timed_gap_intervals(sequence.classify(arrivals.select("source", "session_id", "seq", "arrival")), F.col("arrival"), config)
+    closings = spark.createDataFrame([(source, 0, t) for t, source in hands], "source int, session_id int, arrival long") if hands else None
+    gaps = sequence.timed_gap_intervals(sequence.classify(arrivals.select("source", "session_id", "seq", "arrival")), F.col("arrival"), config, closings)
+    ended = gaps.select("source", "epoch", "start_seq", "end_seq", "opened_ns", "closed_ns", "filled_by", "reason")
+    assert sorted(map(str, map(list, ended.collect()))) == sorted(map(str, whole.gaps)) and (not hands or any(x[-1] == sequence.CLOSED_BY_HAND for x in whole.gaps))
     view = orders.views(orders.lifecycle(sequence.uncertain(arrivals, gaps).drop("arrival")))
     names = [x.split()[0] for x in processors.DIVERGENCES.split(", ")]
     batch = rows(orders.two_stage(view, config).filter("emitted"), names)

@@ -30,7 +30,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from ..config import MS, ReconConfig
 from ..operators.sequence import CLOSED_BY_HAND, EXTENSION_TIMEOUT, FILLED as BY_FILL, FOREVER, OPEN_TIMEOUT
-from ..schema import GAP
+from ..schema import GAP, OUT_OF_ORDER
 from .processors import CLOSED, DIVERGENCES, EVENT, Order, _anomaly, _frame, _plain
 
 CLOSE, RESET = 0, 1
@@ -102,7 +102,7 @@ class Session:
         state = {"last": tracker["last"], "gap": None}
         for seq in sorted(numbers):
             expected, kind = _anomaly(state, seq)
-            if kind is not None:
+            if kind in (GAP, OUT_OF_ORDER):
                 found.append((kind, seq, expected))
         tracker["last"] = state["last"]
         for kind, seq, expected in sorted(found):
