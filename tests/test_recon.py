@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from twinledger.config import MS, ReconConfig
 from twinledger.functions.keys import order_key
-from twinledger.operators import orders, sequence
+from twinledger.operators import machine, orders, sequence
 from twinledger.plans import oracle, queries
 from twinledger.schema import may_follow
 from twinledger.sources import fix, wire
@@ -176,7 +176,7 @@ def random_events(n, seed, orders_=1):
     return [(r.randrange(orders_), r.randrange(2), i, status(), r.choice([1, 2]), 5, t * MS, t * MS, r.choice("ab"), r.choice([None, None, None, (t + 40) * MS])) for i, t in enumerate(sorted(r.sample(range(20 * n), n)))]
 
 
-@pytest.mark.parametrize("seed", range(1))
+@pytest.mark.parametrize("seed", range(2))
 def test_hot_order(spark, seed):
     """An order with nine tenths of all events is taken in parts by several tasks; results are the same."""
     rows = [(0, *x[1:]) if i % 10 else (1 + x[0], *x[1:]) for i, x in enumerate(random_events(600, seed, 3))]
@@ -256,6 +256,67 @@ def test_machine_against_a_plain_one():
         assert (got, machine.n, machine.state) == (wanted, n, state)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_blocks_of_an_order_compose(seed):
+    """What a block makes of every state before it is what the machine comes to from there, and so over many blocks."""
+    r = random.Random(seed)
+    for _ in range(150):
+        config = ReconConfig(grace_ns=r.choice([3, 5, 20, 60]), gap_recheck_ns=r.choice([1, 4, 7, 25]))
+        events, at, until = [], 0, None
+        agrees, gap, apart = r.choice([0.1, 0.5, 0.9]), r.choice([0, 0.2, 0.6]), r.choice([2, 9, 30])
+        for _ in range(r.randrange(1, 40)):
+            at += r.randrange(apart + 1)
+            if r.random() < gap:
+                until = max(until or 0, at + r.randrange(50))
+            events.append((at, r.random() < 0.97, 0 if r.random() < agrees else r.choice([1, 2]), until))
+        first = events[0][0]
+        made = machine.Ways(config, first)
+        for e in events:
+            made.take(*e)
+        starts = [(4, None), (5, None)] + [(3, first + i) for i in range(config.grace_ns + 1)] + [(6, first + i) for i in range(config.gap_recheck_ns)]
+        for state, deadline in starts:
+            plain = machine.Machine(config, state, deadline, 1, first)
+            if state == 6 and until is None:
+                plain.until = first - 1
+            for i, e in enumerate(events):
+                if i:
+                    plain.timer(e[0] - 1)
+                if e[3] is None or i == 0:
+                    plain.until = e[3] if e[3] is not None else (first - 1 if state == 6 else None)
+                plain.event(*e)
+            assert machine.after_block(state, deadline, made.ends(), config.gap_recheck_ns) == (plain.state, plain.deadline)
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+def test_hot_order_that_never_agrees(spark, gaps):
+    """One segment with nine tenths of all events is gone through in blocks, by several tasks."""
+    r = random.Random(5)
+    statuses = [(0, 8, 5), (1, 8, 6)]  # quantities that differ throughout
+    rows = [(0, s, i, st, q, 5, i * 9 * MS, i * 9 * MS, "a", (i * 9 + r.randrange(60)) * MS if gaps and i % 40 < 12 else None) for i in range(450) for s, st, q in [statuses[i % 2]]]
+    rows += [(1 + x[0], *x[1:]) for x in random_events(50, 5, 3)]
+    events = spark.createDataFrame(rows, EVENTS + ", until_ns long").repartition(4)
+    config = ReconConfig(grace_ns=30 * MS, dedup_ns=200 * MS, gap_recheck_ns=7 * MS)
+    view = lambda e: orders.views(orders.lifecycle(e))
+    whole, split = view(events), view(orders.parted(events, hot=100, block_ns=500 * MS)).cache()
+    parts = orders.reconciled(split, config, 16)
+    names = [c for c in parts.columns if c not in ("part", "segment", "state", *orders.COUNTERS)]
+    rows_of = lambda d: sorted(map(str, d.filter("mask is not null").select(names).collect()))
+    plain = orders.reconciled(whole, config)
+    assert rows_of(parts) == rows_of(plain)
+    totals = lambda d: d.agg(*[F.sum(c).alias(c) for c in orders.COUNTERS]).first().asDict()
+    assert totals(parts) == totals(plain)
+    states = lambda d: sorted(map(tuple, d.filter("state is not null").groupBy("order_key").agg(F.max_by("state", "segment")).collect()))
+    assert states(parts) == states(plain)
+    assert parts.filter("order_key = 0 and mask is null").groupBy("segment").count().agg(F.max("count")).first()[0] > 20
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merging, False)
+    try:
+        tasks = orders.reconciled(split, config, 16).filter("order_key = 0").select(F.spark_partition_id()).distinct().count()
+    finally:
+        spark.conf.unset(merging)
+    assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_hot_tracker(spark):
     """A tracker with nine tenths of all arrivals, in blocks of 16."""
     r = random.Random(3)

@@ -14,11 +14,12 @@ from pyspark.sql.types import BooleanType
 
 from ..config import MS, ReconConfig
 from ..schema import (
-    DIVERGED_CONFIRMED, DROPCOPY, FILLED, FOLLOW_BITS, IN_GRACE, M_AVG_PX, M_CUM_QTY, M_EXEC_ID, M_EXISTENCE, M_STATUS, MATCHED, MISSING_DROPCOPY, MISSING_FILL, NEW, PARTIALLY_FILLED,
-    PENDING_NEW, PHANTOM_ORDER, PRIMARY, QUANTITY_MISMATCH, R_UNKNOWN, RECON_NAMES, STATE_MISMATCH, SUPPRESSED_BY_GAP, TERMINAL_STATES, TERMINAL_STATUSES, TIMING_ANOMALY, UNKNOWN, WORKING,
+    DIVERGED_CONFIRMED, DROPCOPY, FILLED, FOLLOW_BITS, M_AVG_PX, M_CUM_QTY, M_EXEC_ID, M_EXISTENCE, M_STATUS, MATCHED, MISSING_DROPCOPY, MISSING_FILL, NEW, PARTIALLY_FILLED,
+    PENDING_NEW, PHANTOM_ORDER, PRIMARY, QUANTITY_MISMATCH, R_UNKNOWN, RECON_NAMES, STATE_MISMATCH, TERMINAL_STATES, TERMINAL_STATUSES, TIMING_ANOMALY, UNKNOWN, WORKING,
 )
 from ..schema import may_follow as may_follow_code
 from ..storage import written
+from .machine import COUNTERS, Machine, Ways, after_block
 from .running import folded, in_blocks, running
 from .sequence import FOREVER
 
@@ -352,128 +353,137 @@ def immediate(viewed: DataFrame, config: ReconConfig = ReconConfig()) -> DataFra
     return at_once.unionByName(deduplicated(invalid, config.dedup_ns).filter("emitted").drop("emitted", *part))
 
 
-COUNTERS = ("mismatch_observed", "mismatch_confirmed", "false_positive_avoided", "orders_matched", "divergence_resolved", "gap_suppressions")
+SIX = [f"{s}_{c}" for s in "pd" for c in SIDE[:3]]
+STEPS = "order_key long, segment long, detect_ns long, mask int, p_status int, p_cum_qty long, p_avg_px long, d_status int, d_cum_qty long, d_avg_px long, state int, " + ", ".join(f"{c} long" for c in COUNTERS)
+
+
+#: Events of a hot order that a task takes through the machine at once.
+EVENTS = 4_096
+WAYS = "order_key long, segment long, block long, first long, last long, mask int, until long, was boolean, ends array<long>"
+BEGINNINGS = "order_key long, segment long, block long, s_state int, s_deadline long, s_mask int, s_until long, next_ns long"
+
 
+def _batch(rows: list, schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
+    fields = [x.split() for x in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
-class Machine:
-    """The state of one order's reconciliation, and what its events and timers do to it.
 
-    An event or timer gives the mask of the divergence that is to be emitted, or None. until: the last time at which a gap
-    that was open at one of its events is open; a mismatch is not confirmed before.
+def _beginnings(rows: DataFrame, config: ReconConfig) -> DataFrame:
+    """BEGINNINGS: the machine's state before each block of a segment, its timers gone through up to the first event, and
+    when the next block begins (null: none does), of rows (order_key, segment, block, ingest_ns, accepted, mask, until_ns, was).
+
+    Each block is reduced to what it makes of any state; one row a block is then carried along its segment.
     """
 
-    __slots__ = ("config", "state", "mask", "deadline", "until", "n")
-
-    def __init__(self, config: ReconConfig, state: int = R_UNKNOWN):
-        self.config, self.state, self.mask, self.deadline, self.until, self.n = config, state, 0, None, None, [0] * len(COUNTERS)
-
-    def _to(self, state: int, *counted: int, deadline: int | None = None) -> None:
-        self.state, self.deadline = state, deadline
-        for i in counted:
-            self.n[i] += 1
-
-    def event(self, at: int, accepted: bool, mask: int, until: int | None = None) -> int | None:
-        if until is not None and (self.until is None or until > self.until):
-            self.until = until
-        if not accepted:
-            self._to(DIVERGED_CONFIRMED, 1)
-            return M_STATUS
-        self.mask, state = mask, self.state
-        if state == IN_GRACE:
-            if not mask:
-                self._to(MATCHED, 2, 3)
-        elif state == DIVERGED_CONFIRMED:
-            if not mask:
-                self._to(MATCHED, 4)
-        elif state == SUPPRESSED_BY_GAP and self.until >= at:
-            pass
-        elif mask:
-            self._to(IN_GRACE, 0, deadline=at + self.config.grace_ns)
-        elif state != MATCHED:
-            self._to(MATCHED, 3)
-        return None
-
-    def timer(self, through: int) -> tuple[int, int] | None:
-        """What the timer does at or before `through`: (time, mask) if a mismatch is confirmed."""
-        while self.deadline is not None and self.deadline <= through:
-            at = self.deadline
-            if not self.mask:
-                self._to(MATCHED, 2, 3)
-            elif self.until is not None and self.until >= at:
-                period = self.config.gap_recheck_ns
-                checks = (min(self.until, through) - at) // period + 1
-                self._to(SUPPRESSED_BY_GAP, deadline=at + checks * period)
-                self.n[5] += checks
-            else:
-                self._to(DIVERGED_CONFIRMED, 1)
-                return at, self.mask
-        return None
+    def ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, made, row, out = None, None, None, []
 
+        def done() -> tuple:
+            return (*here, row[0], *made.last, row[4], [x for e in made.ends() for x in e])
 
-SIX = [f"{s}_{c}" for s in "pd" for c in SIDE[:3]]
-STEPS = "order_key long, segment long, detect_ns long, mask int, p_status int, p_cum_qty long, p_avg_px long, d_status int, d_cum_qty long, d_avg_px long, state int, " + ", ".join(f"{c} long" for c in COUNTERS)
+        for b in batches:
+            for key, segment, block, *now in zip(*(c.to_pylist() for c in b.columns[:8]), strict=True):
+                if (key, segment, block) != here:
+                    out += [done()] if here else []
+                    here, made, row = (key, segment, block), Ways(config, now[0]), now
+                made.take(*now[:4])
+            yield _batch(out, WAYS)
+            out = []
+        yield _batch([done()] if here else [], WAYS)
+
+    def carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, before, at = None, None, None  # before: the row of the block before, but for when this one begins
+        for b in batches:
+            out = []
+            for key, segment, block, first, last, mask, until, was, ends in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                same = (key, segment) == here
+                if before:
+                    out.append((*before, first if same else None))
+                if same:
+                    machine = Machine(config, *at)
+                    machine.timer(first - 1)
+                    at = machine.state, machine.deadline, *at[2:]
+                else:
+                    here, at = (key, segment), (R_UNKNOWN if not segment else MATCHED if was else DIVERGED_CONFIRMED, None, 0, None)
+                before = (key, segment, block, *at)
+                at = *after_block(*at[:2], zip(*[iter(ends)] * 6, strict=True), config.gap_recheck_ns), mask, until
+            yield _batch(out, BEGINNINGS)
+        yield _batch([(*before, None)] if before else [], BEGINNINGS)
+
+    each = folded(rows, ["order_key", "segment", "block"], list(ORDER), ways, WAYS)
+    return folded(each, ["order_key", "segment"], ["block"], carried, BEGINNINGS)
 
 
-def reconciled(viewed: DataFrame, config: ReconConfig = ReconConfig()) -> DataFrame:
+def reconciled(viewed: DataFrame, config: ReconConfig = ReconConfig(), block: int = EVENTS) -> DataFrame:
     """STEPS, and part if orders have parts: in rows with a mask, divergences to emit as the order was then; in rows with a
     state, an order's state after all events of a segment; in those with neither, counters of some events.
 
     One sorted pass over the events, in memory for one order. Orders that have parts fall into segments that don't depend
     on one another: one ends with an event that is rejected, or after which the views agree, unless a gap that made an
-    event uncertain is still open.
+    event uncertain is still open. Hot orders' segments fall into blocks of so many events, each of which begins in the
+    state to which the blocks before it lead (see `_beginnings`), so that many tasks share one that never ends.
     """
-    mask = mismatch(config.qty_tolerance, config.px_tolerance, config.compare_exec_id)
+    mask, parts = mismatch(config.qty_tolerance, config.px_tolerance, config.compare_exec_id), "part" in viewed.columns
     rows = viewed.withColumn("mask", mask)
     agree = F.col("accepted") & (F.col("mask") == 0)
     if "until_ns" in viewed.columns:
         agree = agree & F.coalesce(F.col("open_ns") < F.col("ingest_ns"), F.lit(True))
+        # what a gap held up before a segment's first event holds it up in the segment
+        rows = rows.withColumn("until_ns", F.col("open_ns")) if parts else rows
     else:
         rows = rows.withColumn("until_ns", F.lit(None).cast("long"))
-    if "part" in viewed.columns:
-        rows = rows.withColumn("ends", (agree | ~F.col("accepted")).cast("int"))
-        rows = running(rows, ["order_key"], list(ORDER), {"segment": ("sum", F.col("ends")), "was": ("last", F.col("accepted"))}, _part(rows), inclusive=False)
+    none = F.lit(None).cast("long")
+    if parts:
+        rows = rows.withColumns({"ends": (agree | ~F.col("accepted")).cast("int"), "one": F.lit(1)})
+        along = {"segment": ("sum", F.col("ends")), "was": ("last", F.col("accepted")), "place": ("sum", F.col("one"))}
+        rows = running(rows, ["order_key"], list(ORDER), along, _part(rows), inclusive=False)
+        rows = rows.withColumn("block", F.when(F.col("part") == ORDINARY, 0).otherwise(F.expr(f"place div {block}")).cast("long"))
     else:  # an order is one task's, whole
-        rows = rows.withColumns({"segment": F.lit(0), "was": F.lit(True)})
-    rows = rows.select("order_key", F.col("segment").cast("long").alias("segment"), "ingest_ns", "accepted", "mask", "until_ns", "was", *SIX, "source", "r")
+        rows = rows.withColumns({"segment": F.lit(0), "was": F.lit(True), "block": F.lit(0).cast("long")})
+    keys = ["order_key", "segment", "block"]
+    rows = rows.select("order_key", F.col("segment").cast("long").alias("segment"), "block", "ingest_ns", "accepted", "mask", "until_ns", "was", *SIX, "source", "r", *["part"] * parts)
+    if parts:
+        rows = written(rows, "segments")
+        hot = rows.filter(F.col("part") != ORDINARY).select(*keys, "ingest_ns", "accepted", "mask", "until_ns", "was", "source", "r")
+        rows = rows.drop("part").join(_beginnings(hot, config), keys, "left")
+    else:
+        rows = rows.withColumns({"s_state": none.cast("int"), "s_deadline": none, "s_mask": none.cast("int"), "s_until": none, "next_ns": none})
+    rows = rows.select(*keys, "ingest_ns", "accepted", "mask", "until_ns", "was", "s_state", "s_deadline", "s_mask", "s_until", "next_ns", *SIX, "source", "r")
     end = FOREVER if config.horizon_ns is None else config.horizon_ns - 1
-    names = [x.split()[0] for x in STEPS.split(", ")]
-    kinds = [pa.int32() if x.endswith(" int") else pa.int64() for x in STEPS.split(", ")]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, machine, sides, out, total, blank = None, None, None, [], [0] * len(COUNTERS), [0] * len(COUNTERS)
+        here, then, machine, sides, out, blank = None, None, None, None, [], [0] * len(COUNTERS)
 
         def emit(ns: int, mask: int) -> None:
-            out.append((*here, ns, mask, *sides, None, *blank))
+            out.append((*here[:2], ns, mask, *sides, None, *blank))
 
         def finish() -> None:
             if machine:
-                if found := machine.timer(end):
+                if found := machine.timer(end if then is None else then - 1):
                     emit(*found)
-                out.append((*here, None, None, *sides, machine.state, *machine.n))
-
-        def batch() -> pa.RecordBatch:
-            columns = zip(*out, strict=True) if out else [()] * len(names)
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+                out.append((*here[:2], None, None, *sides, machine.state if then is None else None, *machine.n))
 
         for b in batches:
-            columns = [c.to_pylist() for c in b.columns[:13]]
-            for key, segment, ns, accepted, mask, until, was, *now in zip(*columns, strict=True):
-                if (key, segment) != here:
+            for key, segment, block, ns, accepted, mask, until, was, state, deadline, held, open_to, next_ns, *now in zip(*(c.to_pylist() for c in b.columns[:19]), strict=True):
+                if (key, segment, block) != here:
                     finish()
-                    here, machine = (key, segment), Machine(config, R_UNKNOWN if not segment else MATCHED if was else DIVERGED_CONFIRMED)
+                    here, then = (key, segment, block), next_ns
+                    machine = Machine(config, R_UNKNOWN if not segment else MATCHED if was else DIVERGED_CONFIRMED) if state is None else Machine(config, state, deadline, held, open_to)
                 elif machine.deadline is not None and machine.deadline < ns and (found := machine.timer(ns - 1)):
                     emit(*found)
                 sides = now
                 if (found := machine.event(ns, accepted, mask, until)) is not None:
                     emit(ns, found)
-            yield batch()
+            yield _batch(out, STEPS)
             out = []
         finish()
-        yield batch()
+        yield _batch(out, STEPS)
 
     # without parts, the views' windows have put each order into one task
-    out = folded(rows, ["order_key", "segment"], list(ORDER), fold, STEPS, together="part" not in viewed.columns)
-    return out.withColumn("part", F.lit(0)) if "part" in viewed.columns else out
+    out = folded(rows, keys, list(ORDER), fold, STEPS, together=not parts)
+    return out.withColumn("part", F.lit(0)) if parts else out
 
 
 def two_stage(viewed: DataFrame, config: ReconConfig = ReconConfig()) -> DataFrame:
