@@ -8,10 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinledger.config import MS, ReconConfig
-from twinledger.operators import orders, sequence
+from twinledger.operators import amendments, orders, sequence
 from twinledger.plans import queries
 from twinledger.sources import wire
-from twinledger.streaming import processors, sessions
+from twinledger.streaming import late, processors, sessions
 
 DATA = "/root/testdata/sf0.001"
 
@@ -88,6 +88,42 @@ def test_late_rows_are_counted(spark, tmp_path):
     assert processors.late_rows(query) == events.count() > 0
 
 
+def test_late_rows_are_applied_afterwards(spark, tmp_path):
+    """A stream drops late events; its rows with the amendments of two runs are those of the batch form, as far as the
+    watermark has come, and a run that is repeated amends nothing twice."""
+    events = queries.events(spark, DATA).filter("order_key > 0 and order_key % 7 = 3").cache()
+    first, second, third, stop = in_thirds(spark, events)
+    is_late = (F.col("source") == 1) & (F.col("r") % 3 == 1)
+    later = is_late & (F.col("order_key") % 2 == 0)
+    parts = [first.filter(~is_late), second.filter(~later), third.unionByName(first.filter(is_late)), stop.unionByName(second.filter(later))]
+    names = [x.split()[0] for x in processors.DIVERGENCES.split(", ")]
+    batch = lambda e: orders.two_stage(orders.views(orders.lifecycle(e))).filter("emitted")
+    at = str(tmp_path / "in")
+    source = lambda: spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(at)
+
+    def step(some):
+        for part in some:
+            part.coalesce(1).write.mode("append").parquet(at)
+            time.sleep(0.05)
+        processors.to_parquet(processors.two_stage(source()), str(tmp_path / "out"), str(tmp_path / "c1")).awaitTermination()
+        late.recorded(source(), str(tmp_path / "record"), str(tmp_path / "c2")).awaitTermination()
+        given = spark.read.parquet(str(tmp_path / "out"))
+        run = lambda: late.amend(spark, str(tmp_path / "record"), given, str(tmp_path / "amended"))
+        once, made = rows(run(), [*names, "change"]), run()
+        assert rows(made, [*names, "change"]) == once
+        return given.filter("order_key != -1"), made.filter("order_key != -1")
+
+    given, made = step(parts[:3])
+    assert spark.read.parquet(str(tmp_path / "record" / "events")).filter("late").count() == first.filter(is_late).count() > 0
+    passed = events.agg(F.max("ingest_ns")).first()[0] // MS * MS - 1000 * MS + 999
+    known = F.col("detect_ns") <= passed
+    assert {r.change for r in made.select("change").distinct().collect()} == {1, -1}
+    assert rows(amendments.net(given, made).filter(known), names) == rows(batch(first.unionByName(parts[1]).unionByName(third)).filter(known), names) != rows(given.filter(known), names)
+    given, made = step(parts[3:])
+    assert made.select("upto").distinct().count() > 1
+    assert rows(amendments.net(given, made), names) == rows(batch(events), names)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_order_in_any_batches(spark, seed):
     """Held events: the fold gives the same whether all come at once or shuffled a few at a time, the watermark behind."""

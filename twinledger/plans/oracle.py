@@ -211,6 +211,7 @@ def oracle_sql() -> dict[str, str]:
     columns = "source, session_id, epoch, start_seq, end_seq, opened, detected, closed, filled_by"
     last = ", ".join(f"arg_max({c}, (ingest_ns, r)) FILTER (accepted) AS {n}" for n, c in _SIDES.items())
     two, short, guarded = _machine(_views()), _machine(_views(), _MS, 15 * _MS, ids=False), _guarded()
+    in_time = _machine(_views(f"{_FEED},\non_time AS (SELECT * FROM e WHERE NOT (order_key % 11 = 3 AND source = 1 AND r % 3 = 1))", "on_time"))
     horizon = 40_000 * _MS
     end = "order_key, detect_ns, type, mask, p_status, p_cum_qty, d_status, d_cum_qty"
     return {
@@ -250,6 +251,9 @@ def oracle_sql() -> dict[str, str]:
         "two_stage_short_grace": f"SELECT mask, type, emitted, count(*) AS n FROM ({_emissions(short)}) GROUP BY ALL",
         "two_stage_suppressed": _emissions(guarded),
         "two_stage_suppressed_counters": _counted(guarded),
+        "late_amendments": f"""SELECT {end}, CAST(sum(change) AS BIGINT) AS change FROM (
+            SELECT {end}, 1 AS change FROM ({_emissions(two)}) WHERE emitted AND order_key % 11 = 3 UNION ALL SELECT {end}, -1 FROM ({_emissions(in_time)}) WHERE emitted AND order_key % 11 = 3)
+            GROUP BY ALL HAVING sum(change) != 0""",
         "recon_states": f"""WITH {_guarded(horizon=horizon)} SELECT state, {_STATES}[state + 1] AS label, state IN (4, 5) AS terminal, count(*) AS n
             FROM (SELECT order_key, arg_max(state, step) AS state FROM h GROUP BY order_key) GROUP BY state""",
         "phantom_orders": f"WITH {_FEED} SELECT DISTINCT order_key FROM e WHERE source = 1 AND order_key NOT IN (SELECT order_key FROM e WHERE source = 0)",

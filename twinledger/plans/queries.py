@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import MS, ReconConfig
 from ..functions.keys import order_key
-from ..operators import orders, sequence
+from ..operators import amendments, orders, sequence
 from ..operators.running import numbered
 from ..schema import DIVERGENCE_NAMES
 from ..sources import feeds, fix, wire
@@ -220,6 +220,17 @@ def two_stage_suppressed_counters(spark, sf_dir):
     return orders.two_stage_counters(guarded(spark, sf_dir))
 
 
+def late_amendments(spark, sf_dir):
+    """What two-stage reconciliation without the drop copy's late events gave in error (change below 0) or left out. Late are
+    its second, fifth, ... events of each eleventh order."""
+    rows = events(spark, sf_dir).withColumn("late", (F.col("order_key") % 11 == 3) & (F.col("source") == 1) & (F.col("r") % 3 == 1))
+    rows = written(rows, "recorded")
+    sizes = _sizes(spark, sf_dir)
+    given = orders.two_stage(orders.views(orders.lifecycle(orders.parted(rows.filter("not late").drop("late"), sizes=sizes)))).filter("emitted")
+    found = amendments.amendments(rows, given, sizes=sizes)
+    return found.select("order_key", "detect_ns", "mask", "type", "p_status", "p_cum_qty", "d_status", "d_cum_qty", "change")
+
+
 def recon_states(spark, sf_dir):
     """Orders by where reconciliation stands at a time within the feed."""
     horizon = ReconConfig(horizon_ns=40_000 * MS)
@@ -289,7 +300,7 @@ def default_keys(spark, sf_dir):
 NAMES = (
     "seq_classify seq_counters gap_intervals gap_timeouts gap_closings gap_closing_counters gap_suppressed_arrivals gap_suppressed_orders order_events event_ordinals source_counters order_keys fix_parse "
     "fix_rejects parse_stats wire_decode wire_rejects lifecycle_state lifecycle_rejects order_views mismatch_mask mismatch_tolerance immediate_divergences immediate_tolerance "
-    "immediate_counters two_stage_divergences two_stage_counters two_stage_short_grace two_stage_suppressed two_stage_suppressed_counters recon_states phantom_orders "
+    "immediate_counters two_stage_divergences two_stage_counters two_stage_short_grace two_stage_suppressed two_stage_suppressed_counters late_amendments recon_states phantom_orders "
     "missing_dropcopy eod_summary order_lookup divergence_range end_to_end default_keys"
 ).split()
 
