@@ -147,6 +147,15 @@ def test_urls(spark):
         assert (r.host, r.path, r.rule) == (host, path, rule) and (verdict is None or r.verdict == verdict) and r.verdict in ("allow", "block")
 
 
+def test_url_rules_of_the_contract(spark):
+    urls = {
+        "http://x.org/a": ("org/", "allow"), "http://www.example.org/es/1": ("example.org/es/", "block"), "http://example.org/en/12": ("example.org/en/1", "block"), "http://example.org/en/2": ("org/", "allow"),
+        "https://a.COM/fr/x?y": ("com/fr/", "allow"), "http://b.com/de/": ("com/de/", "block"),
+    }
+    got = urlfilter.filtered(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert {list(urls)[r.page_id]: (r.rule, r.verdict) for r in got} == urls
+
+
 def test_url_model(spark):
     texts = [("a.org/x", "allow"), ("a.org/y", "allow"), ("b.com/fr/é", "block"), ("c.net", None)]
     grams = [(("\x02" * 3 + t + "\x03")[i : i + 4], v) for t, v in texts for i in range(len(t) + 1)]

@@ -37,7 +37,7 @@ RULES = (
     Rule("allow", "org", "/"),
     Rule("block", "example.org", "/es/"),
     Rule("block", "example.org", "/en/1"),
-    Rule("block", "com", "/fr/"),
+    Rule("allow", "com", "/fr/"),
     Rule("block", "com", "/de/"),
 )
 
