@@ -2,8 +2,10 @@
 
 import builtins
 import random
+import re
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -520,6 +522,41 @@ def test_fix_fields(spark):
     assert (row.exec_type, row.ord_status, row.exec_id, row.clord_id, row.cum_qty, row.at) == (6, 9, "a=b", "X" * 32, 9, 5)
 
 
+def test_fix_batches_as_single_messages(spark):
+    """What numpy makes of a batch of plain and odd messages, against a plain reading of each; plain ones need no pattern."""
+    r, want = random.Random(4), {}
+    values = ["8", "D", "", "1", "-1", "12x", "A", "7", "X" * 40, "é" * 20, "a=b", "1" * 18, "9" * 25, "0", "-", "é", "-007"]
+    texts = ["|".join(f"{r.choice((8, 35, 150, 39, 31, 32, 14, 17, 11, 37, 52, 60, 9999, *('035', '-5', 'x', '')) if r.random() < 0.1 else list(fix.TAGS))}={r.choice(values)}" for _ in range(r.randrange(14))) for _ in range(300)]
+    texts += [None, "", "|", "noise", "35=8|noise|31=1", "|35=8", *("|".join(["35=8", "150=2", "39=2", "17=e", "11=c", "31=5", "32=6", "52=7", *x]) for x in ([], [""], ["14=1", "14=2"], ["31=-4"], ["60=x"], ["11="], ["noise"]))]
+
+    def number(v, signed):
+        whole = v is not None and re.fullmatch(r"-?[0-9]+" if signed else "[0-9]+", v, re.ASCII)
+        x = int(v) if whole else None
+        return None if x is None or not (-(2**63) <= x < 2**63 if signed else x < 2**64) else x - (x >> 63 << 64) if not signed else x
+
+    for i, text in enumerate(texts):
+        last, bad, parts = {}, False, (text or "").split("|")
+        for j, part in enumerate(parts):
+            if "=" not in part:
+                bad |= any("=" in x for x in parts[j + 1 :])
+                continue
+            tag, v = part.split("=", 1)
+            if not re.fullmatch("-?[0-9]+", tag, re.ASCII):
+                bad = True
+                continue
+            name = fix.TAGS.get(int(tag)) if tag[0] != "-" else None
+            bad |= name == "msg_type" and v[:1] != "8" or name in ("exec", "status") and not v or name in fix.NUMBERS and number(v, name in fix.NUMBERS[:3]) is None
+            last[name] = v
+        lacks = not (last.get("clord_id") or last.get("order_id")) or not {"exec", "status", "price", "qty", "exec_id"} <= last.keys() or not {"sending", "transact"} & last.keys()
+        cut = lambda v: v.encode()[:32].decode(errors="replace")
+        want[i] = (2 if bad else 1 if lacks else 0, fix.EXEC_TYPES.get(last.get("exec", "")[:1], 6), fix.STATUSES.get(last.get("status", "")[:1], 6), *(number(last.get(n), n in fix.NUMBERS[:3]) or 0 for n in fix.NUMBERS), *(cut(last.get(n, "")) for n in fix.ID_NAMES))
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, raw string").repartition(3).withColumn("message", fix.pipe_to_soh("raw"))
+    got = {x[0]: tuple(x)[3:] for x in fix.parse(rows).collect()}
+    assert got == want and {x[0] for x in want.values()} == {0, 1, 2}
+    plain = fix.plain_fields(pa.array([fix.SOH + (t or "").replace("|", fix.SOH) for t in texts])).to_pylist()
+    assert all(tuple(p.values())[1:5] == want[i][:4] for i, p in enumerate(plain) if p["plain"]) and sum(p["plain"] for p in plain) > 150
+
+
 def test_fix_times_without_a_sign(spark):
     rows = spark.createDataFrame([(f"35=8|150=2|39=2|17=e|11=c|31=1|32=2|52={2**64 - 1}|60={2**63}|",)], "raw string").withColumn("message", fix.pipe_to_soh("raw"))
     row = fix.parse(rows).first()
