@@ -522,6 +522,52 @@ def test_fix_fields(spark):
     assert (row.exec_type, row.ord_status, row.exec_id, row.clord_id, row.cum_qty, row.at) == (6, 9, "a=b", "X" * 32, 9, 5)
 
 
+def test_sides_with_acceptance_as_by_windows(spark):
+    """Views that come with acceptance, in one pass over each order, are those of the windows, over small batches too; what is
+    reconciled from them is alike, and nothing is shuffled or sorted again for them."""
+    r = random.Random(8)
+    data = [(k, r.randrange(2), i, r.choice((0, 1, 1, 2, 5, 7, 8, 9)), 10, r.choice((1, 2)), r.choice((5, 6)), r.randrange(900) * MS, i, r.choice("ab")) for k in range(40) for i in range(r.randrange(1, 60))]
+    events = spark.createDataFrame(data, "order_key long, source int, r int, ord_status int, qty long, price_micro long, cum_qty long, ingest_ns long, transact_time long, exec_id string")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in ("7", size):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            windows, one_pass = (orders.views(orders.lifecycle(events, sides)) for sides in (False, True))
+            assert plain(one_pass.select(*windows.columns).collect()) == plain(windows.collect())
+            for made in (orders.two_stage, orders.two_stage_counters, orders.recon_states):
+                assert plain(made(one_pass).collect()) == plain(made(windows).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    physical = one_pass._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("Exchange") == 1 and physical.count("Sort ") == 1 and "Window" not in physical
+
+
+def test_tasks_grow_with_the_lines_and_rows_are_shuffled_once(spark):
+    """Lines are dealt over tasks by their number, and what follows along orders needs no further shuffle of events; for
+    suppression, only what numbers an event goes along its session."""
+    before = spark.conf.get(queries.INITIAL, None)
+    try:
+        assert queries._tasks(spark, DATA, 500) == spark.read.parquet(f"{DATA}/lineitem.parquet").count() // 500 > 4
+        assert spark.conf.get(queries.INITIAL) == str(queries._tasks(spark, DATA, 500))
+    finally:
+        spark.conf.unset(queries.INITIAL) if before is None else spark.conf.set(queries.INITIAL, before)
+    lines = spark.read.parquet(f"{DATA}/lineitem.parquet")
+    rows = orders.views(orders.lifecycle(queries.feeds.order_events(lines, False, 9), True, 9))
+    physical = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert physical(rows).count("Exchange") == 1 and "hashpartitioning(order_key#" in physical(rows) and ", 9)" in physical(rows)
+    assert "exec_id" not in physical(queries.marked_keys(spark, DATA))
+    carrying = [x for x in physical(queries.guarded(spark, DATA)).split("\n") if "Exchange hashpartitioning(order_key" in x and "plan_id" in x]
+    assert len(carrying) == 2  # the lines, and the keys of uncertain events
+
+
+def test_written_views_are_dealt_by_order_again(spark):
+    """A table's rows may come back in any split; end_to_end puts each order into one task before its machine runs."""
+    physical = queries.end_to_end(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    branch = physical[physical.index("MapInArrow fold(order_key") :]
+    first = [x for x in branch[branch.index("MapInArrow fold(order_key", 1) :].split("\n") if "Exchange" in x or "FileScan" in x][0]
+    assert "Exchange hashpartitioning(order_key" in first
+
+
 def test_fix_batches_as_single_messages(spark):
     """What numpy makes of a batch of plain and odd messages, against a plain reading of each; plain ones need no pattern."""
     r, want = random.Random(4), {}

@@ -31,7 +31,7 @@ def amendments(history: DataFrame, given: DataFrame, through_ns: int | None = No
     """
     late = history.filter("late").select("order_key").distinct()
     events = history.drop("late").join(late, "order_key", "left_semi")
-    found = orders.two_stage(orders.views(orders.lifecycle(orders.parted(events, sizes=sizes))), config).filter("emitted")
+    found = orders.two_stage(orders.views(orders.lifecycle(orders.parted(events, sizes=sizes), True)), config).filter("emitted")
     given = given.join(late, "order_key", "left_semi")
     if through_ns is not None:
         found, given = (x.filter(F.col("detect_ns") <= through_ns) for x in (found, given))
