@@ -15,7 +15,7 @@ from twinledger.functions.keys import order_key
 from twinledger.operators import machine, orders, sequence
 from twinledger.plans import oracle, queries
 from twinledger.schema import may_follow
-from twinledger.sources import fix, wire
+from twinledger.sources import feeds, fix, wire
 from twinledger.storage import shared_dir
 
 DATA = "/root/testdata/sf0.001"
@@ -442,6 +442,41 @@ def test_wire_ids(spark):
     assert wire.decoded(wire.encoded(rows.limit(0))).count() == 0
 
 
+def test_wire_carried(spark):
+    """Records of which only so many bytes arrive: what is left decodes as it does one step after another."""
+    rows = feeds.order_events(spark.read.parquet(f"{DATA}/lineitem.parquet")).withColumnsRenamed({"ingest_ns": "sending_time", "seq": "seq_num"})
+    rows = rows.withColumn("exec_id", F.when(F.col("order_key") % 3 == 0, "é" * 20).when(F.col("order_key") % 3 == 1, F.col("exec_id")))
+    size = wire.RECORD.itemsize
+    arriving = F.element_at(F.array(*map(F.lit, [size, 0, size - 1, size + 1, None, 100])), (F.col("order_key") % 6 + 1).cast("int"))
+    records = wire.encoded(rows)
+    records = records.withColumn("record", F.when(F.col("order_key") % 6 == 4, F.lit(None)).otherwise(F.substring("record", F.lit(1), F.coalesce(arriving, F.lit(0)))))
+    wanted, got = wire.decoded(records), wire.carried(rows, arriving)
+    assert got.schema == wanted.schema and got.count() > 0
+    assert plain(got.collect()) == plain(wanted.collect())
+    assert wire.carried(rows.limit(0), arriving).count() == 0
+
+
+def test_wire_decode_plan(spark):
+    """Events cross to Python once; what goes along sessions has no texts, and sessions' parts are counted without sorting lines."""
+    plan = queries.wire_decode(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("MapInArrow", plan)) == 1
+    assert len(re.findall("row_number", plan)) == 1
+    assert not re.findall("SortMergeJoin|BroadcastHashJoin", plan) and "ShuffledHashJoin" in plan
+    assert "concat(" in plan and "concat(" not in plan[plan.index("Exchange") :]
+
+
+@pytest.mark.parametrize("name", ["order_events", "wire_decode"])
+def test_orders_of_many_lines(spark, tmp_path, name):
+    """Orders of more lines than are counted out at once, and with equal lines, are numbered as in SQL."""
+    con = duckdb.connect()
+    con.execute(f"""COPY (SELECT * FROM '{DATA}/lineitem.parquet' UNION ALL SELECT l.* REPLACE (20 * (i % 2) + 7 AS l_orderkey, i // 4 AS l_linenumber)
+        FROM range({2 * feeds.LINES + 3}) t(i), (SELECT * FROM '{DATA}/lineitem.parquet' LIMIT 1) l) TO '{tmp_path}/lineitem.parquet'""")
+    df = queries.queries()[name](spark, str(tmp_path))
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    wanted = con.execute(f"SELECT {', '.join(df.columns)} FROM ({oracle.oracle_sql()[name]})").fetchall()
+    assert plain(df.collect()) == plain(wanted)
+
+
 @pytest.mark.parametrize("lacking", ["twinledger.llm", "tiktoken", "corpus_pipeline"])
 def test_entry_without_what_the_corpus_part_needs(monkeypatch, lacking):
     import sys

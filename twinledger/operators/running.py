@@ -17,14 +17,17 @@ from ..storage import written
 KINDS = ("last", "max", "sum")
 
 
-def running(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, Column]], part: Column | None = None, inclusive: bool = True) -> DataFrame:
+def running(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, Column]], part: Column | None = None, inclusive: bool = True, counted: DataFrame | None = None) -> DataFrame:
     """rows with a column for each of values: the last value that is not null, the largest, or the sum, over the key's rows
     up to each one (not inclusive: before it; then null, or 0 for a sum, for the first).
 
     part: a number of which the key's order never makes less; without it, a key is one task's.
+    counted: the same rows, with no more columns than keys, order, part and values need, if those can be had more cheaply. Its
+    parts should be far fewer than rows: they are joined by hash, as a sort-merge join would sort all rows once more.
     """
     names, key = list(values), [F.col(k) for k in keys]
-    rows = rows.withColumns({f"_{n}": v for n, (_, v) in values.items()})
+    given = {f"_{n}": v for n, (_, v) in values.items()}
+    rows = rows.withColumns(given)
     over = {"last": lambda c, w: F.last(c, ignorenulls=True).over(w), "max": lambda c, w: F.max(c).over(w), "sum": lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))}
     upto = (Window.unboundedPreceding, 0 if inclusive else -1)
     if part is None:
@@ -32,16 +35,17 @@ def running(rows: DataFrame, keys: list[str], order: list[str], values: dict[str
         return rows.withColumns({n: over[kind](F.col(f"_{n}"), w) for n, (kind, _) in values.items()}).drop(*[f"_{n}" for n in names])
     rows = rows.withColumn("_part", part)
     total = {"last": lambda c: F.max_by(c, F.when(c.isNotNull(), F.struct(*order))), "max": F.max, "sum": F.sum}
-    parts = rows.groupBy(*key, "_part").agg(*[total[kind](F.col(f"_{n}")).alias(f"_{n}") for n, (kind, _) in values.items()])
+    parts = (rows if counted is None else counted.withColumns({**given, "_part": part})).groupBy(*key, "_part").agg(*[total[kind](F.col(f"_{n}")).alias(f"_{n}") for n, (kind, _) in values.items()])
     before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(*key, "_part", *[over[kind](F.col(f"_{n}"), before).alias(f"_before_{n}") for n, (kind, _) in values.items()])
-    inside = Window.partitionBy(*key, "_part").orderBy(*order).rowsBetween(*upto)
+    # of what a window sorts by, the first column is compared fastest, and parts are more than keys
+    inside = Window.partitionBy("_part", *key).orderBy(*order).rowsBetween(*upto)
     both = {
         "last": lambda n: F.coalesce(over["last"](F.col(f"_{n}"), inside), F.col(f"_before_{n}")),
         "max": lambda n: F.greatest(over["max"](F.col(f"_{n}"), inside), F.col(f"_before_{n}")),
         "sum": lambda n: over["sum"](F.col(f"_{n}"), inside) + F.col(f"_before_{n}"),
     }
-    joined = rows.repartition(*key, "_part").join(parts, [*keys, "_part"])
+    joined = rows.repartition(*key, "_part").join(parts if counted is None else parts.hint("shuffle_hash"), [*keys, "_part"])
     return joined.withColumns({n: both[kind](n) for n, (kind, _) in values.items()}).select(*[c for c in rows.columns if c not in ("_part", *[f"_{n}" for n in names])], *names)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import MS
@@ -15,6 +15,10 @@ EXEC_OF = (0, 1, 2, 3, 4, 5, 6, 0, 0, 6)
 FIRST = (NEW, PENDING_NEW, WORKING, REPLACED, UNKNOWN, WORKING)
 #: Session events and nanoseconds of order events whose running aggregates are taken at once.
 BLOCK, BLOCK_NS = 65_536, 60_000 * MS
+#: What messages a line gives rise to.
+OPEN_P, OPEN_D, LINE_P, LINE_D, END_P, END_D, BAD_1, BAD_2, BAD_3, AGAIN = range(10)
+#: Lines of an order that are counted out at once.
+LINES = 4_096
 
 
 def order_events(lineitem: DataFrame, numbered: bool = True, tasks: int | None = None) -> DataFrame:
@@ -33,46 +37,60 @@ def order_events(lineitem: DataFrame, numbered: bool = True, tasks: int | None =
     rows = lineitem.select(F.col("l_orderkey").alias("order_key"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", F.col("l_quantity").cast("long").alias("qty"), price.alias("price"))
     rows = rows.repartition(tasks, "order_key") if tasks else rows
     rows = rows.withColumns({"line": F.row_number().over(line), "cum": F.sum("qty").over(line.rowsBetween(Window.unboundedPreceding, 0)), "n": F.count("*").over(Window.partitionBy("order_key"))})
+    sent = _sent(rows.select("order_key", "line", "n", "qty", "price", "cum"))
+    if numbered:
+        # only what the fields come from goes along sessions; how many messages a part has comes from the orders' lines alone
+        sent = running(sent, ["source", "session_id"], ["sent_ns"], {"seq": ("sum", F.lit(1).cast("long"))}, F.expr(f"sent_ns div {BLOCK_NS}"), counted=_sent(_lines(lineitem)))
+    key, n, last, how, what, r = F.col("order_key"), F.col("n"), F.col("line") == F.col("n"), F.col("order_key") % 7, F.col("what"), _row()
+    k, opening = key % 20, what.isin(OPEN_P, OPEN_D)
+    begins = F.element_at(F.array(*map(F.lit, FIRST)), (key % 6 + 1).cast("int"))
+    end = F.when(how == 3, CANCELED).when(how == 5, REJECTED).otherwise(FILLED)
+    status = F.when(opening, begins).when(what.isin(END_P, END_D, AGAIN), end).when(what.isin(BAD_1, BAD_3), WORKING).when(what == BAD_2, NEW).when(~last, PARTIALLY_FILLED).when(how.isin(3, 5), CANCEL_PENDING).otherwise(FILLED)
+    # ms until a message arrives, and the row whose exec id is given
+    late = F.when((what == LINE_D) & (key % 60 == 4) & last, 700).otherwise(0)
+    ident = F.when(what == AGAIN, F.when(how.isin(3, 5), n + 1).otherwise(n)).otherwise(r)
+    lost = last & ((what == LINE_P) & (key % 120 == 70) | (what == LINE_D) & (key % 120 == 2))
+    copies = F.when((what == LINE_D) & (k == 9) & last, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    zero, text = F.lit(0).cast("long"), key.cast("string")
+    out = sent.filter(~lost).withColumns({"ingest": F.col("sent_ns") + late * MS, "ord_status": status.cast("int"), "copy": F.explode(copies)})
+    return out.select(
+        "order_key", "source", (r + 6 * F.col("copy")).cast("int").alias("r"), F.element_at(F.array(*map(F.lit, EXEC_OF)), F.col("ord_status") + 1).alias("exec_type"), "ord_status", "session_id", *["seq"] * numbered,
+        F.when(opening, zero).otherwise(F.col("price")).alias("price_micro"), F.when(opening, zero).otherwise(F.col("qty")).alias("qty"), (F.when(opening, zero).otherwise(F.col("cum")) + F.when((what == LINE_D) & (k == 3) & last, 1).otherwise(0)).alias("cum_qty"),
+        (F.col("ingest") + F.col("copy") * MS).alias("ingest_ns"), F.col("ingest").alias("transact_time"), F.concat(F.when((F.col("source") == DROPCOPY) & (k == 6), "D").otherwise("E"), text, F.lit("-"), ident.cast("string")).alias("exec_id"),
+        F.concat(F.lit("OID"), text).alias("order_id"), F.concat(F.lit("CID"), text).alias("clord_id"),
+    )
+
+
+def _row() -> Column:
+    """A message's number in its order, by what it is."""
+    line, n, what = F.col("line"), F.col("n"), F.col("what")
+    return F.when(what.isin(OPEN_P, OPEN_D), 0).when(what.isin(LINE_P, LINE_D), line).otherwise(n + F.when(what.isin(END_P, END_D), 1).when(what == AGAIN, 5).otherwise(what - BAD_1 + 2))
+
+
+def _sent(lines: DataFrame) -> DataFrame:
+    """The messages that each of the lines (order_key, line of n) gives rise to: what, their source, session and sending time."""
     key, n, what = F.col("order_key"), F.col("n"), F.col("what")
     k, how, first, last = key % 20, key % 7, F.col("line") == 1, F.col("line") == n
     closed, p, d = last & how.isin(3, 5), k != 1, k != 0
-    # which messages a line gives rise to; their fields follow
-    OPEN_P, OPEN_D, LINE_P, LINE_D, END_P, END_D, BAD_1, BAD_2, BAD_3, AGAIN = range(10)
     given = {
         OPEN_P: first & p, OPEN_D: first & d, LINE_P: p & (k != 5), LINE_D: d & ~((k == 2) & (key % 120 != 2) & last), END_P: closed & p & (k != 5), END_D: closed & d,
         BAD_1: last & (k == 7), BAD_2: last & (k == 7), BAD_3: last & (k == 7), AGAIN: last & k.isin(2, 4, 8),
     }
-    rows = rows.withColumn("what", F.explode(F.array_compact(F.array(*[F.when(when, F.lit(i)) for i, when in given.items()]))))
-    of = lambda *kinds: what.isin(*kinds)
-    begins = F.element_at(F.array(*map(F.lit, FIRST)), (key % 6 + 1).cast("int"))
-    end = F.when(how == 3, CANCELED).when(how == 5, REJECTED).otherwise(FILLED)
-    status = F.when(of(OPEN_P, OPEN_D), begins).when(of(END_P, END_D, AGAIN), end).when(of(BAD_1, BAD_3), WORKING).when(of(BAD_2), NEW).when(~last, PARTIALLY_FILLED).when(how.isin(3, 5), CANCEL_PENDING).otherwise(FILLED)
-    r = F.when(of(OPEN_P, OPEN_D), 0).when(of(LINE_P, LINE_D), F.col("line")).otherwise(n + F.when(of(END_P, END_D), 1).when(of(AGAIN), 5).otherwise(what - BAD_1 + 2)).cast("int")
-    rows = rows.withColumns({"source": F.when(of(OPEN_D, LINE_D, END_D), DROPCOPY).otherwise(PRIMARY), "r": r, "ord_status": status.cast("int")})
-    # the row that the sending time is counted from, ms after it, ms until it arrives, and the row whose exec id is given
-    place = F.when(of(AGAIN), n + 1).when(of(BAD_2, BAD_3), n + 2).otherwise(F.col("r"))
-    wait = F.when(of(BAD_2), 600).when(of(BAD_3), 1200).when(of(AGAIN), 200).otherwise(0)
-    late = F.when(of(LINE_D) & (key % 60 == 4) & last, 700).otherwise(0)
-    ident = F.when(of(AGAIN), F.when(how.isin(3, 5), n + 1).otherwise(n)).otherwise(F.col("r"))
-    zero = F.lit(0).cast("long")
-    opening = of(OPEN_P, OPEN_D)
-    sent = (key * 50 + place * 10 + F.col("source") * 2 + wait) * MS + key % 10_000 * 64 + F.col("r") * 2 + F.col("source")
-    text = key.cast("string")
-    sent = rows.select(
-        "order_key", "source", "r", "ord_status", (F.floor(key / 3) % 2).cast("int").alias("session_id"), F.when(opening, zero).otherwise(F.col("price")).alias("price_micro"), F.when(opening, zero).otherwise(F.col("qty")).alias("qty"),
-        (F.when(opening, zero).otherwise(F.col("cum")) + F.when(of(LINE_D) & (k == 3) & last, 1).otherwise(0)).alias("cum_qty"), sent.alias("sent_ns"), late.alias("late"),
-        F.concat(F.when((F.col("source") == DROPCOPY) & (k == 6), "D").otherwise("E"), text, F.lit("-"), ident.cast("string")).alias("exec_id"),
-        (last & (of(LINE_P) & (key % 120 == 70) | of(LINE_D) & (key % 120 == 2))).alias("lost"), (of(LINE_D) & (k == 9) & last).alias("twice"),
-    )
-    if numbered:
-        sent = running(sent, ["source", "session_id"], ["sent_ns"], {"seq": ("sum", F.lit(1).cast("long"))}, F.expr(f"sent_ns div {BLOCK_NS}"))
-    copies = F.when(F.col("twice"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    out = sent.filter("not lost").withColumn("copy", F.explode(copies))
-    ingest = F.col("sent_ns") + F.col("late") * MS
-    return out.select(
-        "order_key", "source", (F.col("r") + 6 * F.col("copy")).cast("int").alias("r"), F.element_at(F.array(*map(F.lit, EXEC_OF)), F.col("ord_status") + 1).alias("exec_type"), "ord_status", "session_id", *["seq"] * numbered, "price_micro", "qty", "cum_qty",
-        (ingest + F.col("copy") * MS).alias("ingest_ns"), ingest.alias("transact_time"), "exec_id", F.concat(F.lit("OID"), F.col("order_key").cast("string")).alias("order_id"), F.concat(F.lit("CID"), F.col("order_key").cast("string")).alias("clord_id"),
-    )
+    # array_remove is compiled with what is around it, array_compact runs its own function for each element
+    rows = lines.withColumn("what", F.explode(F.array_remove(F.array(*[F.when(when, i).otherwise(-1) for i, when in given.items()]), -1)))
+    source, r = F.when(what.isin(OPEN_D, LINE_D, END_D), DROPCOPY).otherwise(PRIMARY), _row()
+    # the row that the sending time is counted from, and ms after it
+    place = F.when(what == AGAIN, n + 1).when(what.isin(BAD_2, BAD_3), n + 2).otherwise(r)
+    wait = F.when(what == BAD_2, 600).when(what == BAD_3, 1200).when(what == AGAIN, 200).otherwise(0)
+    sent = (key * 50 + place * 10 + source * 2 + wait) * MS + key % 10_000 * 64 + r * 2 + source
+    return rows.withColumns({"source": source, "session_id": (F.floor(key / 3) % 2).cast("int"), "sent_ns": sent})
+
+
+def _lines(lineitem: DataFrame) -> DataFrame:
+    """(order_key, line, n): every order's lines, from their count."""
+    rows = lineitem.groupBy(F.col("l_orderkey").alias("order_key")).agg(F.count("*").alias("n"))
+    rows = rows.withColumn("_from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"), F.lit(LINES).cast("long"))))
+    return rows.select("order_key", F.explode(F.sequence("_from", F.least(F.col("_from") + (LINES - 1), F.col("n")))).alias("line"), "n")
 
 
 def session_events(events: DataFrame) -> DataFrame:
