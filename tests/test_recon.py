@@ -3,6 +3,8 @@
 import builtins
 import random
 import re
+import time
+from pathlib import Path
 
 import duckdb
 import pyarrow as pa
@@ -16,7 +18,7 @@ from twinledger.operators import machine, orders, sequence
 from twinledger.plans import oracle, queries
 from twinledger.schema import may_follow
 from twinledger.sources import feeds, fix, wire
-from twinledger.storage import shared_dir
+from twinledger.storage import CLEANUP, shared_dir, written
 
 DATA = "/root/testdata/sf0.001"
 
@@ -603,6 +605,31 @@ def test_written_views_are_dealt_by_order_again(spark):
     assert "Exchange hashpartitioning(order_key" in first
 
 
+def test_end_to_end_carries_events_once(spark, monkeypatch):
+    """Both modes read one shuffle of narrow events; hot orders go by parts by themselves, with the same results."""
+    whole = queries.end_to_end(spark, DATA)
+    rows = sorted(map(tuple, whole.collect()), key=repr)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "clord_id" not in plan
+    assert "ReusedExchange" in plan
+    monkeypatch.setattr(orders, "HOT", 200)
+    ordinary, hot = orders.hot_apart(queries.keyed(queries._parsed(spark, DATA)).withColumn("ingest_ns", F.col("sending_time")))
+    assert "part" not in ordinary.columns and {r.order_key for r in hot.select("order_key").distinct().collect()} == {spark.range(1).select(order_key(F.lit(""))).first()[0]}
+    assert sorted(map(tuple, queries.end_to_end(spark, DATA).collect()), key=repr) == rows
+
+
+def test_written_keeps_no_shuffle_files(spark):
+    """What was shuffled for a written table goes when that is done."""
+    kept = lambda: set(Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data"))
+    before = kept()
+    assert written(spark.range(10_000).repartition(7, "id"), "cleaned").count() == 10_000
+    end = time.time() + 20
+    while time.time() < end and any(f.stat().st_size > 10_000 for f in kept() - before):
+        time.sleep(0.1)
+    assert not any(f.stat().st_size > 10_000 for f in kept() - before)
+    assert spark.conf.get(CLEANUP) == "false"
+
+
 def test_fix_batches_as_single_messages(spark):
     """What numpy makes of a batch of plain and odd messages, against a plain reading of each; plain ones need no pattern."""
     r, want = random.Random(4), {}
