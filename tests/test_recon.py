@@ -467,6 +467,13 @@ def test_wire_decode_plan(spark):
     assert "concat(" in plan and "concat(" not in plan[plan.index("Exchange") :]
 
 
+def test_orders_go_along_sessions(spark):
+    """What is shuffled by session is orders with their lines; messages are made of them after that."""
+    plan = queries.order_events(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    at = plan.index("Exchange")
+    assert plan[at:].startswith("Exchange hashpartitioning(session_id") and "array_remove" in plan[:at]
+
+
 @pytest.mark.parametrize("name", ["order_events", "wire_decode"])
 def test_orders_of_many_lines(spark, tmp_path, name):
     """Orders of more lines than are counted out at once, and with equal lines, are numbered as in SQL."""
