@@ -625,6 +625,14 @@ def test_end_to_end_carries_events_once(spark, monkeypatch):
     assert sorted(map(tuple, queries.end_to_end(spark, DATA).collect()), key=repr) == rows
 
 
+def test_running_shuffles_no_values(spark):
+    """What is aggregated along a key is worked out behind the shuffle of its rows, not carried through it."""
+    feed = spark.range(10).selectExpr("0 AS source", "0 AS session_id", "id AS seq", "id AS arrival")
+    plan = sequence.classify(feed)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("REPARTITION_BY_COL") :].split("Exchange")[0]
+    assert "_part" in below and "_last_seen" not in below
+
+
 def test_written_keeps_no_shuffle_files(spark):
     """What was shuffled for a written table goes when that is done."""
     kept = lambda: set(Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data"))
